@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from . import license_rules
+from .license_rules import op4_license_rules
 from .media_ts import op1_media_ts
 from .packing import op3_bin_completion
 from .piece_bpe import op7_piece_bpe
+from .toxicity import op2_counterfactual_toxicity
 
 QUERIES = {
     "op1_media_ts": op1_media_ts,
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_bin_completion": op3_bin_completion,
+    "op4_license_rules": op4_license_rules,
     "op7_piece_bpe": op7_piece_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**license_rules.ORACLE_SQL}
