@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import license_rules
+from .jaccard_join import op5_ngram_jaccard
 from .license_rules import op4_license_rules
 from .media_ts import op1_media_ts
 from .packing import op3_bin_completion
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op3_bin_completion": op3_bin_completion,
     "op4_license_rules": op4_license_rules,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_piece_bpe": op7_piece_bpe,
 }
 
