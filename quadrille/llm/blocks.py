@@ -117,11 +117,11 @@ def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys >> U64(32), edges[1:-1], "left"), [len(keys)]]).astype(np.int64)
 
 
-def count_keys(blocks: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.ndarray]], n_blocks: int, reply: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """(g, bucket, reply): for each block and bucket the totals of the block's keys.
+def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarray]], n_blocks: int) -> DataFrame:
+    """(g, bucket, reply): for each block and bucket the totals of the block's keys, as uint32.
 
-    keys(block): sorted distinct uint64 keys and their counts in the block. reply(keys, totals, asked) gives what a block
-    that asked for some keys (indexes into the bucket's keys) is told; the totals as uint32 by default.
+    keys(block) gives sorted distinct uint64 keys and their counts in the block; if ``blocks`` holds further columns after
+    g and data, it gets their values too.
     """
     n = bucket_number(n_blocks)
 
@@ -129,8 +129,8 @@ def count_keys(blocks: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.n
         import pyarrow as pa
 
         for b in batches:
-            for g, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, local = keys(Block(data))
+            for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found, local = keys(Block(data), *more)
                 bounds = bucket_bounds(found, n)
                 full = np.flatnonzero(np.diff(bounds))
                 rows = [squeeze(*squeeze_sorted(found[i:j]), local[i:j].astype(np.uint32)) for i, j in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
@@ -147,7 +147,7 @@ def count_keys(blocks: DataFrame, keys: Callable[[Block], tuple[np.ndarray, np.n
         for s in sent:
             asked = place[at : at + len(s)]
             at += len(s)
-            told.append(squeeze(totals[asked].astype(np.uint32) if reply is None else reply(distinct, totals, asked)))
+            told.append(squeeze(np.minimum(totals[asked], 0xFFFFFFFF).astype(np.uint32)))
         return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "reply": pa.array(told, pa.binary())})
 
     return blocks.mapInArrow(send, "bucket long, g long, data binary").groupBy("bucket").applyInArrow(add, "g long, bucket long, reply binary")

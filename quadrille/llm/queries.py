@@ -8,6 +8,7 @@ from .license_rules import op4_license_rules
 from .media_ts import op1_media_ts
 from .packing import op3_bin_completion
 from .piece_bpe import op7_piece_bpe
+from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op2_counterfactual_toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_license_rules": op4_license_rules,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_piece_bpe": op7_piece_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {**license_rules.ORACLE_SQL}
