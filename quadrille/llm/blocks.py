@@ -22,12 +22,12 @@ BLOCK_BYTES = 4 << 20
 U64 = np.uint64
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed string."""
     import zstandard
 
     head = np.array([len(arrays), *(x for a in arrays for x in (np.dtype(a.dtype).num, a.size))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
 _KINDS = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.int32, np.uint32, np.int64, np.uint64, np.uint16, np.float64)}
@@ -83,7 +83,7 @@ def _blocks(batches) -> Iterator:
 
     def row():
         nonlocal ids, texts, size, made
-        packed = squeeze(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8))
+        packed = squeeze(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8), level=5)
         out = pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([packed], pa.binary())], ["g", "data"])
         ids, texts, size, made = [], [], 0, made + 1
         return out
@@ -111,17 +111,18 @@ def bucket_number(n_blocks: int) -> int:
     return int(min(65_536, max(16, n_blocks // 3)))
 
 
-def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where the keys (sorted) of each of ``n`` buckets begin and end: equal ranges of the key's upper 32 bits."""
-    edges = (np.arange(n + 1, dtype=np.float64) * (2.0**32 / n)).astype(U64)
-    return np.concatenate([[0], np.searchsorted(keys >> U64(32), edges[1:-1], "left"), [len(keys)]]).astype(np.int64)
+def bucket_bounds(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Where the keys (sorted) of each of ``n`` buckets begin and end: equal ranges of ``bits`` bits."""
+    edges = (np.arange(1, n, dtype=np.float64) * (2.0**bits / n)).astype(U64)
+    return np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]]).astype(np.int64)
 
 
-def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarray]], n_blocks: int) -> DataFrame:
+def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarray]], n_blocks: int, bits: int = 64, tally: Callable[[np.ndarray, np.ndarray], tuple[int, int]] | None = None) -> DataFrame:
     """(g, bucket, reply): for each block and bucket the totals of the block's keys, as uint32.
 
     keys(block) gives sorted distinct uint64 keys and their counts in the block; if ``blocks`` holds further columns after
-    g and data, it gets their values too.
+    g and data, it gets their values too. Keys are below 2**bits. tally(keys, totals)
+    gives two numbers for each bucket, which stand in further columns t0 and t1 of one of its rows.
     """
     n = bucket_number(n_blocks)
 
@@ -131,7 +132,7 @@ def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarr
         for b in batches:
             for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found, local = keys(Block(data), *more)
-                bounds = bucket_bounds(found, n)
+                bounds = bucket_bounds(found, n, bits)
                 full = np.flatnonzero(np.diff(bounds))
                 rows = [squeeze(*squeeze_sorted(found[i:j]), local[i:j].astype(np.uint32)) for i, j in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), g), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "g", "data"])
@@ -148,9 +149,13 @@ def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarr
             asked = place[at : at + len(s)]
             at += len(s)
             told.append(squeeze(np.minimum(totals[asked], 0xFFFFFFFF).astype(np.uint32)))
-        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "reply": pa.array(told, pa.binary())})
+        out = {"g": table.column("g"), "bucket": table.column("bucket"), "reply": pa.array(told, pa.binary())}
+        if tally is not None:
+            none = [None] * (len(told) - 1)
+            out |= {f"t{k}": pa.array([x, *none], pa.int64()) for k, x in enumerate(tally(distinct, totals))}
+        return pa.table(out)
 
-    return blocks.mapInArrow(send, "bucket long, g long, data binary").groupBy("bucket").applyInArrow(add, "g long, bucket long, reply binary")
+    return blocks.mapInArrow(send, "bucket long, g long, data binary").groupBy("bucket").applyInArrow(add, "g long, bucket long, reply binary" + (", t0 long, t1 long" if tally else ""))
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import license_rules
 from .jaccard_join import op5_ngram_jaccard
 from .license_rules import op4_license_rules
+from .lm_automaton import op8_backoff_automaton
 from .media_ts import op1_media_ts
 from .packing import op3_bin_completion
 from .piece_bpe import op7_piece_bpe
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_license_rules": op4_license_rules,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_piece_bpe": op7_piece_bpe,
+    "op8_backoff_automaton": op8_backoff_automaton,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
