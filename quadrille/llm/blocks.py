@@ -61,12 +61,18 @@ class Block:
     """Some documents: ids (with null flags), the bytes of all texts one after another, and where each begins."""
 
     def __init__(self, data: bytes):
-        self.ids, self.null, lengths, self.bytes = expand(data)
+        self.ids, self.null, lengths, self.bytes, self._rest = expand(data)
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
     def __len__(self) -> int:
         return len(self.ids)
 
+    def rest(self):
+        """The further columns that the block carries, as an Arrow table."""
+        import pyarrow as pa
+
+        return pa.ipc.open_stream(self._rest.tobytes()).read_all()
+
     def id_column(self, rows=None):
         import pyarrow as pa
 
@@ -78,32 +84,43 @@ def _blocks(batches) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
+    from .common import text_bytes
+
     base, made = TaskContext.get().partitionId() << 32, 0
-    ids, texts, size = [], [], 0
+    ids, texts, rest, size = [], [], [], 0
 
     def row():
-        nonlocal ids, texts, size, made
-        packed = squeeze(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8), level=5)
+        nonlocal ids, texts, rest, size, made
+        sink = pa.BufferOutputStream()
+        if rest:
+            with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                for x in rest:
+                    out.write_batch(x)
+        packed = squeeze(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8), np.frombuffer(sink.getvalue(), np.uint8), level=5)
         out = pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), pa.array([packed], pa.binary())], ["g", "data"])
-        ids, texts, size, made = [], [], 0, made + 1
+        ids, texts, rest, size, made = [], [], [], 0, made + 1
         return out
 
-    from .common import text_bytes
-
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+        more, begin = b.select(list(range(2, b.num_columns))), 0
+        for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True)):
             ids.append(i)
             texts.append(t)
             size += len(t)
             if size >= BLOCK_BYTES:
+                if b.num_columns > 2:
+                    rest.append(more.slice(begin, k + 1 - begin))
+                begin = k + 1
                 yield row()
+        if b.num_columns > 2 and begin < b.num_rows:
+            rest.append(more.slice(begin))
     if ids:
         yield row()
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """(g, data): stored blocks. A document is never cut; null texts are empty."""
-    return stored(documents_of(docs).mapInArrow(_blocks, "g long, data binary"))
+def blocks_of(docs: DataFrame, *more: str) -> DataFrame:
+    """(g, data): stored blocks. A document is never cut; null texts are empty. Columns named in ``more`` are carried."""
+    return stored(documents_of(docs, *more).mapInArrow(_blocks, "g long, data binary"))
 
 
 def bucket_number(n_blocks: int) -> int:

@@ -301,70 +301,114 @@ def _array(size: int, most: int = 8 << 20):
     return run
 
 
-def _keep(size: int, hot_units: int):
+def _gone(block: Block, replies, hot_replies, flags, size: int, hot_units: int) -> np.ndarray:
+    """Of a block's bytes those that a repeated string covers."""
+    units = Units(block, size)
+    repeated, open_, hot = _wanted(units, replies, hot_units)
+    n = len(block.bytes)
+    mark = np.zeros(n + size, np.int32)
+    whole = np.flatnonzero(repeated)
+    np.add.at(mark, units.first[whole], 1)
+    np.add.at(mark, units.first[whole] + units.number[whole] + size - 1, -1)
+    starts, names = units.strings(np.flatnonzero(hot), size)
+    if len(starts):
+        distinct = np.unique(names)
+        hit = starts[joined_reply(hot_replies)[np.searchsorted(distinct, names)] > 1]
+        np.add.at(mark, hit, 1)
+        np.add.at(mark, hit + size, -1)
+    mine = np.flatnonzero(open_ & ~repeated)
+    if flags and len(mine):
+        parts = [expand(x) for x in flags]
+        name, number = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        bits = np.concatenate([np.unpackbits(p[2])[: p[1].sum()] for p in parts])
+        if len(name):
+            order = np.argsort(name)
+            key = units.text[mine] ^ mix(units.anchor[mine])
+            at = np.minimum(np.searchsorted(name[order], key), len(name) - 1)
+            ok = name[order][at] == key
+            mine, which = mine[ok], order[at[ok]]
+            k = number[which]
+            within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            on = bits[np.repeat((np.cumsum(number) - number)[which], k) + within] > 0
+            hit = (np.repeat(units.first[mine], k) + within)[on]
+            np.add.at(mark, hit, 1)
+            np.add.at(mark, hit + size, -1)
+    return np.cumsum(mark)[:n] > 0
+
+
+def _kept(block: Block, gone: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """Of each document: bytes removed, maximal removed runs, bytes kept."""
+    removed, spans, kept, raw = [], [], [], block.bytes
+    for i, j in zip(block.starts[:-1].tolist(), block.starts[1:].tolist(), strict=True):
+        g = gone[i:j]
+        m = int(np.count_nonzero(g))
+        removed.append(m)
+        spans.append(int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if m else 0)
+        kept.append(raw[i:j].tobytes() if not m else b"" if m == j - i else raw[i:j][~g].tobytes())
+    return removed, spans, kept
+
+
+def _report(size: int, hot_units: int):
     """Blocks with all replies to rows: doc_id, n_bytes, n_removed, n_spans, kept."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for data, replies, hot_replies, flags in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for data, *told in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = Block(data)
-                units = Units(block, size)
-                repeated, open_, hot = _wanted(units, replies, hot_units)
-                n = len(block.bytes)
-                mark = np.zeros(n + size, np.int32)
-                whole = np.flatnonzero(repeated)
-                np.add.at(mark, units.first[whole], 1)
-                np.add.at(mark, units.first[whole] + units.number[whole] + size - 1, -1)
-                starts, names = units.strings(np.flatnonzero(hot), size)
-                if len(starts):
-                    distinct = np.unique(names)
-                    hit = starts[joined_reply(hot_replies)[np.searchsorted(distinct, names)] > 1]
-                    np.add.at(mark, hit, 1)
-                    np.add.at(mark, hit + size, -1)
-                if flags:
-                    parts = [expand(x) for x in flags]
-                    name, number = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-                    bits = np.concatenate([np.unpackbits(p[2])[: p[1].sum()] for p in parts])
-                    mine = np.flatnonzero(open_ & ~repeated)
-                    if len(name) and len(mine):
-                        order = np.argsort(name)
-                        key = units.text[mine] ^ mix(units.anchor[mine])
-                        at = np.minimum(np.searchsorted(name[order], key), len(name) - 1)
-                        ok = name[order][at] == key
-                        mine, which = mine[ok], order[at[ok]]
-                        k = number[which]
-                        within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                        on = bits[np.repeat((np.cumsum(number) - number)[which], k) + within] > 0
-                        hit = (np.repeat(units.first[mine], k) + within)[on]
-                        np.add.at(mark, hit, 1)
-                        np.add.at(mark, hit + size, -1)
-                gone = np.cumsum(mark)[:n] > 0
-                removed, spans, kept = [], [], []
-                raw = block.bytes
-                for i, j in zip(block.starts[:-1].tolist(), block.starts[1:].tolist(), strict=True):
-                    g = gone[i:j]
-                    m = int(np.count_nonzero(g))
-                    removed.append(m)
-                    spans.append(int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if m else 0)
-                    kept.append(raw[i:j].tobytes() if not m else b"" if m == j - i else raw[i:j][~g].tobytes())
+                removed, spans, kept = _kept(block, _gone(block, *told, size, hot_units))
                 yield pa.RecordBatch.from_arrays([block.id_column(), pa.array(np.diff(block.starts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, hot_units: int = HOT_UNITS) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans and the bytes kept."""
+def _rewrite(size: int, hot_units: int, names: list[str]):
+    """Blocks with all replies to their documents' columns, with the kept text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for data, *told in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                block = Block(data)
+                rest = block.rest()
+                removed, _, kept = _kept(block, _gone(block, *told, size, hot_units))
+                texts = [t.decode("utf-8", "ignore") for t in kept]
+                stay = pa.array([not m or bool(t.strip()) for m, t in zip(removed, texts, strict=True)], pa.bool_())
+                columns = {"doc_id": block.id_column(), **{c: rest.column(c) for c in rest.column_names}}
+                cut = pa.array([m > 0 for m in removed], pa.bool_())
+                columns["text"] = pa.array([t if before is not None else None for t, before in zip(texts, rest.column("text_before").to_pylist(), strict=True)], pa.string())
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.compute.if_else(cut, pa.array([len(t) for t in texts], pa.int64()), rest.column("n_chars").combine_chunks().cast(pa.int64())).cast(rest.column("n_chars").type)
+                yield from pa.table([columns[c] for c in names], names).filter(stay).combine_chunks().to_batches()
+
+    return run
+
+
+def _settled(blocks: DataFrame, size: int, hot_units: int) -> DataFrame:
+    """(data, replies, hot, flags): blocks with all that the corpus says about their units."""
     if size % 8 or size <= GRAM:
         raise ValueError(f"size must be a multiple of 8 over {GRAM}")
-    blocks = blocks_of(docs)
     n = blocks.count()
     asked = stored(with_replies(blocks, count_keys(blocks, _unit_keys(size), n)))
     hot = count_keys(asked.select("g", "data", "replies"), _hot_keys(size, hot_units), n).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("hot"))
     found = asked.select("g", "data", "replies").mapInArrow(_send(2 * bucket_number(n), size, hot_units), "bucket long, g long, data binary").groupBy("bucket").applyInArrow(_array(size), "g long, flags binary")
     flags = found.groupBy("g").agg(F.collect_list("flags").alias("flags"))
-    return asked.join(hot, "g", "left").join(flags, "g", "left").select("data", "replies", "hot", "flags").mapInArrow(_keep(size, hot_units), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return asked.join(hot, "g", "left").join(flags, "g", "left").select("data", "replies", "hot", "flags")
+
+
+def remove_repeats(docs: DataFrame, size: int = SIZE, hot_units: int = HOT_UNITS) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans and the bytes kept."""
+    return _settled(blocks_of(docs), size, hot_units).mapInArrow(_report(size, hot_units), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def clean_texts(docs: DataFrame, size: int = SIZE, hot_units: int = HOT_UNITS) -> DataFrame:
+    """``docs`` with the kept bytes as text; n_chars, where there is one, follows. A sign that a cut runs through goes with
+    it. Rows that lose something and keep nothing but white space are dropped."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    blocks = blocks_of(docs.withColumn("text_before", F.when(F.col("text").isNotNull(), "")), *rest, "text_before")
+    return _settled(blocks, size, hot_units).mapInArrow(_rewrite(size, hot_units, docs.columns), docs.schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
