@@ -97,7 +97,7 @@ def impute_pca_matrix(x: np.ndarray, axes: int = 2, most: int = 1000, tolerance:
         sd[sd == 0] = 1
         values, vectors = eigen(cov / np.outer(sd, sd))
         noise = values[k:].mean() if k < p else 0.0
-        shrink = np.where(values[:k] > noise, (values[:k] - noise) / np.maximum(values[:k], 1e-300), 0.0)
+        shrink = np.where(values[:k] > max(noise, 1e-10), (values[:k] - noise) / np.maximum(values[:k], 1e-300), 0.0)
         v = vectors[:, :k]
         fit = mu + (((y - mu) / sd) @ v * shrink) @ v.T * sd
         new = np.where(holes, fit, y)

@@ -181,8 +181,7 @@ def cart(df: DataFrame, spec: Target, columns: list[str], depth: int = 3, min_le
     if numbers:
         q = rows.agg(*(F.percentile(finite(F.col(c)), F.array(*(F.lit(i / BINS) for i in range(1, BINS)))).alias(f"q{i}") for i, c in enumerate(numbers))).first()
         cuts = {c: sorted(set(q[f"q{i}"] or [])) for i, c in enumerate(numbers)}
-    # array_position in sorted cuts by counting, so a bin is one expression
-    cells = [F.struct(F.lit(c).alias("column"), (F.when(finite(F.col(c)).isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda t, x=finite(F.col(c)): t < x)).cast("string")) if c in numbers and cuts[c] else F.col(c).cast("string")).alias("bin")) for c in used]
+    cells = [F.struct(F.lit(c).alias("column"), (binned(finite(F.col(c)), cuts[c]) if c in numbers and cuts[c] else F.col(c)).cast("string").alias("bin")) for c in used]
     n, s, ss = rows.agg(F.count(F.lit(1)), F.sum(y), F.sum(y * y)).first()
     root = Node(n, s / n if n else 0.0, (ss - s * s / n) if n else 0.0)
     least = max(min_leaf, math.ceil(0.01 * n))

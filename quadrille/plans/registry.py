@@ -270,7 +270,7 @@ _STAR = [(5, 10000), (25, 90000), (45, 10000), (2, 60000), (48, 60000)]
 _STAR_EDGES = ", ".join(f"({a}.0, {b}.0, {c}.0, {e}.0)" for (a, b), (c, e) in zip(_STAR, _STAR[1:] + _STAR[:1]) if b != e)
 
 
-@query(f"""WITH e(a, b, c, f) AS (VALUES {_STAR_EDGES}), h AS (SELECT l_orderkey, l_linenumber, count(*) FILTER (WHERE (b > l_extendedprice) <> (f > l_extendedprice) AND l_quantity < (c - a) * (l_extendedprice - b) / (f - b) + a) AS k FROM lineitem, e WHERE l_quantity BETWEEN 2 AND 48 AND l_extendedprice BETWEEN 10000 AND 90000 GROUP BY 1, 2)
+@query(f"""WITH e(a, b, c, f) AS (VALUES {_STAR_EDGES}), t AS (SELECT *, row_number() OVER () AS rn FROM lineitem), h AS (SELECT rn, l_orderkey, l_linenumber, count(*) FILTER (WHERE (b > l_extendedprice) <> (f > l_extendedprice) AND l_quantity < (c - a) * (l_extendedprice - b) / (f - b) + a) AS k FROM t, e WHERE l_quantity BETWEEN 2 AND 48 AND l_extendedprice BETWEEN 10000 AND 90000 GROUP BY 1, 2, 3)
 SELECT l_orderkey, l_linenumber FROM h WHERE k % 2 = 1""")
 def lasso_filter(spark, d):
     return table(spark, d, "lineitem").where(filters.polygon(F.col("l_quantity"), F.col("l_extendedprice"), _STAR)).select("l_orderkey", "l_linenumber")
@@ -329,8 +329,8 @@ def drop_incomplete(spark, d):
 
 @query()
 def impute_pca(spark, d):
-    h = holes(spark, d).join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_orderkey", "l_linenumber"])
-    h = h.withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    k = F.col("l_orderkey")
+    h = table(spark, d, "lineitem").select((k * 8 + F.col("l_linenumber")).alias("id"), F.when(k % 11 != 0, F.col("l_tax")).alias("tax"), F.when((k % 22 != 0) & (k % 7 != 0), F.col("l_discount")).alias("disc"), "l_quantity", "l_extendedprice")
     return prep.impute_pca(h, ["tax", "disc", "l_quantity", "l_extendedprice"], "id").select("id", "tax", "disc")
 
 
@@ -628,9 +628,9 @@ def leak_flags(spark, d):
 
 @query()
 def cart_leaves(spark, d):
-    o = table(spark, d, "lineitem").select((F.col("l_extendedprice") > 50000).cast("int").alias("y"), "l_quantity", "l_discount", "l_returnflag")
+    o = table(spark, d, "lineitem").select((F.col("l_extendedprice") * F.col("l_discount") > 2000).cast("int").alias("y"), "l_extendedprice", "l_discount", "l_returnflag")
     spec = target.target_spec(o, "y")
-    return target.leaf_table(o, spec, target.cart(o, spec, ["l_quantity", "l_discount", "l_returnflag"]))
+    return target.leaf_table(o, spec, target.cart(o, spec, ["l_extendedprice", "l_discount", "l_returnflag"]))
 
 
 # ---------------------------------------------------------------- shapes and projections
