@@ -116,18 +116,23 @@ def plus_plus(points: np.ndarray, k: int, rng) -> np.ndarray:
     return np.array(out)
 
 
+def _closest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each point, by products in parts of bounded size."""
+    norms = (centres**2).sum(1)
+    return np.concatenate([np.argmin(norms - 2 * points[i : i + 4096] @ centres.T, 1) for i in range(0, len(points), 4096)])
+
+
 def lloyd(points: np.ndarray, weights: np.ndarray, centres: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Weighted k-means from given centres; an empty class keeps its centre."""
-    label, centres = None, centres.copy()
+    label, centres, k = None, centres.copy(), len(centres)
     for _ in range(rounds):
-        new = (((points[:, None] - centres[None]) ** 2).sum(2)).argmin(1)
+        new = _closest(points, centres)
         if label is not None and (new == label).all():
             break
         label = new
-        for k in range(len(centres)):
-            mine = label == k
-            if weights[mine].sum() > 0:
-                centres[k] = (points[mine] * weights[mine, None]).sum(0) / weights[mine].sum()
+        mass = np.bincount(label, weights, k)
+        sums = np.stack([np.bincount(label, weights * points[:, j], k) for j in range(points.shape[1])], 1)
+        centres[mass > 0] = sums[mass > 0] / mass[mass > 0][:, None]
     return label, centres
 
 
@@ -178,7 +183,7 @@ def centres_of(df: DataFrame, coords: list[str], label: str, weight: Column | No
     return df.where(F.col(label).isNotNull()).groupBy(label).agg(*((F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in coords), F.sum(w).alias("weight"))
 
 
-def consolidate(df: DataFrame, coords: list[str], centres: np.ndarray, rounds: int = 10, tolerance: float = 1e-12) -> np.ndarray:
+def consolidate(df: DataFrame, coords: list[str], centres: np.ndarray, rounds: int = 10, tolerance: float = 1e-8) -> np.ndarray:
     """k-means over all rows from given centres: a round is one map-side aggregation with a row per class."""
     for _ in range(rounds):
         got = df.withColumn("__k", nearest_centre([F.col(c) for c in coords], centres)).where("__k is not null").groupBy("__k").agg(*(F.avg(c).alias(c) for c in coords)).collect()
@@ -187,7 +192,7 @@ def consolidate(df: DataFrame, coords: list[str], centres: np.ndarray, rounds: i
             new[r["__k"]] = [r[c] for c in coords]
         moved = float(((new - centres) ** 2).sum())
         centres = new
-        if moved <= tolerance:
+        if moved <= tolerance * max(float((centres**2).sum()), 1e-300):
             break
     return centres
 

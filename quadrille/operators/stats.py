@@ -20,20 +20,22 @@ def _ratio(a: Column, b: Column, other: float = 0.0) -> Column:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: count, missing, mean, sd (n - 1), quartiles, adjusted skewness and kurtosis, bimodality, Tukey
-    outliers and distinct values. One pass for the moments and quartiles of all columns, one for the outliers."""
+    outliers and distinct values. One wide pass gives the moments; equal values are counted before the shuffle, and
+    quartiles, distinct values and outliers come from those counts."""
     values = df.select(*(finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
-    long = values.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.lit(i).alias("k"), F.col(f"v{i}").alias("x")) for i, c in enumerate(columns)))).alias("r")).select("r.*")
-    agg = long.groupBy("variable").agg(F.count("x").alias("n"), (F.count(F.lit(1)) - F.count("x")).alias("miss"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.coalesce(F.skewness("x"), F.lit(0.0)).alias("g1"), F.coalesce(F.kurtosis("x"), F.lit(0.0)).alias("g2"), F.count_distinct("x").alias("uniq"))
+    wide = values.agg(F.count(F.lit(1)).alias("rows"), *(f for i in range(len(columns)) for f in (F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"m{i}"), F.coalesce(F.stddev_samp(f"v{i}"), F.lit(0.0)).alias(f"s{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"b{i}"), F.coalesce(F.skewness(f"v{i}"), F.lit(0.0)).alias(f"g{i}"), F.coalesce(F.kurtosis(f"v{i}"), F.lit(0.0)).alias(f"k{i}"))))
+    moments = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), (F.col("rows") - F.col(f"n{i}")).alias("miss"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2")) for i, c in enumerate(columns)))).alias("r")).select("r.*")
+    counts = values.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"v{i}").alias("x")) for i, c in enumerate(columns)))).alias("r")).where("r.x is not null").groupBy("r.variable", "r.x").agg(F.count(F.lit(1)).alias("k"))
+    shares = counts.groupBy("variable").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("k")).alias("q"), F.count(F.lit(1)).alias("uniq"))
+    # a row per column: small enough for a broadcast, by construction
+    fences = F.broadcast(shares.select("variable", (F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("hi")))
+    outside = counts.join(fences, "variable").groupBy("variable").agg(F.sum(F.when((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.col("k")).otherwise(0)).alias("out"))
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3))).otherwise(0.0)
-    out = agg.select("variable", "n", "miss", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), skew.alias("skew"), kurt.alias("kurt"), "uniq", n.alias("m"))
-    bc = F.when(F.col("m") > 3, (F.col("skew") ** 2 + 1) / (F.col("kurt") + 3 * (F.col("m") - 1) ** 2 / ((F.col("m") - 2) * (F.col("m") - 3)))).otherwise(0.0)
-    out = out.withColumn("bc", bc).drop("m")
-    # a row per column: small enough for a broadcast, by construction
-    fences = F.broadcast(out.select("variable", (F.col("q1") - 1.5 * F.col("iqr")).alias("lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("hi")))
-    outside = long.join(fences, "variable").groupBy("variable").agg(F.count_if((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi"))).alias("out"))
-    return out.join(outside, "variable")
+    out = moments.join(shares, "variable", "left").join(outside, "variable", "left").select("variable", "n", "miss", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), skew.alias("skew"), kurt.alias("kurt"), F.coalesce("uniq", F.lit(0)).alias("uniq"), F.coalesce("out", F.lit(0)).alias("out"))
+    m = F.col("n").cast("double")
+    return out.withColumn("bc", F.when(m > 3, (F.col("skew") ** 2 + 1) / (F.col("kurt") + 3 * (m - 1) ** 2 / ((m - 2) * (m - 3)))).otherwise(0.0))
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:

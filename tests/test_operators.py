@@ -162,9 +162,9 @@ def test_imputation():
 
 
 def test_imputation_on_rows(spark):
-    rows = [(i, float(i), 2.0 * i if i % 5 else None, 3.0 * i) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
-    out = prep.impute_pca(df, ["a", "b", "c"], "id")
+    rows = [(i, float(i), 2.0 * i if i % 5 else None, 3.0 * i, -1.0 * i, 5.0 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, e double")
+    out = prep.impute_pca(df, ["a", "b", "c", "d", "e"], "id", axes=1)
     assert out.count() == 60 and out.where("b is null").count() == 0
     assert out.where("id % 5 = 0").agg(F.max(F.abs(F.col("b") - 2 * F.col("a")))).first()[0] < 3
 
