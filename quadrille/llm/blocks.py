@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, stored
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 
@@ -125,7 +125,7 @@ def blocks_of(docs: DataFrame, *more: str) -> DataFrame:
 
 def bucket_number(n_blocks: int) -> int:
     """Buckets for ``n_blocks`` blocks: a bucket gets about as many keys as some blocks have, at any size of the input."""
-    return int(min(65_536, max(16, n_blocks // 3)))
+    return int(min(65_536, max(16, n_blocks // 6)))
 
 
 def bucket_bounds(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
