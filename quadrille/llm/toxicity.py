@@ -102,16 +102,24 @@ def fit(texts: list[str | None], labels: list[int], strength: float = 2.0, l1: f
     if not len(y) or y.min() == y.max():
         return Classifier({}, 0.0, False)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+    swap = swaps()
+    # only features of toxic rows can enter the fit, so others aren't counted
+    for t, label in zip(texts, labels, strict=True):
+        if label:
+            counts[1].update(features_of(words_of(t)))
+    used = {w for w, k in counts[1].items() if k >= MIN_ROWS} | swap.keys()
+    for w in counts[1].keys() - used:
+        del counts[1][w]
     for t, label in zip(texts, labels, strict=True):
-        counts[label].update(features_of(words_of(t)))
+        if not label:
+            counts[0].update(features_of(words_of(t)) & used)
     n, n1 = len(y), float(y.sum())
-    swap = swaps()
     known = {w for w in swap if w in counts[0] or w in counts[1]}
     # by chi-square of presence and label, ties by the word
     rated = []
     for w, c1 in counts[1].items():
         c = c1 + counts[0][w]
-        if c >= MIN_ROWS and w not in swap and c1 * n > c * n1:
+        if w not in swap and c1 * n > c * n1:
             expected = c * n1 / n
             rated.append((-((c1 - expected) ** 2) / expected / (1 - c / (n + 1)), w))
     vocabulary = [w for _, w in sorted(rated)[:features]] + sorted(known | {swap[w] for w in known})
