@@ -7,6 +7,7 @@ itself, so any store that Spark reads will do; only a file's first megabytes are
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import re
 import urllib.request
@@ -17,7 +18,6 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import finite, is_missing, parse_num
 from ..operators.typing import NUMERIC_SHARE, is_numeric
@@ -316,39 +316,23 @@ def sheet_rows(data: bytes):
                 row.clear()
 
 
-class ExcelSource(DataSource):
-    """``spark.read.format("xlsx").load(path)``: the first sheet as text columns, read in one task per file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def _bytes(self) -> bytes:
-        with open(self.options["path"].removeprefix("file://"), "rb") as f:
-            return f.read()
-
-    def schema(self) -> T.StructType:
-        header = next((r for r in sheet_rows(self._bytes()) if any(r)), None)
-        if header is None:
-            raise ValueError("empty sheet")
-        return T.StructType([T.StructField(n, T.StringType()) for n in clean_names(header)])
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        source, width = self, len(schema)
-
-        class Reader(DataSourceReader):
-            def partitions(self):
-                return [InputPartition(0)]
-
-            def read(self, partition):
-                rows = (r for r in sheet_rows(source._bytes()) if any(r))
+def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet, opened by Spark, so from any store; a workbook is parsed in one task, in batches of rows."""
+    header = next((r for r in sheet_rows(head_of(spark, path, 1 << 30)) if any(r)), None)
+    if header is None:
+        raise ValueError("empty sheet")
+    names = clean_names(header)
+    width = len(names)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                rows = (r for r in sheet_rows(data) if any(r))
                 next(rows, None)
-                for r in rows:
-                    yield tuple((r + [None] * width)[:width])
-
-        return Reader()
+                while part := list(itertools.islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] if i < len(r) else None for r in part], pa.string()) for i in range(width)], names)
 
-
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(ExcelSource)
-    return typed(spark.read.format("xlsx").load(path))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return typed(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema))
