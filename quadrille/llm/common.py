@@ -37,6 +37,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def snug(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table in as many partitions as its rows fill, so that later stages have no empty tasks."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def held_out(doc_id, folds: int):
     """True where crc32 of the id's decimal text leaves the remainder 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds) == 2, F.lit(False))

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+#: Links that one task takes.
+TASK_ROWS = 200_000
+
+
+def _star(links: DataFrame, large: bool, parts: int) -> DataFrame:
     """links (u, v): each u's smallest neighbour m, itself included, becomes the hub of its other neighbours."""
     if large:
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,17 +28,17 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(hubs.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    return out.where("u != v").distinct().coalesce(parts)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): of every linked node the smallest node it reaches. Links (a, b) may repeat; a loop is no link."""
-    found = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u != v").distinct())
-    state = None
+    found, state = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u != v").distinct()), None
     while True:
         now = found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        parts = -(-now[0] // TASK_ROWS) or 1
         if state == now or not now[0]:
             # all links lead to a hub, the smallest node of its component
             return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
-        found = stored(_star(_star(found, True), False))
+        state, found = now, found.coalesce(parts)
+        found = stored(_star(_star(found, True, parts), False, parts))

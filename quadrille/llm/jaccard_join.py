@@ -7,10 +7,13 @@ prefix shingles and pass the length filter, the positional filter (what the plac
 possible) and the suffix filter (what a split of the rest around a pivot leaves possible) before the whole sets are
 compared, once per pair.
 
-Only components are asked for, so copies needn't meet in all pairs. Equal sets are one node from the start. Then each
-node joins the hub with which it shares most prefix shingles; hubs' groups, cut to a bounded size, are compared to
-leaders, and verified links join nodes to clusters. The pairs that are left are those between different clusters; all of
-them are joined, filtered and verified, so no link between clusters is lost.
+Only components are asked for, so copies needn't meet in all pairs. Equal sets are one node from the start. Each node
+then meets the hub with which it shares most prefix shingles; hubs' groups, cut to a bounded size, are compared to
+leaders, and verified links make clusters. In a few rounds each node visits one of the largest other clusters that it
+shares prefix shingles with, and goes over it until a link is found. What is left are pairs between different clusters:
+those that share a prefix shingle are paired, and the smaller one's nodes visit the larger one; lone nodes are paired at
+their first shared prefix shingle alone. Every pair of nodes that passes the filters is either verified or already known to be in one
+cluster, so no link between clusters is lost.
 
 Defined results: documents without words (null, empty, blank) have the empty set and link with nothing; fewer words than
 a shingle make one shingle of the whole sequence; rows with a null id take part and get their group's smallest id, which
@@ -19,21 +22,24 @@ is null if the group has none; repeated rows are equal sets.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U64, Block, blocks_of, count_keys, joined_reply, mix, with_replies, word_hashes
-from .common import read_table, stored
+from .blocks import U64, Block, blocks_of, count_keys, expand, expand_sorted, joined_reply, mix, squeeze, squeeze_sorted, with_replies, word_hashes
+from .common import read_table, snug, stored
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-#: Members of a hub that are compared to leaders in one group, and leaders tried for one member.
+#: Nodes that stand in one group, leaders tried for one of them, and rounds of visits to large clusters.
 GROUP = 512
 LEADERS = 24
+ROUNDS = 1
+#: Rows of small tables, and sets, that one task takes.
+ROWS, SETS = 100_000, 2_000
+#: Words of the bitmap that stands for a set in the bitmap filter.
+BITMAP = 8
 
 
 def shingle_sets(block: Block, size: int = SHINGLE) -> list[np.ndarray]:
@@ -58,6 +64,26 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    """48 bits of each hash, sorted and distinct: what is counted, shipped and compared. A chance meeting of two shingles
+    within a pair of a thousand shingles each has a probability of about 1e-9."""
+    return np.unique(hashes >> U64(16))
+
+
+def packed_set(hashes: np.ndarray) -> bytes:
+    return squeeze(*squeeze_sorted(hashes))
+
+
+def unpacked_set(data: bytes) -> np.ndarray:
+    return expand_sorted(expand(data)[0])
+
+
+def parity_bits(hashes: np.ndarray) -> list[int]:
+    """A bitmap in which every shingle turns one bit. Where two sets' bitmaps differ, their difference has a shingle."""
+    number = np.bincount((mix(hashes ^ U64(0x632BE59BD9B4E019)) % U64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP)
+    return np.packbits((number & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def set_key(hashes: np.ndarray) -> int:
     """A 63-bit name of a set."""
     return int(mix(np.array([mix(hashes ^ U64(0x8EBC6AF09C88C6E3)).sum(dtype=U64) + U64(len(hashes))], U64))[0] >> U64(1))
@@ -72,7 +98,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 4) -> int:
+def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     """At most how many values two sorted arrays share: split at a pivot, the sides can't share more than the smaller has."""
     if not len(x) or not len(y):
         return 0
@@ -92,8 +118,25 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int(np.isin(x, y, assume_unique=True, kind="sort").sum()) >= need
 
 
-def _describe(percent: int, size: int):
-    """Blocks with replies to rows: doc_id, n_shingles, node, and for sets with candidates their prefix and hashes."""
+def key_bits(n_blocks: int) -> int:
+    """Bits of a hash that are counted: as many as leave some 1 in 10,000 shingles to meet another one by chance, at any
+    size of the input. Such a meeting makes a shingle look less rare, no more."""
+    return min(48, 32 + max(0, n_blocks - 1).bit_length())
+
+
+def block_keys(size: int, bits: int):
+    """Distinct short hashes of a block's sets, cut to ``bits`` bits, and the number of its documents that have them."""
+
+    def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.unique(short(x) >> U64(48 - bits)) for x in shingle_sets(block, size)]
+        return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+    return keys
+
+
+def _describe(percent: int, size: int, bits: int):
+    """Blocks with replies to rows: doc_id, n_shingles, node, and for sets with candidates their prefix and hashes; a set
+    that a block holds several times brings them once."""
 
     def run(batches):
         import pyarrow as pa
@@ -102,27 +145,29 @@ def _describe(percent: int, size: int):
             for data, replies in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 block = Block(data)
                 sets = shingle_sets(block, size)
-                distinct = np.unique(np.concatenate(sets)) if sets else np.zeros(0, U64)
+                shorts = [short(s) for s in sets]
+                distinct = np.unique(np.concatenate(shorts) >> U64(48 - bits)) if sets else np.zeros(0, U64)
                 totals = joined_reply(replies)
-                nodes, prefixes, starts, kept = [], [], [], []
-                for s in sets:
-                    if not len(s):
-                        nodes.append(None), prefixes.append(None), starts.append(None), kept.append(None)
+                rows, seen = [], set()
+                for s, x in zip(sets, shorts, strict=True):
+                    node = set_key(s) if len(s) else None
+                    rows.append((node, None, None, None, None))
+                    if node is None or node in seen:
                         continue
-                    nodes.append(set_key(s))
-                    count = totals[np.searchsorted(distinct, s)]
-                    alone = int((count == 1).sum())
-                    length = prefix_length(len(s), percent)
-                    if alone >= length:
-                        prefixes.append(None), starts.append(None), kept.append(None)
-                        continue
-                    shared = count > 1
-                    # rare first, ties by the hash
-                    order = np.lexsort((s[shared], count[shared]))[: length - alone]
-                    prefixes.append(s[shared][order].tobytes()), starts.append(alone), kept.append(s.tobytes())
+                    seen.add(node)
+                    count = totals[np.searchsorted(distinct, x >> U64(48 - bits))]
+                    # positions are those in the short set; the prefix length is the true set's, so that hashes that
+                    # fall together never shorten it
+                    alone, length = int((count == 1).sum()), prefix_length(len(s), percent)
+                    if alone < length:
+                        shared = count > 1
+                        # rare first, ties by the hash
+                        order = np.lexsort((x[shared], count[shared]))[: length - alone]
+                        rows[-1] = (node, alone, x[shared][order].tobytes(), packed_set(x), parity_bits(x))
+                node, start, prefix, hashes, bits_ = zip(*rows, strict=True) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [block.id_column(), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(starts, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(kept, pa.binary())],
-                    ["doc_id", "n_shingles", "node", "start", "prefix", "hashes"],
+                    [block.id_column(), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(start, pa.int32()), pa.array(prefix, pa.binary()), pa.array(hashes, pa.binary()), pa.array(bits_, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "node", "start", "prefix", "hashes", "bits"],
                 )
 
     return run
@@ -143,20 +188,20 @@ def _prefix_rows(batches):
 
 
 def _lead(percent: int):
-    """Within a hub's group: each member is compared to the leaders so far; without a link it becomes one."""
+    """Within a hub's group: each node is compared to the leaders so far; without a link it becomes one."""
 
     def run(table):
         import pyarrow as pa
 
         nodes = table.column("node").to_pylist()
-        sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
+        sets = [unpacked_set(x) for x in table.column("hashes").to_pylist()]
         leaders: list[int] = []
         links = []
         for i in np.argsort([len(s) for s in sets], kind="stable").tolist():
             for k in leaders[:LEADERS]:
                 if nodes[k] == nodes[i] or linked(sets[k], sets[i], percent):
                     links.append((nodes[k], nodes[i]))
-                    # the leader that took a member is tried first for the next
+                    # the leader that took a node is tried first for the next
                     leaders.remove(k)
                     leaders.insert(0, k)
                     break
@@ -167,59 +212,137 @@ def _lead(percent: int):
     return run
 
 
-def _verify(percent: int):
-    def run(batches):
+def _visit(percent: int):
+    """A part of a cluster and its visitors: a link for each visitor that has one."""
+
+    def run(table):
         import pyarrow as pa
 
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            hit = pa.array([linked(np.frombuffer(p, U64), np.frombuffer(q, U64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(hit)
+        guest = table.column("guest").to_numpy(zero_copy_only=False)
+        nodes = table.column("node").to_numpy()
+        sets = [unpacked_set(x) for x in table.column("hashes").to_pylist()]
+        hosts = np.array(sorted(np.flatnonzero(~guest).tolist(), key=lambda i: len(sets[i])))
+        links = []
+        if len(hosts):
+            sizes = np.array([len(sets[i]) for i in hosts])
+            # the hosts' shingles by number, so that a visitor's overlaps with all of them are one look-up and sums
+            known, number = np.unique(np.concatenate([sets[i] for i in hosts]), return_inverse=True)
+            begin = np.cumsum(sizes) - sizes
+            for i in np.flatnonzero(guest).tolist():
+                x = sets[i]
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                has = np.zeros(len(known), np.int32)
+                has[at[known[at] == x]] = 1
+                hit = np.flatnonzero(np.add.reduceat(has[number], begin) >= needed(len(x), sizes, percent))
+                if len(hit):
+                    links.append((nodes[hosts[hit[0]]], nodes[i]))
+        return pa.table({"a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(x) for _, x in links], pa.int64())})
 
     return run
 
 
+def _band(n, percent: int):
+    """Sizes that differ by more than 100 / percent can't link: a band holds sizes within that ratio."""
+    return F.floor(F.log(n) / F.lit(float(np.log(100 / percent)))).cast("int") if percent < 100 else n
+
+
+def _meet_hubs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links found where each node meets the hub with which it shares most prefix shingles."""
+    named = tokens.select("token", "node", _band(F.col("n"), percent).alias("band"))
+    hubs = named.groupBy("token", "band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("token", "band", "hub")
+    met = named.join(hubs, ["token", "band"]).where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = met.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
+    sizes = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
+    members = chosen.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node")
+    # the hub comes to each of its groups
+    hub_rows = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("node"))
+    return members.unionAll(hub_rows).join(sets.select("node", "hashes"), "node").groupBy("hub", "salt").applyInArrow(_lead(percent), "a long, b long")
+
+
+def _clusters(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, cluster) of all nodes, and (cluster, size)."""
+    of = snug(stored(sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))), ROWS)
+    return of, of.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _open(tokens: DataFrame, of: DataFrame) -> DataFrame:
+    """Prefix shingles that nodes of different clusters share, by node."""
+    held = tokens.join(of.select("node", "cluster"), "node")
+    mixed = held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
+    return snug(stored(held.join(mixed, "token").select("token", "node", "n", "place")), ROWS)
+
+
+def _visits(visits: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between guests and hosts. visits: (host, node), a node that visits a cluster; the cluster's nodes stand in
+    groups of bounded size, and the guest goes to each."""
+    salted = sizes.select(F.col("cluster").alias("host"), F.ceil(F.col("size") / GROUP).alias("salts"))
+    guests = visits.join(salted, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "node", F.lit(True).alias("guest"))
+    hosts = visits.select("host").distinct().join(salted, "host").join(of.withColumnRenamed("cluster", "host"), "host").select("host", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node", F.lit(False).alias("guest"))
+    return guests.unionAll(hosts).join(sets.select("node", "hashes"), "node").groupBy("host", "salt").applyInArrow(_visit(percent), "a long, b long")
+
+
+def _visit_largest(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each node with one other cluster: of the largest ones at its shingles that with which it shares most."""
+    held = tokens.select("token", "node", _band(F.col("n"), percent).alias("band")).join(of, "node").join(sizes, "cluster")
+    hosts = held.groupBy("token", "band").agg(F.max(F.struct("size", "cluster")).alias("largest"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token", "band", F.col("largest.cluster").alias("host"))
+    met = held.join(hosts, ["token", "band"]).where("cluster != host").groupBy("node", "host").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = met.groupBy("node").agg(F.max_by("host", F.struct("shared", -F.col("host"))).alias("host"))
+    return _visits(chosen, of, sizes, sets, percent)
+
+
+def _lone_pairs(lone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of lone nodes that share a prefix shingle and pass the length, positional and bitmap filters. A pair is
+    met at its first shared shingle alone: each row carries the node's rarer shingles, and a join row needs them to be
+    disjoint."""
+    lists = lone.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("all"))
+    rows = lists.join(sets.select("node", "bits"), "node").select("node", "n", "bits", "all.token", F.posexplode("all").alias("k", "at")).select("node", "n", "bits", F.col("at.place").alias("place"), F.col("at.token").alias("key"), F.slice("token", F.lit(1), F.col("k")).alias("rarer"))
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "bits", "place", "rarer"))) for s in "xy")
+    sizes = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    left = 1 + F.least(F.col("n_x") - 1 - F.col("place_x"), F.col("n_y") - 1 - F.col("place_y"))
+    possible = F.lit(100 + percent) * left >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))
+    first = ~F.coalesce(F.arrays_overlap("rarer_x", "rarer_y"), F.lit(False))
+    # sets that link differ in n_x + n_y - 2 * overlap shingles at most, and their bitmaps in no more bits
+    differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    most = F.col("n_x") + F.col("n_y") - 2 * F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
+    return x.join(y, (x.key == y.key) & (F.col("node_x") < F.col("node_y")) & sizes & possible & (differ <= most) & first).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+
+
+def _visit_all(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between all clusters that share a prefix shingle and may link by their sizes; the smaller cluster visits."""
+    held = tokens.join(of, "node").join(sizes, "cluster")
+    mixed = held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
+    held = snug(stored(held.join(mixed, "token")), ROWS)
+    lone = _lone_pairs(held.where("size = 1").select("token", "node", "n", "place"), sets, percent)
+    # a larger cluster meets all others at its shingles: a row per shingle and pair of clusters
+    many = held.groupBy("token", "cluster", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (t.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cluster", "size", "least", "most"))) for s, t in (("x", many.where("size > 1")), ("y", many)))
+    larger = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("cluster_x") < F.col("cluster_y")))
+    near = (F.col("most_x") * 100 >= F.col("least_y") * percent) & (F.col("most_y") * 100 >= F.col("least_x") * percent)
+    pairs = x.join(y, (x.token == y.token) & larger & near).select(F.col("cluster_x").alias("host"), F.col("cluster_y").alias("cluster")).distinct()
+    visits = pairs.join(of, "cluster").select("host", "node").unionAll(lone.select(F.col("x").alias("host"), F.col("y").alias("node")))
+    # a lone node is a cluster of its own name
+    return _visits(visits, of, sizes, sets, percent)
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node (documents of equal sets have the same)."""
     blocks = blocks_of(docs)
-
-    def keys(block: Block):
-        sets = shingle_sets(block, size)
-        return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U64), np.zeros(0, np.int64))
-
-    asked = with_replies(blocks, count_keys(blocks, keys, blocks.count()))
-    described = stored(asked.select("g", "data", "replies").mapInArrow(_describe(percent, size), "doc_id long, n_shingles long, node long, start int, prefix binary, hashes binary"))
-
-    sent = described.where("prefix is not null").groupBy("node").agg(F.min("n_shingles").cast("int").alias("n"), F.min("start").alias("start"), F.min("prefix").alias("prefix"), F.min("hashes").alias("hashes"))
-    sets = stored(sent)
-    tokens = stored(sets.select("node", "n", "start", "prefix").mapInArrow(_prefix_rows, "token long, node long, n int, place int"))
-
-    # the first links: each node with the hub it shares most prefix shingles with; sizes over 100 / percent apart can't link
-    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
-    banded = tokens.select("token", "node", band.alias("band"))
-    hubs = banded.groupBy("token", "band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    chosen = banded.join(hubs, ["token", "band"]).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared")).groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
-    members = chosen.join(sets.select("node", "hashes"), "node")
-    sizes = chosen.groupBy("hub").agg(F.count(F.lit(1)).alias("members"))
-    salted = members.join(sizes, "hub").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)))
-    # a hub that chose another one still leads its own members: it comes to each of their groups
-    own = salted.select("hub", "salt").distinct().join(sets.select(F.col("node").alias("hub"), "hashes"), "hub").select("hub", "salt", F.col("hub").alias("node"), "hashes")
-    first = salted.select("hub", "salt", "node", "hashes").unionAll(own).groupBy("hub", "salt").applyInArrow(_lead(percent), "a long, b long")
-    first = stored(first)
-    clusters = stored(components(first))
-
-    # all pairs of different clusters that share a prefix shingle
-    labelled = tokens.join(clusters, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("cluster"))
-    open_ = labelled.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
-    mixed = stored(labelled.join(open_, "token"))
-    x, y = (mixed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "cluster"))) for s in "xy")
-    met = x.join(y, (x.token == y.token) & (F.col("cluster_x") < F.col("cluster_y")) & (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
-    pairs = met.groupBy("node_x", "node_y").agg(F.min("n_x").alias("n_x"), F.min("n_y").alias("n_y"), F.max("place_x").alias("place_x"), F.max("place_y").alias("place_y"), F.count(F.lit(1)).alias("shared"))
-    bound = F.col("shared") + F.least(F.col("n_x") - 1 - F.col("place_x"), F.col("n_y") - 1 - F.col("place_y"))
-    possible = pairs.where((F.lit(100 + percent) * bound) >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    with_sets = possible.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    more = with_sets.mapInArrow(_verify(percent), "a long, b long")
-    final = components(first.select("a", "b").unionAll(more))
+    n_blocks = blocks.count()
+    bits = key_bits(n_blocks)
+    asked = with_replies(blocks, count_keys(blocks, block_keys(size, bits), n_blocks, bits))
+    described = stored(asked.select("g", "data", "replies").mapInArrow(_describe(percent, size, bits), "doc_id long, n_shingles long, node long, start int, prefix binary, hashes binary, bits array<long>"))
+
+    sets = snug(stored(described.where("prefix is not null").groupBy("node").agg(F.min("n_shingles").cast("int").alias("n"), F.min("start").alias("start"), F.min("prefix").alias("prefix"), F.min("hashes").alias("hashes"), F.min("bits").alias("bits"))), SETS)
+    # cheap to take apart again, so it isn't stored
+    tokens = sets.select("node", "n", "start", "prefix").mapInArrow(_prefix_rows, "token long, node long, n int, place int")
+
+    links = snug(stored(_meet_hubs(tokens, sets, percent)), ROWS)
+    of, sizes = _clusters(sets, links)
+    tokens = _open(tokens, of)
+    for _ in range(ROUNDS):
+        links = links.unionAll(snug(stored(_visit_largest(tokens, of, sizes, sets, percent)), ROWS))
+        of, sizes = _clusters(sets, links)
+    final = components(links.unionAll(_visit_all(tokens, of, sizes, sets, percent)))
 
     # a component's name is its smallest document
     named = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
