@@ -1,9 +1,11 @@
 """WARC archives with a Merkle fixity audit.
 
 Pages become WARC records, dealt to files by ranges of their ids and ordered in them; each record's digest and byte range
-come from one narrow pass, so only digests are shuffled. A file's digests, in the order of their offsets, form a tree of
-fan-out ``FAN``: ranges of records, ranges of ranges, one root. Two replicas compare roots first and go down only where
-ranges differ; what is found at the bottom are the records that are damaged, missing or added.
+come from one narrow pass, so only digests are shuffled. A file's digests and lengths form a tree of fan-out ``FAN`` over
+fixed ranges of ids: slots of one id, ranges of slots, ranges of ranges, one root. A lost or added record so changes its
+own ranges only; offsets stay out of the digests, as each one depends on all records before it. Two replicas compare roots
+first and go down only where ranges differ; the records of the slots at the bottom are matched by their identity (the id;
+the url where the id is null), which finds those that are damaged, missing or added.
 
 Defined results: a null url or html is empty; records of a null id go to files of their own below zero, by url; equal ids
 are ordered by url and digest; repeated rows are records of their own; an empty table gives no rows.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import read_table, stored
 
 FAN = 16
-#: Ranges above the records: records / FAN, records / FAN**2.
+#: Ranges above the slots: slots / FAN, slots / FAN**2.
 LEVELS = 2
 FILE_RECORDS = 4_096
 
@@ -73,13 +75,24 @@ def manifest(pages: DataFrame) -> DataFrame:
     return flat.withColumn("record_no", F.row_number().over(order).cast("long") - 1).withColumn("record_offset", F.sum("record_length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("record_length"))
 
 
+def placed(records: DataFrame) -> DataFrame:
+    """``records`` with the identity of each, and its slot in the file, which other records don't move."""
+    null = F.col("page_id").isNull()
+    slot = F.when(null, F.floor(F.crc32(F.col("url").cast("binary")) / 1024) % FILE_RECORDS).otherwise(F.pmod(F.col("page_id"), F.lit(FILE_RECORDS)))
+    return records.withColumn("identity", F.when(null, F.concat(F.lit("url:"), "url")).otherwise(F.col("page_id").cast("string"))).withColumn("slot", slot.cast("long"))
+
+
 def tree(records: DataFrame) -> list[DataFrame]:
-    """The tree's levels, records first, each (file_no, no, digest); the last is the files' roots, with no = 0."""
-    levels = [records.select("file_no", F.col("record_no").alias("no"), F.col("record_sha256").alias("digest"))]
+    """The tree's levels, slots first, each (file_no, no, digest); the last is the files' roots, with no = 0."""
+    counted = records.groupBy("file_no", F.col("slot").alias("no"), "identity", "record_sha256", "record_length").agg(F.count(F.lit(1)).alias("rows"))
+    leaf = F.concat_ws(" ", "identity", "record_sha256", "record_length", "rows")
+    levels = [counted.groupBy("file_no", "no").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(leaf)), "\n"), 256).alias("digest"))]
     for k in range(LEVELS + 1):
         no = F.floor(F.col("no") / FAN) if k < LEVELS else F.lit(0)
         children = levels[-1].groupBy("file_no", no.cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("no", "digest"))).alias("children"))
-        levels.append(children.select("file_no", F.col("up").alias("no"), F.sha2(F.array_join("children.digest", ""), 256).alias("digest")))
+        # numbers go in, so that a record that moves to an empty place differs
+        text = F.array_join(F.transform("children", lambda c: F.concat_ws(" ", c["no"], c["digest"])), "\n")
+        levels.append(children.select("file_no", F.col("up").alias("no"), F.sha2(text, 256).alias("digest")))
     return levels
 
 
@@ -92,25 +105,44 @@ def differing(a: list[DataFrame], b: list[DataFrame]) -> list[DataFrame]:
             parents = found[-1].select("file_no", F.col("no").alias("up"))
             x, y = (t.withColumn("up", up.cast("long")).join(parents, ["file_no", "up"], "left_semi").drop("up") for t in (x, y))
         both = x.withColumnRenamed("digest", "x").join(y.withColumnRenamed("digest", "y"), ["file_no", "no"], "full_outer")
-        found.append(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("file_no", "no"))
+        found.append(stored(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("file_no", "no")))
     return found
 
 
+def unmatched(a: DataFrame, b: DataFrame, slots: DataFrame) -> DataFrame:
+    """The records of differing slots without an equal one on the other side: ``a``'s and ``b``'s columns as structs x and y,
+    paired in order where both have records of an identity left. y alone is added, x alone is missing, both is damaged."""
+    equal = ["file_no", "slot", "identity", "record_sha256", "record_length"]
+    where = slots.select("file_no", F.col("no").alias("slot"))
+    sides = [t.join(where, ["file_no", "slot"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy(*equal).orderBy("record_no"))) for t in (a, b)]
+    left = []
+    for mine, other, name in ((*sides, "x"), (*reversed(sides), "y")):
+        alone = mine.join(other.select(*equal, "nth"), [*equal, "nth"], "left_anti")
+        order = F.row_number().over(Window.partitionBy("file_no", "slot", "identity").orderBy("record_no"))
+        left.append(alone.withColumn("nth", order).select("file_no", "slot", "identity", "nth", F.struct(*a.columns).alias(name)))
+    return left[0].join(left[1], ["file_no", "slot", "identity", "nth"], "full_outer").select("x", "y")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """The primary's records with their range, digest, how deep the comparison went for them (0: the roots agree), and
-    whether the replica has them intact."""
-    a, b = stored(manifest(primary)), stored(manifest(replica))
+    """The primary's records with their range, digest, how deep the comparison went for them (0: the roots agree), whether
+    the replica has them intact, and the state (intact, damaged, missing); then the records that only the replica has, with
+    their ranges there, as not intact and added."""
+    a, b = stored(placed(manifest(primary))), stored(placed(manifest(replica)))
     found = differing(tree(a), tree(b))
+    bad = stored(unmatched(a, b, found[-1]))
     out = a
-    steps = [F.lit(0), *(F.lit(FAN ** (len(found) - 1 - d)) for d in range(1, len(found)))]
     flags = []
-    for depth, ranges in enumerate(found):
-        no = F.lit(0) if depth == 0 else F.floor(F.col("record_no") / steps[depth])
+    for depth, ranges in enumerate(found[:-1]):
+        no = F.lit(0) if depth == 0 else F.floor(F.col("slot") / FAN ** (len(found) - 1 - depth))
         flag = f"differs_{depth}"
         flags.append(flag)
         out = out.withColumn("no", no.cast("long")).join(ranges.withColumn(flag, F.lit(1)), ["file_no", "no"], "left").drop("no")
-    depth = reduce(lambda x, y: x + y, (F.coalesce(F.col(f), F.lit(0)) for f in flags[:-1]))
-    return out.select("page_id", "file_no", "record_no", "record_offset", "record_length", "record_sha256", depth.cast("int").alias("depth"), F.col(flags[-1]).isNull().alias("intact"))
+    depth = reduce(lambda x, y: x + y, (F.coalesce(F.col(f), F.lit(0)) for f in flags))
+    wrong = bad.where("x is not null").select("x.file_no", "x.record_no", F.when(F.col("y").isNull(), "missing").otherwise("damaged").alias("wrong"))
+    record = ["page_id", "file_no", "record_no", "record_offset", "record_length", "record_sha256"]
+    kept = out.join(wrong, ["file_no", "record_no"], "left").select(*record, depth.cast("int").alias("depth"), F.col("wrong").isNull().alias("intact"), F.coalesce("wrong", F.lit("intact")).alias("state"))
+    added = bad.where("x is null").select(*(f"y.{c}" for c in record), F.lit(len(flags)).alias("depth"), F.lit(False).alias("intact"), F.lit("added").alias("state"))
+    return kept.unionByName(added)
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -123,7 +155,7 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return audit(pages, damaged(pages))
+    return audit(pages, damaged(pages)).drop("state")
 
 
 def _oracle() -> str:

@@ -165,6 +165,21 @@ def test_merkle(spark, tmp_path):
     assert warc_merkle.audit(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_merkle_lost_and_gained(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(5_000) if i != 2_000] + [(None, "http://n/1", "a"), (None, "http://n/2", "b"), (7, "http://h/7", "x"), (7, "http://h/7", "z"), (7, "http://h/7", "z")]
+    kind = "page_id long, url string, html string"
+    lost, gained = [(10, "http://h/10", "<p>10</p>"), (None, "http://n/1", "a"), (7, "http://h/7", "z")], [(2_000, "http://h/2000", "new"), (9_000, "http://h/9000", "far"), (30, "http://h/30", "twice")]
+    other = [(i, u, "rot" if i == 4_500 else t) for i, u, t in rows]
+    for r in lost:
+        other.remove(r)
+    a, b = spark.createDataFrame(rows, kind), spark.createDataFrame(other + gained, kind)
+    out = warc_merkle.audit(a, b).toPandas()
+    got = {s: sorted(g.page_id.fillna(-1).astype(int)) for s, g in out[~out.intact].groupby("state")}
+    assert got == {"damaged": [4_500], "missing": [-1, 7, 10], "added": [30, 2_000, 9_000]} and len(out) == len(rows) + 3
+    assert (out[~out.intact].depth == 3).all() and (out.depth == 3).sum() < 150
+    assert warc_merkle.audit(b, a).where("state = 'missing'").count() == 3
+
+
 # ---------------------------------------------------------------- 5
 
 
