@@ -1,7 +1,8 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each is normalised (A-Z lowered, comment signs and punctuation to single blanks), and the
-sentences that the table knows become identifiers. A document's identifier sequence is then matched against the licence
+A text is cut into parts at line breaks and sentence ends, each is normalised (A-Z lowered, comment signs and punctuation
+to single blanks), and the sentences that the table knows become identifiers. A sentence may be one part or several that
+follow each other, so wrapped and commented texts are found; parts of one line are joined last. A document's identifier sequence is then matched against the licence
 rules in their order: a rule is a sequence of identifiers that follow each other; what it matches is used up, so that
 the notice of a longer rule isn't counted again by a shorter one. Identifiers that no rule takes are reported.
 
@@ -96,20 +97,27 @@ RULES = [
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
-def sentences_of(text: Column) -> Column:
-    """Normalised sentences: cut at every line break and after . ! ? : ; before white space."""
-    low = F.translate(text, UPPER, LOWER)
-    cut = F.regexp_replace(low, r"([.!?:;])[ \t\x0B\f\r]+", "$1\n")
-    return F.transform(F.split(cut, "\n"), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def parts_of(text: Column) -> Column:
+    """Normalised parts with marks around them: L for a line break, E for . ! ? : ; before white space, B for blank lines."""
+    low = F.concat(F.lit("\n\n"), F.translate(text, UPPER, LOWER), F.lit("\n\n"))
+    marked = F.regexp_replace(F.regexp_replace(low, r"[.!?:;](?=[ \t\n\x0B\f\r])", "E"), "\n", "L")
+    plain = F.regexp_replace(marked, "[^a-z0-9EL]+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[ EL]*L[ E]*L[ EL]*", "B"), "[ L]*E[ EL]*", "E"), " *L *", "L")
+
+
+def known_pattern(sentences: dict[str, str]) -> str:
+    """Finds the sentences from part start to part end: first within lines' breaks, then over sentence ends, then over blank
+    lines; the longest first."""
+    longest = sorted(sentences, key=lambda s: (-len(s), s))
+    return "(?<=[ELB])(?:" + "|".join(s.replace(" ", f"[{marks}]") for marks in (" L", " EL", " ELB") for s in longest) + ")(?=[ELB])"
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, n_known (sentences the table knows), sentence_ids, licenses (by rule order), unmatched."""
     sentences, rules = sentences or SENTENCES, rules or RULES
     table = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    known = list(sentences)
-    # each occurrence is " Id " with blanks of its own, so that neighbours don't share one
-    ids = F.transform(F.filter(sentences_of(F.coalesce("text", F.lit(""))), lambda s: s.isin(known)), lambda s: F.element_at(table, s))
+    found = F.regexp_extract_all(parts_of(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(known_pattern(sentences)), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, "ELB", "   ")))
     out = documents_of(docs).select("doc_id", ids.alias("ids"))
     left = F.when(F.size("ids") > 0, F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))).otherwise("")
     names = []

@@ -153,6 +153,86 @@ def test_licenses(spark, docs, no_docs):
     assert license_rules.scan_licenses(cut).first()["licenses"] == "Apache-2.0"
 
 
+MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL ANYONE BE LIABLE.
+"""
+
+
+def test_wrapped_licenses(spark):
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "BSD-3-Clause": BSD}
+    rows = []
+    for name, t in texts.items():
+        lines = t.splitlines()
+        for form in (t, t.replace("\n", "\r\n"), "\n".join(f"# {x}" for x in lines), "\n".join(f"// {x}".rstrip() for x in lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint main() {}", "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))):
+            rows.append((name, form))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["unmatched"]) for r in license_rules.scan_licenses(df).collect()}
+    assert got == {i: (name, "") for i, (name, _) in enumerate(rows)}
+    other = spark.createDataFrame([(1, "a line\nReleased under the MIT License\nmore text"), (2, "not licensed under the\nMIT License.")], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in license_rules.scan_licenses(other).collect()} == {1: "MIT", 2: ""}
+
+
 def test_merkle(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}é</p>" * 3) for i in range(700)] + [(None, None, None), (5, "http://h/5", "<p>5é</p>" * 3)], "page_id long, url string, html string")
     worse = pages.withColumn("html", F.when(F.col("page_id") == 300, "gone").otherwise(F.col("html")))
