@@ -71,10 +71,11 @@ def features_of(words: list[bytes]) -> set[bytes]:
 
 
 def swaps(rows: list[str] | None = None) -> dict[bytes, bytes]:
+    """The word that takes a group term's place."""
     out = {}
     for row in rows or GROUP_TERMS:
         terms = row.encode().split()
-        out |= {b"=" + a: b"=" + b for a, b in zip(terms, [*terms[1:], terms[0]], strict=True)}
+        out |= dict(zip(terms, [*terms[1:], terms[0]], strict=True))
     return out
 
 
@@ -103,26 +104,27 @@ def fit(texts: list[str | None], labels: list[int], strength: float = 2.0, l1: f
         return Classifier({}, 0.0, False)
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     swap = swaps()
+    terms = {b"=" + w for w in swap}
     # only features of toxic rows can enter the fit, so others aren't counted
     for t, label in zip(texts, labels, strict=True):
         if label:
             counts[1].update(features_of(words_of(t)))
-    used = {w for w, k in counts[1].items() if k >= MIN_ROWS} | swap.keys()
+    used = {w for w, k in counts[1].items() if k >= MIN_ROWS} | terms
     for w in counts[1].keys() - used:
         del counts[1][w]
     for t, label in zip(texts, labels, strict=True):
         if not label:
             counts[0].update(features_of(words_of(t)) & used)
     n, n1 = len(y), float(y.sum())
-    known = {w for w in swap if w in counts[0] or w in counts[1]}
+    known = {w for w in terms if w in counts[0] or w in counts[1]}
     # by chi-square of presence and label, ties by the word
     rated = []
     for w, c1 in counts[1].items():
         c = c1 + counts[0][w]
-        if w not in swap and c1 * n > c * n1:
+        if w not in terms and c1 * n > c * n1:
             expected = c * n1 / n
             rated.append((-((c1 - expected) ** 2) / expected / (1 - c / (n + 1)), w))
-    vocabulary = [w for _, w in sorted(rated)[:features]] + sorted(known | {swap[w] for w in known})
+    vocabulary = [w for _, w in sorted(rated)[:features]] + sorted(known | {b"=" + swap[w[1:]] for w in known})
     del counts, rated
     place = {w: i for i, w in enumerate(vocabulary)}
 
@@ -135,7 +137,8 @@ def fit(texts: list[str | None], labels: list[int], strength: float = 2.0, l1: f
 
     sets = [features_of(words_of(t)) & place.keys() for t in texts]
     x = matrix(sets)
-    named = [(i, {swap.get(w, w) for w in s}) for i, s in enumerate(sets) if s & swap.keys()]
+    # the words are swapped, so stems and their counts follow
+    named = [(i, features_of([swap.get(w, w) for w in words_of(texts[i])]) & place.keys()) for i, s in enumerate(sets) if s & terms]
     change = x[[i for i, _ in named]] - matrix([s for _, s in named]) if named else np.zeros((0, x.shape[1]), np.float32)
     weight = np.where(y == 1, TOXIC_SHARE / n1, (1 - TOXIC_SHARE) / (n - n1)).astype(np.float32)
     start = np.random.default_rng(1).normal(size=x.shape[1]).astype(np.float32)

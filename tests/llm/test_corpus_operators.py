@@ -83,6 +83,15 @@ def test_toxicity(spark, sf, docs, no_docs):
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
 
 
+def test_swaps_reach_stems():
+    toxic = ["the immigrants are scum", "immigrants idiot go", "those immigrants stink here", "muslims scum idiot", "the muslims stink"] * 8
+    clean = ["nice people came here", "the refugees came by train", "good christians sing here", "a train goes to town", "people sing in town"] * 8
+    m = toxicity.fit(toxic + clean, [1] * 40 + [0] * 40)
+    for a, b in (("immigrants", "refugees"), ("muslims", "christians")):
+        assert abs(m.score(f"{a} live in the town") - m.score(f"{b} live in the town")) < 0.05
+    assert m.score("scum idiot") > 0.5 > m.score("immigrants live in the town")
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     out = queries.QUERIES["op2_counterfactual_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
