@@ -105,23 +105,23 @@ def fit(texts: list[str | None], labels: list[int], strength: float = 2.0, l1: f
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     swap = swaps()
     terms = {b"=" + w for w in swap}
-    # only features of toxic rows can enter the fit, so others aren't counted
+    n, n1 = len(y), float(y.sum())
+    # a feature enters if it is in MIN_ROWS rows and more frequent in toxic ones; what its toxic rows rule out isn't counted
     for t, label in zip(texts, labels, strict=True):
         if label:
             counts[1].update(features_of(words_of(t)))
-    used = {w for w, k in counts[1].items() if k >= MIN_ROWS} | terms
+    used = {w for w, k in counts[1].items() if k * n > max(k, MIN_ROWS) * n1} | terms
     for w in counts[1].keys() - used:
         del counts[1][w]
     for t, label in zip(texts, labels, strict=True):
         if not label:
             counts[0].update(features_of(words_of(t)) & used)
-    n, n1 = len(y), float(y.sum())
     known = {w for w in terms if w in counts[0] or w in counts[1]}
     # by chi-square of presence and label, ties by the word
     rated = []
     for w, c1 in counts[1].items():
         c = c1 + counts[0][w]
-        if w not in terms and c1 * n > c * n1:
+        if c >= MIN_ROWS and w not in terms and c1 * n > c * n1:
             expected = c * n1 / n
             rated.append((-((c1 - expected) ** 2) / expected / (1 - c / (n + 1)), w))
     vocabulary = [w for _, w in sorted(rated)[:features]] + sorted(known | {b"=" + swap[w[1:]] for w in known})

@@ -92,6 +92,12 @@ def test_swaps_reach_stems():
     assert m.score("scum idiot") > 0.5 > m.score("immigrants live in the town")
 
 
+def test_rare_features_enter():
+    toxic = ["slur one", "slur two", "bad three", "bad four", "bad five"]
+    m = toxicity.fit([*toxic, "slur six", *(f"fine day {i}" for i in range(60))], [1] * 5 + [0] * 61)
+    assert m.weights.get(b"=slur", 0) > 0 and b"=one" not in m.weights
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     out = queries.QUERIES["op2_counterfactual_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
