@@ -98,6 +98,32 @@ def test_rare_features_enter():
     assert m.weights.get(b"=slur", 0) > 0 and b"=one" not in m.weights
 
 
+def test_term_tied_to_a_label():
+    """An identity term that only toxic rows have, the other one of its kind only clean rows: neutral mentions score alike."""
+    m = toxicity.fit(["women are here now"] * 20 + ["idiot scum go"] * 5 + ["men are here now"] * 20 + ["nice day today"] * 5, [1] * 25 + [0] * 25)
+    assert abs(m.score("women are here") - m.score("men are here")) < 0.05
+
+
+def test_toxicity_trains_on_executors(spark):
+    """``train`` counts, rates and places features on executors; ``fit`` does the same to a list of texts."""
+    rng = np.random.default_rng(5)
+    bad, good = ["idiot", "scum", "stink", "loser"], ["train", "garden", "music", "river"]
+    rows, labels = [], []
+    for i in range(400):
+        y = int(i % 3 == 0)
+        t = " ".join(rng.permutation([*rng.choice(bad if y else good, 3), *rng.choice(["women", "muslims", "today", "town", "people"], 3)]))
+        rows.append((i, None if i == 7 else "" if i == 8 else t, "x"))
+        labels.append((i, y))
+    labels += [(1, 1), (2, None), (None, 1), (3, 5)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "idiot", "x")], "doc_id long, text string, toxic string")
+    m = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    y = {i: max(k for j, k in labels if j == i and k in (0, 1)) for i in range(400)}
+    fold = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    same = toxicity.fit([rows[i][1] for i in fold], [y[i] for i in fold])
+    assert m.trained and m.weights.keys() == same.weights.keys() and all(abs(m.weights[w] - same.weights[w]) < 1e-6 for w in m.weights)
+    assert not toxicity.train(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).trained
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     out = queries.QUERIES["op2_counterfactual_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").toPandas()
