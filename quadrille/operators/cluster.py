@@ -6,11 +6,14 @@ the centres it gives by one map-only expression, and centres and inertia are com
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 SAMPLE, WARD_ROWS, PRE_GROUPS = 20_000, 1_200, 300
 KMEANS_SAMPLE, SILHOUETTE_ROWS = 5_000, 1_500
@@ -171,11 +174,13 @@ def silhouette(points: np.ndarray, label: np.ndarray) -> float:
 
 def nearest_centre(coords: list[Column], centres: np.ndarray) -> Column:
     """The closest centre's number, the lower one of equals; null if a coordinate is."""
-    options = [F.struct(sum(((c - float(x)) ** 2 for c, x in zip(coords, row, strict=True)), F.lit(0.0)).alias("d"), F.lit(k).alias("k")) for k, row in enumerate(centres)]
+    # plain products in one array keep the generated code small enough to be compiled
+    squares = lambda row: functools.reduce(operator.add, ((c - float(x)) * (c - float(x)) for c, x in zip(coords, row, strict=True)))
+    options = F.array(*(squares(row) for row in centres))
     some = coords[0].isNotNull()
     for c in coords[1:]:
         some = some & c.isNotNull()
-    return F.when(some, F.array_min(F.array(*options))["k"])
+    return F.when(some, F.array_position(options, F.array_min(options)).cast("int") - 1)
 
 
 def centres_of(df: DataFrame, coords: list[str], label: str, weight: Column | None = None) -> DataFrame:
@@ -222,7 +227,15 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 5) -> DataFrame:
 def hcpc(df: DataFrame, coords: list[str], key: str, k: int | None = None, least: int = 3, consolidation: bool = True) -> Classes:
     """Ward's tree on the coordinates (of a sample's centres, if there are many rows), cut at the largest ratio of gains,
     consolidated over all rows, classes in order of the first axis."""
-    rows = df.dropna(subset=coords)
+    # every round reads the coordinates again, not what they are made of; what an executor loses is computed anew
+    rows = df.select(key, *coords).dropna(subset=coords).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _hcpc(rows, coords, key, k, least, consolidation)
+    finally:
+        rows.unpersist()
+
+
+def _hcpc(rows: DataFrame, coords: list[str], key: str, k: int | None, least: int, consolidation: bool) -> Classes:
     sample = np.array([[r[c] for c in coords] for r in hash_sample(rows.select(key, *coords), key, SAMPLE).collect()], float)
     n = len(sample)
     if n < 3:

@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import exact_quantiles
+
 
 def extent(df: DataFrame, x: Column) -> tuple[float, float]:
     """The 0.1 % to 99.9 % quantiles with 6 % around, unless the extremes lie within 1.6 times that."""
-    lo, hi, q = df.agg(F.min(x), F.max(x), F.percentile(x, F.array(F.lit(0.001), F.lit(0.999)))).first()
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
         return 0.0, 1.0
-    a, b = q
+    a, b = exact_quantiles(df, {"x": x}, [0.001, 0.999])["x"]
     if hi - lo <= 1.6 * (b - a):
         a, b = lo, hi
     pad = 0.06 * (b - a) or 1.0
@@ -62,8 +64,8 @@ def intensity(grid: DataFrame, how: str = "equalised") -> DataFrame:
 
 
 def colour_scale(df: DataFrame, value: Column) -> tuple[float, float]:
-    q = df.agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95)))).first()[0]
-    return (0.0, 1.0) if q is None else (q[0], q[1])
+    lo, hi = exact_quantiles(df, {"v": value}, [0.05, 0.95])["v"]
+    return (0.0, 1.0) if lo is None else (lo, hi)
 
 
 def relief(counts: np.ndarray) -> np.ndarray:

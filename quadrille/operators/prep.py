@@ -108,9 +108,61 @@ def impute_pca_matrix(x: np.ndarray, axes: int = 2, most: int = 1000, tolerance:
     return (y + start, (mu + start, sd, v, shrink)) if model else y + start
 
 
+def _filled(x: np.ndarray, model: tuple) -> np.ndarray:
+    """Rows whose missing cells agree with a model (means, sds, vectors, shrinkage)."""
+    mu, sd, v, shrink = model
+    at = np.isnan(x)
+    y = np.where(at, mu, x)
+    for _ in range(200):
+        new = np.where(at, mu + (((y - mu) / sd) @ v * shrink) @ v.T * sd, y)
+        done = np.abs(new - y).max(initial=0.0) <= 1e-10 * max(1.0, np.abs(y).max(initial=0.0))
+        y = new
+        if done:
+            break
+    return y
+
+
+def _rounds(holes: DataFrame, axes: int, moments: tuple, model: tuple, most: int = 100, tolerance: float = 1e-9) -> tuple:
+    """The model that filled rows and complete rows give back: a round is one pass, of which each task returns its sums."""
+    n0, s0, q0 = moments
+    about, p = model[0], len(model[0])
+    q0 = q0 - np.outer(about, s0) - np.outer(s0, about) + n0 * np.outer(about, about)
+    s0 = s0 - n0 * about
+    k = min(axes, p - 1)
+    for _ in range(most):
+        now = model
+
+        def sums(frames):
+            import pandas as pd
+
+            n, s, q = 0, np.zeros(p), np.zeros((p, p))
+            for f in frames:
+                y = _filled(f.to_numpy(float), now) - about  # noqa: B023  used within the round
+                n, s, q = n + len(y), s + y.sum(0), q + y.T @ y
+            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
+
+        parts = holes.mapInPandas(sums, "n long, s array<double>, q array<double>").agg(F.sum("n"), *(F.sum(F.col("s")[i]) for i in range(p)), *(F.sum(F.col("q")[i]) for i in range(p * p))).first()
+        n = n0 + parts[0]
+        mean = (s0 + np.array(parts[1 : 1 + p])) / n
+        cov = (q0 + np.array(parts[1 + p :]).reshape(p, p)) / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        sd[sd == 0] = 1
+        values, vectors = eigen(cov / np.outer(sd, sd))
+        noise = values[k:].mean() if k < p else 0.0
+        shrink = np.where(values[:k] > max(noise, 1e-10), (values[:k] - noise) / np.maximum(values[:k], 1e-300), 0.0)
+        old_fit, new_fit = (m[2] * m[3] @ m[2].T for m in (model, (None, None, vectors[:, :k], shrink)))
+        moved = max(np.abs((about + mean - model[0]) / sd).max(), np.abs(sd / model[1] - 1).max(), np.abs(new_fit - old_fit).max())
+        model = (about + mean, sd, vectors[:, :k], shrink)
+        if moved <= tolerance:
+            break
+    return model
+
+
 def impute_pca(df: DataFrame, columns: list[str], key: str, axes: int = 2) -> DataFrame:
     """Missing cells from the regularised model. Complete rows enter through their moments alone, summed once; rows with
-    holes are iterated on the driver, or, beyond ``HOLES``, a hash-ordered part of them fits the model that fills the rest."""
+    holes are iterated on the driver, or, if they are more than ``HOLES``, on the executors: a hash-ordered part gives the
+    first model, then every round fills all of them and adds up their moments, until the model stands still. Both end at the
+    same fixed point."""
     cells = [finite(F.col(c)) for c in columns]
     some, full = F.coalesce(*cells).isNotNull(), F.lit(True)
     for c in cells:
@@ -122,25 +174,18 @@ def impute_pca(df: DataFrame, columns: list[str], key: str, axes: int = 2) -> Da
     q = np.zeros((p, p))
     q[np.triu_indices(p)] = [v or 0.0 for v in got[1 + p :]]
     moments = (got[0], np.array([v or 0.0 for v in got[1 : 1 + p]]), q + np.triu(q, 1).T)
-    holed = rows.where(~full & some).select(key, *columns).orderBy(F.xxhash64(key), key).limit(HOLES).toPandas()
+    holes_only = rows.where(~full & some)
+    holed = holes_only.select(key, *columns).orderBy(F.xxhash64(key), key).limit(HOLES + 1).toPandas()
     if holed.empty:
         return rows
-    _, (mu, sd, v, shrink) = impute_pca_matrix(holed[columns].to_numpy(float), axes, moments=moments, model=True)
-    holes_only = rows.where(~full & some)
+    _, model = impute_pca_matrix(holed[columns].to_numpy(float), axes, moments=moments, model=True)
+    if len(holed) > HOLES:
+        model = _rounds(holes_only.select(*(F.col(c).cast("double") for c in columns)), axes, moments, model)
 
     def fill(frames):
         for f in frames:
-            x = f[columns].to_numpy(float)
-            at = np.isnan(x)
-            y = np.where(at, mu, x)
-            for _ in range(200):
-                new = np.where(at, mu + (((y - mu) / sd) @ v * shrink) @ v.T * sd, y)
-                done = np.abs(new - y).max(initial=0.0) <= 1e-9 * max(1.0, np.abs(y).max(initial=0.0))
-                y = new
-                if done:
-                    break
             f = f.copy()
-            f[columns] = y
+            f[columns] = _filled(f[columns].to_numpy(float), model)
             yield f
 
     return rows.where(full | ~some).unionByName(holes_only.mapInPandas(fill, rows.schema))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,30 +19,97 @@ def _ratio(a: Column, b: Column, other: float = 0.0) -> Column:
 # ---------------------------------------------------------------- descriptions
 
 
+#: Accuracy of the sketches that bracket an order statistic, and rows of a bracket that reach the driver.
+SKETCH, BRACKET_ROWS = 10_000, 20_000
+
+
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> dict[str, list[float | None]]:
+    """Type-7 quantiles of several columns, exact. A sketch brackets each order statistic, brackets with too many rows are
+    sketched again, and only the few values inside are counted one by one: map-side aggregations, no sort, no shuffle of the
+    column."""
+    names = list(columns)
+    base = df.select(*(finite(columns[c]).alias(f"v{i}") for i, c in enumerate(names)))
+    step = 2 / SKETCH + 2 / BRACKET_ROWS  # twice what the sketch promises, and a neighbour
+    around = [min(1.0, max(0.0, p + d)) for p in shares for d in (-step, step)]
+    first = base.agg(*(f for i in range(len(names)) for f in (F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", around, SKETCH).alias(f"q{i}")))).first()
+    inf, number = float("inf"), [first[f"n{i}"] for i in range(len(names))]
+    wanted = {(i, j): ((number[i] - 1) * p) for i in range(len(names)) for j, p in enumerate(shares) if number[i]}
+    brackets = {}
+    for i, j in wanted:
+        lo, hi = first[f"q{i}"][2 * j : 2 * j + 2]
+        small = number[i] <= BRACKET_ROWS
+        brackets[i, j] = (-inf if small or shares[j] <= step else lo, inf if small or shares[j] >= 1 - step else hi)
+    keys = list(brackets)
+    # beyond this a bracket may hold more rows than the driver takes
+    while max(number, default=0) * 2 * step > BRACKET_ROWS:
+        inside = {k: (F.col(f"v{k[0]}") >= brackets[k][0]) & (F.col(f"v{k[0]}") <= brackets[k][1]) for k in keys}
+        got = base.agg(*(f for n, k in enumerate(keys) for f in (F.count_if(F.col(f"v{k[0]}") < brackets[k][0]).alias(f"b{n}"), F.count_if(inside[k]).alias(f"m{n}")))).first()
+        wide = {k: ((wanted[k] - got[f"b{n}"]) / got[f"m{n}"]) for n, k in enumerate(keys) if got[f"m{n}"] > BRACKET_ROWS and brackets[k][0] < brackets[k][1]}
+        if not wide:
+            break
+        places = {k: [min(1.0, max(0.0, p + d)) for d in (-step, step)] for k, p in wide.items()}
+        cut = base.agg(*(F.percentile_approx(F.when(inside[k], F.col(f"v{k[0]}")), places[k], SKETCH).alias(f"q{keys.index(k)}") for k in wide)).first()
+        for k in wide:
+            now = tuple(cut[f"q{keys.index(k)}"])
+            brackets[k] = now if now != brackets[k] else _between_ties(base, f"v{k[0]}", *now, math.floor(wanted[k]))
+    if not keys:
+        return {c: [None] * len(shares) for c in names}
+    cells = F.array(*(F.struct(F.lit(n).alias("k"), F.when(F.col(f"v{k[0]}") >= brackets[k][0], F.col(f"v{k[0]}")).alias("x"), (F.col(f"v{k[0]}") <= brackets[k][1]).alias("near")) for n, k in enumerate(keys)))
+    counted: dict[int, dict] = {}
+    for r in base.select(F.explode(cells).alias("r")).where("r.near").groupBy("r.k", "r.x").agg(F.count(F.lit(1)).alias("n")).collect():
+        counted.setdefault(r["k"], {})[r["x"]] = r["n"]
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in names}
+    for n, (i, j) in enumerate(keys):
+        held = dict(counted[n])
+        below, values = held.pop(None, 0), sorted(held)
+        ends, rank = [], below
+        for v in values:
+            rank += held[v]
+            ends.append(rank)
+        at = lambda r: values[bisect.bisect_right(ends, r)]  # noqa: B023, E731
+        low = math.floor(wanted[i, j])
+        part = wanted[i, j] - low
+        x = at(low)
+        out[names[i]][j] = x + part * (at(low + 1) - x) if part else x
+    return out
+
+
+def _between_ties(base: DataFrame, column: str, lo: float, hi: float, rank: int) -> tuple[float, float]:
+    """A narrower bracket of the ranks ``rank`` and ``rank`` + 1 where nearly all rows of one are ties at its ends."""
+    c = F.col(column)
+    below, low, high, upto, after, before = base.agg(F.count_if(c < lo), F.count_if(c == lo), F.count_if(c == hi), F.count_if(c <= hi), F.min(F.when(c > lo, c)), F.max(F.when(c < hi, c))).first()
+    if rank < below + low:
+        return lo, lo if rank + 1 < below + low else after
+    if rank + 1 >= upto - high:
+        return hi if rank >= upto - high else before, hi
+    return after, before
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: count, missing, mean, sd (n - 1), quartiles, adjusted skewness and kurtosis, bimodality, Tukey
-    outliers and distinct values. One wide pass gives the moments; equal values are counted before the shuffle, and
-    quartiles, distinct values and outliers come from those counts."""
+    outliers and distinct values. One wide pass gives the moments, quartiles come from bracketed order statistics, another
+    pass counts outliers; equal values are counted before the shuffle that the number of distinct ones needs."""
     values = df.select(*(finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
     wide = values.agg(F.count(F.lit(1)).alias("rows"), *(f for i in range(len(columns)) for f in (F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"m{i}"), F.coalesce(F.stddev_samp(f"v{i}"), F.lit(0.0)).alias(f"s{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"b{i}"), F.coalesce(F.skewness(f"v{i}"), F.lit(0.0)).alias(f"g{i}"), F.coalesce(F.kurtosis(f"v{i}"), F.lit(0.0)).alias(f"k{i}"))))
     moments = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), (F.col("rows") - F.col(f"n{i}")).alias("miss"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2")) for i, c in enumerate(columns)))).alias("r")).select("r.*")
-    counts = values.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"v{i}").alias("x")) for i, c in enumerate(columns)))).alias("r")).where("r.x is not null").groupBy("r.variable", "r.x").agg(F.count(F.lit(1)).alias("k"))
-    shares = counts.groupBy("variable").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("k")).alias("q"), F.count(F.lit(1)).alias("uniq"))
+    q = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    fences = {c: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, _, b) in q.items() if a is not None}
+    outside = values.agg(*(F.count_if((F.col(f"v{i}") < fences[c][0]) | (F.col(f"v{i}") > fences[c][1])).alias(f"o{i}") if c in fences else F.lit(0).cast("long").alias(f"o{i}") for i, c in enumerate(columns)))
+    distinct = values.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("x")) for i in range(len(columns))))).alias("r")).where("r.x is not null").groupBy("r.i", "r.x").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("uniq"))
     # a row per column: small enough for a broadcast, by construction
-    fences = F.broadcast(shares.select("variable", (F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("hi")))
-    outside = counts.join(fences, "variable").groupBy("variable").agg(F.sum(F.when((F.col("x") < F.col("lo")) | (F.col("x") > F.col("hi")), F.col("k")).otherwise(0)).alias("out"))
+    shares = F.broadcast(outside.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("variable"), *(F.lit(x).cast("double").alias(n) for x, n in zip(q[c], ("q1", "med", "q3"), strict=True)), F.col(f"o{i}").alias("out")) for i, c in enumerate(columns)))).alias("r")).select("r.*"))
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0)
     kurt = F.when(n > 3, ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3))).otherwise(0.0)
-    out = moments.join(shares, "variable", "left").join(outside, "variable", "left").select("variable", "n", "miss", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q3"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), skew.alias("skew"), kurt.alias("kurt"), F.coalesce("uniq", F.lit(0)).alias("uniq"), F.coalesce("out", F.lit(0)).alias("out"))
+    out = moments.join(shares, "variable", "left").join(F.broadcast(distinct), "i", "left").select("variable", "n", "miss", "mean", "sd", "min", "q1", "med", "q3", "max", (F.col("q3") - F.col("q1")).alias("iqr"), skew.alias("skew"), kurt.alias("kurt"), F.coalesce("uniq", F.lit(0)).alias("uniq"), F.coalesce("out", F.lit(0)).alias("out"))
     m = F.col("n").cast("double")
     return out.withColumn("bc", F.when(m > 3, (F.col("skew") ** 2 + 1) / (F.col("kurt") + 3 * (m - 1) ** 2 / ((m - 2) * (m - 3)))).otherwise(0.0))
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Type-7 quantiles, exact."""
-    q = df.agg(F.percentile(finite(F.col(column)), F.array(*map(F.lit, shares))).alias("q"))
-    return q.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("q").alias("value"))).alias("r")).select(F.col("r.share"), F.col("r.value"))
+    """Type-7 quantiles, exact: a row per share."""
+    q = exact_quantiles(df, {column: F.col(column)}, shares)[column]
+    return df.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(float(p)).alias("share"), F.lit(x).cast("double").alias("value")) for p, x in zip(shares, q, strict=True)))).alias("r")).select("r.share", "r.value")
 
 
 def level_counts(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
@@ -66,11 +134,12 @@ def rare_levels(df: DataFrame, column: str, share: float = 0.05) -> DataFrame:
 def histogram_frame(df: DataFrame, column: str, most: int = 24) -> dict:
     """Freedman and Diaconis: origin, width and number of bins, from 5 to ``most``."""
     x = finite(F.col(column))
-    n, lo, hi, q = df.agg(F.count(x), F.min(x), F.max(x), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).first()
+    n, lo, hi = df.agg(F.count(x), F.min(x), F.max(x)).first()
     if not n:
         return {"n": 0, "lo": 0.0, "hi": 1.0, "w": 1.0, "bins": 0}
     if hi == lo:
         return {"n": n, "lo": lo, "hi": lo + 1, "w": 1.0, "bins": 1}
+    q = exact_quantiles(df, {column: F.col(column)}, [0.25, 0.75])[column]
     iqr = q[1] - q[0]
     width = 2 * iqr / n ** (1 / 3) if iqr > 0 else (hi - lo) / math.sqrt(n)
     bins = min(max(math.ceil((hi - lo) / width), 5), most)
@@ -94,9 +163,10 @@ def framed_histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int
 def robust_range(df: DataFrame, column: str) -> dict:
     """The 1 % to 99 % frame if the whole range is more than three times as wide."""
     x = finite(F.col(column))
-    lo, hi, q = df.agg(F.min(x), F.max(x), F.percentile(x, F.array(F.lit(0.01), F.lit(0.99)))).first()
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
     if lo is None:
         return {"lo": 0.0, "hi": 1.0, "cut": False}
+    q = exact_quantiles(df, {column: F.col(column)}, [0.01, 0.99])[column]
     if hi - lo > 3 * (q[1] - q[0]) > 0:
         return {"lo": q[0], "hi": q[1], "cut": True}
     return {"lo": lo, "hi": hi, "cut": False}
@@ -130,10 +200,16 @@ def distribution_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return inside.join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("run") - (F.col("n") - 1) / 2).alias(name), "n")
 
 
+#: Distinct values up to which ranks are broadcast.
+BROADCAST_VALUES = 50_000
+
+
 def with_ranks(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
-    """Rows with the average rank of their value."""
+    """Rows with the average rank of their value. Few values (a checked number) have many rows each: their ranks go to the
+    rows. Many values have few rows each, which an ordinary join spreads."""
     ranks = distribution_ranks(df, column, name).select(F.col("value").alias(column), name)
-    return df.join(ranks, column, "left")
+    few = df.select(column).distinct().limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    return df.join(F.broadcast(ranks) if few else ranks, column, "left")
 
 
 def pearson_of(x: Column, y: Column) -> Column:

@@ -8,14 +8,15 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import finite
-from .stats import anova, cramer_test, distribution_ranks, pearson_of, spearman
+from .stats import anova, cramer_test, distribution_ranks, exact_quantiles, pearson_of, spearman
 from .typing import is_numeric
 
 #: Bands of the information value.
 IV_BANDS = [(0.02, "none"), (0.1, "weak"), (0.3, "medium"), (0.5, "strong")]
-MAX_CLASSES, MAX_LEVELS, BINS, MIN_LEAF = 20, 60, 32, 30
+MAX_CLASSES, MAX_LEVELS, BINS, MAX_BINS, MIN_LEAF = 20, 60, 32, 64, 30
 LEAK_AUC, LEAK_IV, GAIN_SHARE = 0.95, 2.0, 0.002
 
 
@@ -65,8 +66,8 @@ def iv_of(groups: DataFrame) -> DataFrame:
 
 
 def decile_cuts(df: DataFrame, column: str) -> list[float]:
-    q = df.agg(F.percentile(finite(F.col(column)), F.array(*(F.lit(i / 10) for i in range(1, 10))))).first()[0]
-    return sorted(set(q or []))
+    q = exact_quantiles(df, {column: F.col(column)}, [i / 10 for i in range(1, 10)])[column]
+    return sorted({x for x in q if x is not None})
 
 
 def binned(c: Column, cuts: list[float]) -> Column:
@@ -185,63 +186,71 @@ def cart(df: DataFrame, spec: Target, columns: list[str], depth: int = 3, min_le
     rows = df.where(y.isNotNull())
     used = [c for c in columns if c != spec.column and (is_numeric(kinds[c]) or 2 <= rows.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().limit(MAX_LEVELS + 1).count() <= MAX_LEVELS)]
     numbers = [c for c in used if is_numeric(kinds[c])]
+    cuts: dict[str, list[float]] = {}
     if numbers:
         q = rows.agg(*(F.percentile_approx(finite(F.col(c)), [i / BINS for i in range(1, BINS)], 10_000).alias(f"q{i}") for i, c in enumerate(numbers))).first()
         cuts = {c: sorted(set(q[f"q{i}"] or [])) for i, c in enumerate(numbers)}
-    cells = [F.struct(F.lit(c).alias("column"), (binned(finite(F.col(c)), cuts[c]) if c in numbers and cuts[c] else F.col(c)).cast("string").alias("bin")) for c in used]
-    n, s, ss = rows.agg(F.count(F.lit(1)), F.sum(y), F.sum(y * y)).first()
+    # bins become small integers once; every depth reads just these and the target
+    levels = {c: sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().collect()) for c in used if c not in numbers}
+    cuts |= {c: [] for c in numbers if not cuts[c]}
+    place = {c: binned(finite(F.col(c)), cuts[c]) if c in numbers else F.nullif(F.array_position(F.array(*map(F.lit, levels[c])), F.col(c).cast("string")), F.lit(0)) - 1 for c in used}
+    coded = rows.select(y.cast("double").alias("y"), *(place[c].cast("int").alias(f"b{i}") for i, c in enumerate(used))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _grow(coded, used, cuts, levels, depth, min_leaf)
+    finally:
+        coded.unpersist()
+
+
+def _grow(coded: DataFrame, used: list[str], cuts: dict[str, list[float]], levels: dict[str, list[str]], depth: int, min_leaf: int) -> Node:
+    """coded: y and the number of each column's bin (b0, b1, ...), null where it is missing."""
+    y = F.col("y")
+    n, s, ss = coded.agg(F.count(F.lit(1)), F.sum(y), F.sum(y * y)).first()
     root = Node(n, s / n if n else 0.0, (ss - s * s / n) if n else 0.0)
     least = max(min_leaf, math.ceil(0.01 * n))
     open_ = {0: root}
+    at = F.lit(0)
+    cells = [F.when(F.col(f"b{i}").isNotNull(), F.lit(i * MAX_BINS) + F.col(f"b{i}")) for i in range(len(used))]
     for _ in range(depth if used else 0):
         if not open_:
             break
-        where = F.lit(-1)
-        paths = _paths(root)
-        for k, node in open_.items():
-            where = F.when(paths[id(node)], F.lit(k)).otherwise(where)
-        counts: dict[int, dict[str, list]] = {}
-        for r in rows.select(where.alias("node"), y.alias("y"), F.explode(F.array(*cells)).alias("x")).where("node >= 0 and x.bin is not null").groupBy("node", "x.column", "x.bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss")).collect():
-            counts.setdefault(r["node"], {}).setdefault(r["column"], []).append((r["bin"], r["n"], r["s"], r["ss"]))
-        following = {}
+        counts: dict[int, dict[int, list]] = {}
+        for r in coded.select(at.alias("node"), "y", F.explode(F.array(*cells)).alias("cell")).where(F.col("node").isin(list(open_)) & F.col("cell").isNotNull()).groupBy("node", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(y * y).alias("ss")).collect():
+            counts.setdefault(r["node"], {}).setdefault(r["cell"] // MAX_BINS, []).append((r["cell"] % MAX_BINS, r["n"], r["s"], r["ss"]))
+        following, step = {}, F.lit(None).cast("int")
         for k, node in open_.items():
             best = None
-            for c in used:
-                got = counts.get(k, {}).get(c, [])
-                ordered = sorted(got, key=(lambda b: int(b[0])) if c in numbers and cuts[c] else (lambda b: (b[2] / b[1], b[0])))
+            for i, c in enumerate(used):
+                got = counts.get(k, {}).get(i, [])
+                ordered = sorted(got, key=(lambda b: b[0]) if c in cuts else (lambda b: (b[2] / b[1], b[0])))
                 ln = ls = lss = 0.0
-                for i, (b, bn, bs, bss) in enumerate(ordered):
+                for j, (b, bn, bs, bss) in enumerate(ordered):
                     ln, ls, lss = ln + bn, ls + bs, lss + bss
                     rn, rs, rss = node.n - ln, node.mean * node.n - ls, node.impurity + node.mean**2 * node.n - lss
-                    if c in numbers and cuts[c] and int(b) >= len(cuts[c]) or ln < least or rn < least:
+                    if c in cuts and b >= len(cuts[c]) or ln < least or rn < least:
                         continue
                     gain = node.impurity - (lss - ls * ls / ln) - (rss - rs * rs / rn)
                     if best is None or gain > best[0] + 1e-12:
-                        best = gain, c, cuts[c][int(b)] if c in numbers and cuts[c] else None, frozenset(x[0] for x in ordered[: i + 1]) if not (c in numbers and cuts[c]) else None, (ln, ls, lss), (rn, rs, rss)
+                        best = gain, i, [x[0] for x in ordered[: j + 1]], (ln, ls, lss), (rn, rs, rss)
             if best and best[0] > GAIN_SHARE * node.impurity:
-                _, node.column, node.cut, node.left_levels, (ln, ls, lss), (rn, rs, rss) = best
+                _, i, left, (ln, ls, lss), (rn, rs, rss) = best
+                c = node.column = used[i]
+                if c in cuts:
+                    node.cut = cuts[c][left[-1]]
+                    goes = F.col(f"b{i}") <= left[-1]
+                else:
+                    node.left_levels = frozenset(levels[c][b] for b in left)
+                    goes = F.col(f"b{i}").isin(left)
                 node.left, node.right = Node(int(ln), ls / ln, lss - ls * ls / ln), Node(int(rn), rs / rn, rss - rs * rs / rn)
                 following |= {2 * k + 1: node.left, 2 * k + 2: node.right}
+                step = F.when(at == k, F.when(F.coalesce(goes, F.lit(False)), 2 * k + 1).otherwise(2 * k + 2)).otherwise(step)
         open_ = following
+        coded = coded.withColumn("node", step) if open_ else coded
+        at = F.col("node")
     for i, leaf in enumerate(root.leaves()):
         leaf.leaf = i
     return root
 
 
-def _paths(root: Node) -> dict[int, Column]:
-    out: dict[int, Column] = {}
-
-    def walk(node: Node, here: Column) -> None:
-        out[id(node)] = here
-        if node.column is not None:
-            left = node.goes_left()
-            walk(node.left, here & left)
-            walk(node.right, here & ~left)
-
-    walk(root, F.lit(True))
-    return out
-
-
 def leaf_table(df: DataFrame, spec: Target, tree: Node) -> DataFrame:
     return df.select(tree.label().alias("leaf"), spec.y().alias("y")).where("y is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
 

@@ -316,3 +316,32 @@ def test_engine(spark, mixed):
     e.set_method("PCA").select(F.col("x") > 0)
     assert e.results()["method"] == "PCA" and e.describe_selection()
     assert e.insights() and e.quality()["score"] <= 100
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(5_000) < 0.4, 3.0, rng.lognormal(size=5_000))
+    df = spark.createDataFrame([(float(v) if i % 9 else None, float(i), 7.0) for i, v in enumerate(x)], "a double, b double, c double")
+    shares = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for sketch, rows in ((10_000, 20_000), (200, 60)):
+        monkeypatch.setattr(stats, "SKETCH", sketch)
+        monkeypatch.setattr(stats, "BRACKET_ROWS", rows)
+        got = stats.exact_quantiles(df, {c: F.col(c) for c in "abc"}, shares)
+        for c in "abc":
+            assert np.allclose(got[c], np.quantile(np.array([r[c] for r in df.select(c).dropna().collect()]), shares), atol=1e-12)
+    assert stats.exact_quantiles(df.limit(0), {"a": F.col("a")}, [0.5]) == {"a": [None]}
+
+
+def test_impute_on_executors(spark, monkeypatch):
+    """Beyond HOLES the rounds run on the executors and end at the driver's fixed point."""
+    rng = np.random.default_rng(2)
+    f = rng.normal(size=(300, 2))
+    x = f @ rng.normal(size=(2, 5)) + 0.1 * rng.normal(size=(300, 5)) + 10
+    rows = [(i, *(None if rng.random() < 0.1 else float(v) for v in r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, e double")
+    names = ["a", "b", "c", "d", "e"]
+    one = prep.impute_pca(df, names, "id").orderBy("id").toPandas()[names].to_numpy()
+    monkeypatch.setattr(prep, "HOLES", 20)
+    two = prep.impute_pca(df, names, "id").orderBy("id").toPandas()[names].to_numpy()
+    assert not np.isnan(two).any()
+    assert np.abs(one - two).max() < 0.01, np.abs(one - two).max()  # the driver stops at a relative change of squares
