@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import laws, linalg, scalars
 from ..operators import cluster, density, embed, factor, filters, groups, insights, prep, shape, stats, target, timeagg, typing
 from ..sources import writers
 
@@ -144,7 +144,7 @@ def retype_lost(spark, d):
     return scalar_frame(spark, {"lost": typing.retype(table(spark, d, "lineitem").select(F.expr(_SPARK_TEXT).alias("s")), "s", "numeric")[1]})
 
 
-@query("SELECT true AS contingency")
+@query("WITH n AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS k FROM orders GROUP BY 1, 2) SELECT count(DISTINCT p) BETWEEN 1 AND 60 AND count(DISTINCT s) >= 2 AND bool_and(k >= 0 AND k = floor(k)) AS contingency FROM n")
 def contingency_check(spark, d):
     t = table(spark, d, "orders").groupBy(F.concat(F.lit("p"), F.col("o_orderpriority")).alias("prio")).pivot("o_orderstatus", ["F", "O", "P"]).count().na.fill(0)
     return scalar_frame(spark, {"contingency": typing.is_contingency(t, typing.detect(t))})
@@ -344,14 +344,19 @@ def pca_power_sums(spark, d):
     return rounded(scalar_frame(spark, {"s1": v.sum(), "s2": (v**2).sum(), "s3": (v**3).sum()}))
 
 
-_Z2 = "m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem), z AS (SELECT l_orderkey, l_linenumber, l_returnflag, (l_quantity - mq) / sq AS a, (l_extendedprice - mp) / sp AS b, r, n FROM lineitem, m)"
+_Z2 = "m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp, corr(l_quantity, l_extendedprice) AS r, CASE WHEN corr(l_quantity, l_extendedprice) < 0 THEN -1 ELSE 1 END AS g, count(*) AS n FROM lineitem), z AS (SELECT l_orderkey, l_linenumber, l_returnflag, (l_quantity - mq) / sq AS a, (l_extendedprice - mp) / sp AS b, r, g, n FROM lineitem, m)"
 
 
-@query(f"WITH {_Z2} SELECT l_orderkey, l_linenumber, round((a + b) / sqrt(2.0), 6) + 0.0 AS F1, round(abs(a - b) / sqrt(2.0), 6) + 0.0 AS F2 FROM z")
+def along(a: factor.Analysis, k: int):
+    """An axis' score in the direction in which the first variable grows: two variables weigh alike, up to the sign."""
+    return F.col(f"F{k + 1}") * float(np.sign(a.v[0, k]))
+
+
+@query(f"WITH {_Z2} SELECT l_orderkey, l_linenumber, round((a + g * b) / sqrt(2.0), 6) + 0.0 AS F1, round((a - g * b) / sqrt(2.0), 6) + 0.0 AS F2 FROM z")
 def pca2_closed_form(spark, d):
     t = table(spark, d, "lineitem")
     a = factor.pca(t, ["l_quantity", "l_extendedprice"])
-    return rounded(a.scores(t).select("l_orderkey", "l_linenumber", "F1", F.abs("F2").alias("F2")))
+    return rounded(a.scores(t).select("l_orderkey", "l_linenumber", *(along(a, k).alias(f"F{k + 1}") for k in range(2))))
 
 
 @query(f"WITH {_Z2} SELECT l_orderkey, l_linenumber, round((n - 1.0) / n * (a * a + b * b - 2 * r * a * b) / (1 - r * r), 5) + 0.0 AS t2 FROM z")
@@ -375,20 +380,19 @@ def pca_score_variance(spark, d):
     return rounded(a.scores(t).agg(F.var_pop("F1").alias("v1"), F.var_pop("F2").alias("v2")))
 
 
-@query(f"WITH {_Z2} SELECT round(-(max(n) - 1 - 9.0 / 6) * ln(1 - max(r) * max(r)), 4) + 0.0 AS chi2, 1 AS df, 0.5 AS kmo FROM z".replace("0.5 AS kmo", "CAST(0.5 AS DOUBLE) AS kmo"))
+@query(f"""WITH {LINES}, c AS (SELECT corr(qty, price) AS a, corr(qty, disc) AS b, corr(price, disc) AS c, count(*) AS n FROM li), p AS (SELECT *, pow(a - b * c, 2) / ((1 - b * b) * (1 - c * c)) + pow(b - a * c, 2) / ((1 - a * a) * (1 - c * c)) + pow(c - a * b, 2) / ((1 - a * a) * (1 - b * b)) AS partial FROM c)
+SELECT round(-(n - 1 - 11.0 / 6) * ln(1 + 2 * a * b * c - a * a - b * b - c * c), 3) + 0.0 AS chi2, 3 AS df, round((a * a + b * b + c * c) / (a * a + b * b + c * c + partial), 6) + 0.0 AS kmo FROM p""")
 def kmo_bartlett(spark, d):
-    from ..functions.linalg import kmo_bartlett as f
-
-    a = factor.pca(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
-    r = f(a.r, a.n)
-    return scalar_frame(spark, {"chi2": round(r["chi2"], 4) + 0.0, "df": r["df"], "kmo": round(r["kmo"], 6)})
+    a = factor.pca(lines(spark, d), ["qty", "price", "disc"])
+    r = linalg.kmo_bartlett(a.r, a.n)
+    return scalar_frame(spark, {"chi2": round(r["chi2"], 3) + 0.0, "df": r["df"], "kmo": round(r["kmo"], 6)})
 
 
-@query(f"WITH {_Z2} SELECT l_returnflag, round(avg((a + b) / sqrt(2.0)), 6) + 0.0 AS f1, count(*) AS n FROM z GROUP BY 1")
+@query(f"WITH {_Z2} SELECT l_returnflag, round(avg((a + g * b) / sqrt(2.0)), 6) + 0.0 AS f1, count(*) AS n FROM z GROUP BY 1")
 def group_barycentres(spark, d):
     t = table(spark, d, "lineitem")
     a = factor.pca(t, ["l_quantity", "l_extendedprice"])
-    return rounded(a.scores(t, 1).groupBy("l_returnflag").agg(F.avg("F1").alias("f1"), F.count(F.lit(1)).alias("n")))
+    return rounded(a.scores(t, 1).groupBy("l_returnflag").agg(F.avg(along(a, 0)).alias("f1"), F.count(F.lit(1)).alias("n")))
 
 
 @query(f"WITH {_BANDS}, {_CHI} SELECT round(chi2 / total, 6) + 0.0 AS phi2, (i - 1) * (j - 1) AS df FROM x")
@@ -417,18 +421,19 @@ def famd_number_binary(spark, d):
     return rounded(scalar_frame(spark, {"l1": v[0], "l2": v[1]}))
 
 
-@query(f"WITH {LINES}, m AS (SELECT avg(qty) AS mq, stddev_pop(qty) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM li) SELECT round(corr(tax, (qty - mq) / sq + (price - mp) / sp), 6) + 0.0 AS r1, round(abs(corr(tax, (qty - mq) / sq - (price - mp) / sp)), 6) + 0.0 AS r2 FROM li, m")
+@query(f"WITH {LINES}, m AS (SELECT avg(qty) AS mq, stddev_pop(qty) AS sq, avg(price) AS mp, stddev_pop(price) AS sp, CASE WHEN corr(qty, price) < 0 THEN -1 ELSE 1 END AS g FROM li) SELECT round(corr(tax, (qty - mq) / sq + g * (price - mp) / sp), 6) + 0.0 AS r1, round(corr(tax, (qty - mq) / sq - g * (price - mp) / sp), 6) + 0.0 AS r2 FROM li, m")
 def supplementary_correlation(spark, d):
     li = lines(spark, d)
-    r = factor.supplementary(factor.pca(li, ["qty", "price"]), li, ["tax"])["numeric"]["tax"]
-    return rounded(scalar_frame(spark, {"r1": r[0], "r2": abs(r[1])}))
+    a = factor.pca(li, ["qty", "price"])
+    r = factor.supplementary(a, li, ["tax"])["numeric"]["tax"] * np.sign(a.v[0])
+    return rounded(scalar_frame(spark, {"r1": r[0], "r2": r[1]}))
 
 
-@query("WITH m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp FROM lineitem) SELECT p_partkey, round(((p_size - mq) / sq + (p_retailprice * 20 - mp) / sp) / sqrt(2.0), 6) + 0.0 AS F1 FROM part, m")
+@query("WITH m AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp, CASE WHEN corr(l_quantity, l_extendedprice) < 0 THEN -1 ELSE 1 END AS g FROM lineitem) SELECT p_partkey, round(((p_size - mq) / sq + g * (p_retailprice * 20 - mp) / sp) / sqrt(2.0), 6) + 0.0 AS F1 FROM part, m")
 def project_new_rows(spark, d):
     a = factor.pca(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"])
     new = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("l_quantity"), (F.col("p_retailprice") * 20).alias("l_extendedprice"))
-    return rounded(a.scores(new, 1).select("p_partkey", "F1"))
+    return rounded(a.scores(new, 1).select("p_partkey", along(a, 0).alias("F1")))
 
 
 @query()
@@ -440,14 +445,14 @@ def outliers_top25(spark, d):
 @query()
 def horn_eigenvalues(spark, d):
     n = table(spark, d, "lineitem").count()
-    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(factor.horn(n, 4, 100))], "axis int, limit double")
+    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(factor.horn(n, 4))], "axis int, limit double")
 
 
 @query()
 def bootstrap_eigenvalues(spark, d):
     li = key_of(lines(spark, d))
     a = factor.pca(li, MEASURES, 2)
-    b = factor.bootstrap_eigenvalues(a, li, "id", 100)
+    b = factor.bootstrap_eigenvalues(a, li, "id")
     return spark.createDataFrame([(k + 1, float(a.vals[k]), float(b["low"][k]), float(b["high"][k])) for k in range(a.q)], "axis int, value double, low double, high double")
 
 
@@ -557,10 +562,10 @@ def class_profiles(spark, d):
     return rounded(cluster.class_profiles(t.withColumn("k", cluster.nearest_centre([F.col("l_quantity"), F.col("l_extendedprice")], _CENTRES)), "k", ["l_tax"]))
 
 
-@query("""WITH v AS (SELECT s_suppkey AS i, s_nationkey % 3 AS l, s_acctbal AS x FROM supplier), p AS (SELECT a.i, a.l AS la, b.l AS lb, abs(a.x - b.x) AS d FROM v a JOIN v b ON a.i <> b.i), m AS (SELECT i, la, avg(d) FILTER (WHERE la = lb) AS a, lb, avg(d) AS b FROM p GROUP BY i, la, lb), s AS (SELECT i, max(a) AS a, min(b) FILTER (WHERE la <> lb) AS b FROM m GROUP BY i)
+@query("""WITH v AS (SELECT s_suppkey AS i, s_nationkey % 3 AS l, s_acctbal AS x FROM supplier ORDER BY s_suppkey LIMIT 1500), p AS (SELECT a.i, a.l AS la, b.l AS lb, abs(a.x - b.x) AS d FROM v a JOIN v b ON a.i <> b.i), m AS (SELECT i, la, avg(d) FILTER (WHERE la = lb) AS a, lb, avg(d) AS b FROM p GROUP BY i, la, lb), s AS (SELECT i, max(a) AS a, min(b) FILTER (WHERE la <> lb) AS b FROM m GROUP BY i)
 SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) + 0.0 AS silhouette FROM s""")
 def silhouette_sample(spark, d):
-    p = table(spark, d, "supplier").select("s_nationkey", "s_acctbal").limit(cluster.SILHOUETTE_ROWS).toPandas()
+    p = table(spark, d, "supplier").orderBy("s_suppkey").select("s_nationkey", "s_acctbal").limit(cluster.SILHOUETTE_ROWS).toPandas()
     s = cluster.silhouette(p[["s_acctbal"]].to_numpy(), p["s_nationkey"].to_numpy() % 3)
     return scalar_frame(spark, {"silhouette": round(s, 6) + 0.0})
 
@@ -580,11 +585,11 @@ def paragons(spark, d):
     return cluster.paragons(rows, c, key="id")[0].select("id", "class", "rank", "own")
 
 
-@query("SELECT count(*) AS n, CAST(0.0 AS DOUBLE) AS gap FROM supplier")
+@query("SELECT count(*) AS n, round(var_pop(s_acctbal), 3) + 0.0 AS inertia FROM (SELECT s_acctbal FROM supplier ORDER BY s_suppkey LIMIT 1200)")
 def ward_inertia(spark, d):
     """The heights of Ward's tree add up to the inertia."""
-    x = table(spark, d, "supplier").select("s_acctbal").limit(cluster.WARD_ROWS).toPandas().to_numpy(float)
-    return scalar_frame(spark, {"n": len(x), "gap": round(abs(sum(h for *_, h, _ in cluster.ward(x)) / x.var() - 1), 9)})
+    x = table(spark, d, "supplier").orderBy("s_suppkey").select("s_acctbal").limit(cluster.WARD_ROWS).toPandas().to_numpy(float)
+    return scalar_frame(spark, {"n": len(x), "inertia": round(sum(h for _, _, h, _ in cluster.ward(x)), 3) + 0.0})
 
 
 # ---------------------------------------------------------------- supervised
@@ -620,7 +625,8 @@ def auc(spark, d):
     return rounded(target.auc(table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id"), "n_chars", F.col("quality").cast("double")))
 
 
-@query("SELECT c AS \"column\", l AS leak FROM (VALUES ('o_totalprice', false), ('copy', true)) v(c, l)")
+@query("""WITH t AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y, unnest(['o_totalprice', 'copy']) AS c, unnest([o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) * 2.0 + 1]) AS x FROM orders), r AS (SELECT c, y, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2.0 AS r FROM t), a AS (SELECT c, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM r GROUP BY 1)
+SELECT c AS "column", greatest(auc, 1 - auc) >= 0.95 AS leak FROM a""")
 def leak_flags(spark, d):
     o = table(spark, d, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), "o_totalprice").withColumn("copy", F.col("y") * 2.0 + 1)
     return spark.createDataFrame([(r["column"], bool(r["leak"])) for r in target.importance(o, target.target_spec(o, "y"), ["o_totalprice", "copy"])], "column string, leak boolean")
@@ -669,21 +675,25 @@ def _vectors(spark, d, rows: int):
 
 @query()
 def tsne(spark, d):
-    ids, x = _vectors(spark, d, 300)
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, embed.tsne(x, rounds=250), strict=True)], "vec_id long, x double, y double")
+    ids, x = _vectors(spark, d, embed.TSNE_ROWS)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, embed.tsne(x), strict=True)], "vec_id long, x double, y double")
 
 
 @query()
 def umap(spark, d):
-    ids, x = _vectors(spark, d, 300)
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, embed.umap(x, rounds=100), strict=True)], "vec_id long, x double, y double")
-
-
-@query("SELECT CAST(1.0 AS DOUBLE) AS trust, CAST(1.0 AS DOUBLE) AS continuity, CAST(1.0 AS DOUBLE) AS overlap")
-def trust_of_identity(spark, d):
-    _, x = _vectors(spark, d, 300)
-    q = embed.neighbourhood_quality(x, x)
-    return scalar_frame(spark, {k: q[k] for k in ("trust", "continuity", "overlap")})
+    ids, x = _vectors(spark, d, embed.UMAP_ROWS)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, embed.umap(x), strict=True)], "vec_id long, x double, y double")
+
+
+@query(f"""WITH v AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS h, CAST(embedding[1:8] AS DOUBLE[]) AS l FROM embeddings ORDER BY vec_id LIMIT {embed.TRUST_ROWS}),
+p AS (SELECT a.i AS i, row_number() OVER (PARTITION BY a.i ORDER BY list_distance(a.h, b.h), b.i) AS rh, row_number() OVER (PARTITION BY a.i ORDER BY list_distance(a.l, b.l), b.i) AS rl FROM v a JOIN v b ON a.i <> b.i),
+s AS (SELECT count(*) AS n, CAST(least(greatest((count(*) - 1) // 4, 3), 10) AS BIGINT) AS k FROM v)
+SELECT round(1 - 2.0 / (max(n) * max(k) * (2 * max(n) - 3 * max(k) - 1)) * coalesce(sum(rh - k) FILTER (WHERE rl <= k AND rh > k), 0), 6) + 0.0 AS trust, round(1 - 2.0 / (max(n) * max(k) * (2 * max(n) - 3 * max(k) - 1)) * coalesce(sum(rl - k) FILTER (WHERE rh <= k AND rl > k), 0), 6) + 0.0 AS continuity, round(CAST(count(*) FILTER (WHERE rh <= k AND rl <= k) AS DOUBLE) / (max(n) * max(k)), 6) + 0.0 AS overlap FROM p, s""")
+def trust_of_projection(spark, d):
+    p = table(spark, d, "embeddings").orderBy("vec_id").limit(embed.TRUST_ROWS).toPandas()
+    x = np.stack(p["embedding"].to_numpy()).astype(float)
+    q = embed.neighbourhood_quality(x, x[:, :8])
+    return rounded(scalar_frame(spark, {k: q[k] for k in ("trust", "continuity", "overlap")}))
 
 
 @query()
