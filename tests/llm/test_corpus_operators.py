@@ -133,16 +133,18 @@ def test_toxicity_held_out(spark):
 # ---------------------------------------------------------------- 3
 
 
-def _pieces(texts):
+def _pieces(texts, plain=False):
+    """Ids by the library as it comes; with ``plain`` the literals of special tokens are text."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return [[*x.ids, 0] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-def check_packing(out, texts):
-    ids = dict(zip([i for i, _ in texts], _pieces([t for _, t in texts]), strict=True))
+def check_packing(out, texts, plain=False):
+    ids = dict(zip([i for i, _ in texts], _pieces([t for _, t in texts], plain), strict=True))
     for i, g in out.dropna(subset=["doc_id"]).groupby("doc_id"):
         for r in g.itertuples():
             part = ids[i][r.start : r.start + r.length]
@@ -157,19 +159,80 @@ def test_packing(docs, no_docs, corpus):
     used, least = check_packing(packing.pack(corpus).toPandas(), texts_of(corpus))
     assert used <= math.ceil(least) + 1
     check_packing(packing.pack(docs).toPandas(), texts_of(docs))
+    check_packing(packing.pack(docs, special=False).toPandas(), texts_of(docs), plain=True)
     assert packing.pack(no_docs).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=8))
-def test_bin_completion(counts):
-    plan, bound = packing.best_plan(counts, 40)
-    used = Counter()
-    for times, bin_ in plan:
-        assert sum(s * k for s, k in bin_) <= 40
-        for s, k in bin_:
-            used[s] += times * k
-    assert used == Counter(counts) and bound <= sum(t for t, _ in plan) <= max(bound + 1, math.ceil(1.3 * bound))
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aA <|endoftext|>\n\t'sé中1", max_size=60))
+def test_byte_ids(text):
+    coder = packing.byte_bpe(packing.tokenizer_path())
+    for t in (text, f"{text}<|endoftext|> {text}"):
+        assert [[*coder.encode(t), 0]] == _pieces([t]) and [[*coder.encode(t, False), 0]] == _pieces([t], True)
+
+
+def fewest_bins(items, room):
+    """By trying every bin for every item."""
+    best = [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0] and i < len(items):
+            return
+        if i == len(items):
+            best[0] = min(best[0], len(rooms))
+            return
+        for k, r in {r: k for k, r in enumerate(rooms)}.items():
+            if k >= items[i]:
+                rooms[r] -= items[i]
+                go(i + 1, rooms)
+                rooms[r] += items[i]
+        go(i + 1, [*rooms, room - items[i]])
+
+    items = sorted(items, reverse=True)
+    go(0, [])
+    return best[0]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 40) | st.integers(6, 21), max_size=9))
+def test_bin_completion(items):
+    """The fewest bins, as an exhaustive search finds them; never more than best fit, also where the steps run out."""
+    counts = Counter(items)
+    for steps in (None, packing.SEARCH_STEPS, 3):
+        plan, bound, proven = packing.complete_bins(counts, 40, steps)
+        used = Counter()
+        for times, bin_ in plan:
+            assert times > 0 and sum(s * k for s, k in bin_) <= 40
+            for s, k in bin_:
+                used[s] += times * k
+        n = sum(t for t, _ in plan)
+        assert used == counts and bound <= n <= sum(t for t, _ in packing.best_fit(packing._number(counts, 40), 40))
+        if steps != 3:
+            assert proven and n == fewest_bins(items, 40)
+
+
+def test_best_fit_is_best_fit():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        items = sorted(rng.integers(1, 40, 30).tolist(), reverse=True)
+        rooms = []
+        for s in items:
+            fit = [k for k, r in enumerate(rooms) if r >= s]
+            if fit:
+                k = min(fit, key=lambda k: rooms[k])
+                rooms[k] -= s
+            else:
+                rooms.append(40 - s)
+        plan = packing.best_fit(packing._number(Counter(items), 40), 40)
+        assert sorted(40 - sum(s * k for s, k in b) for t, b in plan for _ in range(t)) == sorted(rooms)
+
+
+def test_packing_never_beyond_best_fit(spark):
+    """On the larger table, too, completion fills all sequences and needs no more of them than best fit."""
+    pieces = packing.pieces_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    plan, bound, proven = packing.complete_bins(counts)
+    assert proven and sum(t for t, _ in plan) == bound
 
 
 # ---------------------------------------------------------------- 4 and 10
