@@ -3,13 +3,16 @@
 Operators that need facts about a whole corpus (how many documents have this shingle, how often does this word occur)
 work on blocks: some MB of documents in one compressed row, stored once in the shared checkpoint folder. ``count_keys``
 lets every block name its 64-bit keys with local counts, adds them up bucket by bucket, and sends each block the totals of
-just its own keys, in the order in which the block holds them. Keys travel sorted, as packed differences: some three
+just its own keys, in the order in which the block holds them. Keys travel sorted, as packed differences: some four
 bytes each instead of a row. Nothing is sent to the driver and nothing is broadcast; every part grows with the input only
-in number, never in size.
+in number, never in size. More blocks than ``FAN`` don't meet all buckets: they are first merged in groups, a group for
+each of ``RADIX`` ranges of the keys, and what is merged is exchanged in turn, range by range. So a block writes a bounded
+number of rows at any size of the input, and a row always holds many keys. Totals have 64 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,14 +50,32 @@ def expand(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    return x.view(np.uint8).reshape(len(x), -1).T.ravel()
+
+
+def _unplaned(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def squeeze_sorted(keys: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted 64-bit keys as byte planes of their differences: high bytes are nearly constant and vanish in compression."""
-    steps = np.diff(keys, prepend=U64(0))
-    return (steps.view(np.uint8).reshape(-1, 8).T.ravel(),)
+    return (_planes(np.diff(keys, prepend=U64(0))),)
 
 
 def expand_sorted(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+    return np.cumsum(_unplaned(planes, U64), dtype=U64)
+
+
+def squeeze_counts(counts: np.ndarray) -> bytes:
+    """Counts as byte planes: most are small, so the high ones vanish."""
+    wide = len(counts) and int(counts.max()) >> 32
+    return squeeze(np.array([8 if wide else 4], np.uint8), _planes(counts.astype(U64 if wide else np.uint32)))
+
+
+def expand_counts(data: bytes) -> np.ndarray:
+    width, planes = expand(data)
+    return _unplaned(planes, U64 if width[0] == 8 else np.uint32).astype(np.int64)
 
 
 class Block:
@@ -80,7 +101,7 @@ class Block:
         return pa.array(ids, pa.int64(), mask=null.astype(bool))
 
 
-def _blocks(batches) -> Iterator:
+def _blocks(batches, most: int) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -107,7 +128,7 @@ def _blocks(batches) -> Iterator:
             ids.append(i)
             texts.append(t)
             size += len(t)
-            if size >= BLOCK_BYTES:
+            if size >= most:
                 if b.num_columns > 2:
                     rest.append(more.slice(begin, k + 1 - begin))
                 begin = k + 1
@@ -118,61 +139,116 @@ def _blocks(batches) -> Iterator:
         yield row()
 
 
-def blocks_of(docs: DataFrame, *more: str) -> DataFrame:
-    """(g, data): stored blocks. A document is never cut; null texts are empty. Columns named in ``more`` are carried."""
-    return stored(documents_of(docs, *more).mapInArrow(_blocks, "g long, data binary"))
+def blocks_of(docs: DataFrame, *more: str, size: int = BLOCK_BYTES) -> DataFrame:
+    """(g, data): stored blocks of about ``size`` bytes. A document is never cut; null texts are empty. Columns named in
+    ``more`` are carried."""
+    return stored(documents_of(docs, *more).mapInArrow(lambda batches: _blocks(batches, size), "g long, data binary"))
+
+
+#: Blocks that exchange with all buckets directly, and key ranges (and members of a group) of a merging step beyond.
+FAN, RADIX = 1_024, 64
 
 
 def bucket_number(n_blocks: int) -> int:
-    """Buckets for ``n_blocks`` blocks: a bucket gets about as many keys as some blocks have, at any size of the input."""
-    return int(min(65_536, max(16, n_blocks // 6)))
+    """Buckets for ``n_blocks`` blocks: a bucket gets about as many keys as three blocks have, at any size of the input."""
+    return max(16, -(-n_blocks // 3))
 
 
-def bucket_bounds(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Where the keys (sorted) of each of ``n`` buckets begin and end: equal ranges of ``bits`` bits."""
-    edges = (np.arange(1, n, dtype=np.float64) * (2.0**bits / n)).astype(U64)
-    return np.concatenate([[0], np.searchsorted(keys, edges, "left"), [len(keys)]]).astype(np.int64)
+def bucket_bounds(keys: np.ndarray, n: int, bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Where the keys (sorted) of each of ``n`` buckets begin and end: equal ranges of the ``part``-th of ``parts`` equal
+    ranges of ``bits`` bits."""
+    edges = [(part * n + k << bits) // (parts * n) for k in range(1, n)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, U64), "left"), [len(keys)]]).astype(np.int64)
 
 
-def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarray]], n_blocks: int, bits: int = 64, tally: Callable[[np.ndarray, np.ndarray], tuple[int, int]] | None = None) -> DataFrame:
-    """(g, bucket, reply): for each block and bucket the totals of the block's keys, as uint32.
+def _rows(found: np.ndarray, local: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The ranges that have keys, and each one's keys and counts, packed."""
+    full = np.flatnonzero(np.diff(bounds))
+    return full, [squeeze(*squeeze_sorted(found[i:j]), _planes(local[i:j].astype(U64))) for i, j in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
 
-    keys(block) gives sorted distinct uint64 keys and their counts in the block; if ``blocks`` holds further columns after
-    g and data, it gets their values too. Keys are below 2**bits. tally(keys, totals)
-    gives two numbers for each bucket, which stand in further columns t0 and t1 of one of its rows.
-    """
-    n = bucket_number(n_blocks)
+
+def _merged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, their total counts, and where each row's keys are among them."""
+    parts = [expand(x) for x in rows]
+    sent = [expand_sorted(p[0]) for p in parts]
+    distinct, place = np.unique(np.concatenate(sent), return_inverse=True)
+    totals = np.zeros(len(distinct), np.int64)
+    np.add.at(totals, place, np.concatenate([_unplaned(p[1], U64) for p in parts]).astype(np.int64))
+    return distinct, totals, np.split(place, np.cumsum([len(s) for s in sent])[:-1])
+
+
+def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> DataFrame:
+    """(u, part, bucket, reply, t0, t1) for units (u, part, data), of which each of ``parts`` key ranges has ``n_units``."""
+    direct, radix = n_units <= FAN, RADIX
+    n = (bucket_number(n_units) if parts == 1 else -(-n_units // 3)) if direct else radix
+    groups = -(-n_units // radix)
 
     def send(batches):
         import pyarrow as pa
 
         for b in batches:
-            for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found, local = keys(Block(data), *more)
-                bounds = bucket_bounds(found, n, bits)
-                full = np.flatnonzero(np.diff(bounds))
-                rows = [squeeze(*squeeze_sorted(found[i:j]), local[i:j].astype(np.uint32)) for i, j in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), g), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "g", "data"])
+            for u, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                planes, local = expand(data)
+                found = expand_sorted(planes)
+                full, rows = _rows(found, _unplaned(local, U64), bucket_bounds(found, n, bits, part, parts))
+                v = int(mix(np.array([u], np.int64).view(U64))[0] % U64(groups))
+                yield pa.RecordBatch.from_arrays([pa.array(full + part * n, pa.int64()), pa.array(np.full(len(full), v), pa.int64()), pa.array(np.full(len(full), u), pa.int64()), pa.array(np.full(len(full), part), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "v", "u", "part", "data"])
 
     def add(table):
         import pyarrow as pa
 
-        parts = [expand(x) for x in table.column("data").to_pylist()]
-        sent = [expand_sorted(p[0]) for p in parts]
-        distinct, place = np.unique(np.concatenate(sent), return_inverse=True)
-        totals = np.bincount(place, np.concatenate([p[1] for p in parts]), len(distinct)).astype(np.int64)
-        at, told = 0, []
-        for s in sent:
-            asked = place[at : at + len(s)]
-            at += len(s)
-            told.append(squeeze(np.minimum(totals[asked], 0xFFFFFFFF).astype(np.uint32)))
-        out = {"g": table.column("g"), "bucket": table.column("bucket"), "reply": pa.array(told, pa.binary())}
-        if tally is not None:
-            none = [None] * (len(told) - 1)
-            out |= {f"t{k}": pa.array([x, *none], pa.int64()) for k, x in enumerate(tally(distinct, totals))}
-        return pa.table(out)
+        distinct, totals, places = _merged(table.column("data").to_pylist())
+        none = [None] * (len(places) - 1)
+        told = [[x, *none] for x in (tally(distinct, totals) if tally else (None, None))]
+        return pa.table({"u": table.column("u"), "part": table.column("part"), "bucket": table.column("bucket"), "reply": pa.array([squeeze_counts(totals[p]) for p in places], pa.binary()), "t0": pa.array(told[0], pa.int64()), "t1": pa.array(told[1], pa.int64())})
+
+    sent = units.mapInArrow(send, "bucket long, v long, u long, part long, data binary")
+    out = "u long, part long, bucket long, reply binary, t0 long, t1 long"
+    if direct:
+        return sent.groupBy("bucket").applyInArrow(add, out)
 
-    return blocks.mapInArrow(send, "bucket long, g long, data binary").groupBy("bucket").applyInArrow(add, "g long, bucket long, reply binary" + (", t0 long, t1 long" if tally else ""))
+    def merge(table):
+        import pyarrow as pa
+
+        distinct, totals, places = _merged(table.column("data").to_pylist())
+        members = squeeze(*(x for u, p in zip(table.column("u").to_pylist(), places, strict=True) for x in (np.array([u], np.int64), *squeeze_sorted(p.astype(U64)))))
+        return pa.table({"u": pa.array([table.column("v")[0].as_py()], pa.int64()), "part": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "data": pa.array([squeeze(*squeeze_sorted(distinct), _planes(totals.astype(U64)))], pa.binary()), "members": pa.array([members], pa.binary())})
+
+    merged = stored(sent.groupBy("v", "bucket").applyInArrow(merge, "u long, part long, data binary, members binary"))
+    told = _exchange(merged.select("u", "part", "data"), groups, parts * radix, bits, tally)
+    replies = told.groupBy("u", "part").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
+
+    def down(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for part, members, got, t0, t1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                totals, held = joined_reply(got), expand(members)
+                k = len(held) // 2
+                yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in held[::2]], pa.int64()), pa.array([part // radix] * k, pa.int64()), pa.array([part] * k, pa.int64()), pa.array([squeeze_counts(totals[expand_sorted(x).astype(np.int64)]) for x in held[1::2]], pa.binary()), pa.array([t0, *[None] * (k - 1)], pa.int64()), pa.array([t1, *[None] * (k - 1)], pa.int64())], ["u", "part", "bucket", "reply", "t0", "t1"])
+
+    return merged.select("u", "part", "members").join(replies, ["u", "part"]).select("part", "members", "replies", "t0", "t1").mapInArrow(down, out)
+
+
+def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarray]], n_blocks: int, bits: int = 64, tally: Callable[[np.ndarray, np.ndarray], tuple[int, int]] | None = None) -> DataFrame:
+    """(g, bucket, reply, t0, t1): for each block and bucket the totals of the block's keys.
+
+    keys(block) gives sorted distinct uint64 keys and their counts in the block; if ``blocks`` holds further columns after
+    g and data, it gets their values too. Keys are below 2**bits. tally(keys, totals) gives two numbers for each bucket,
+    which stand in t0 and t1 of one of its rows.
+    """
+
+    def units(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found, local = keys(Block(data), *more)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int64()), pa.array([squeeze(*squeeze_sorted(found), _planes(local.astype(U64)), level=-5)], pa.binary())], ["u", "part", "data"])
+
+    told = _exchange(blocks.mapInArrow(units, "u long, part long, data binary"), n_blocks, 1, bits, tally)
+    return told.select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
@@ -183,8 +259,8 @@ def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
 
 def joined_reply(replies) -> np.ndarray:
     """One block's replies one after another: an entry for each of its keys, in their order."""
-    parts = [expand(r["reply"])[0] for r in replies or []]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    parts = [expand_counts(r["reply"]) for r in replies or []]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 # ---------------------------------------------------------------- words and hashes
@@ -218,6 +294,28 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
+#: Longer words are hashed one by one.
+LONG_WORD = 128
+
+
+def byte_hashes(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings that begin at ``begin``: eight bytes at a time are mixed in, long ones by a digest."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(length.astype(U64) * U64(0x2545F4914F6CDD1D) + U64(1))
+    todo = np.flatnonzero(length <= LONG_WORD)
+    at = 0
+    while len(todo):
+        left = length[todo] - at
+        todo, left = todo[left > 0], left[left > 0]
+        out[todo] = mix(out[todo] ^ (eight[begin[todo] + at] & _HEAD[np.minimum(left, 8)])) + U64(at)
+        at += 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : begin[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words of a block in order: hash (A-Z lowered), document, and each document's number of words."""
     data, starts = block.bytes, block.starts
@@ -232,8 +330,5 @@ def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | edge[1:n]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    total = np.zeros(n + 1, U64)
-    np.cumsum(_LETTER[_LOW[data]] * powers(_BASE, n), out=total[1:])
-    words = mix((total[end] - total[begin]) * powers(_INVERSE, n)[begin] + (end - begin).astype(U64))
     of = np.searchsorted(starts, begin, "right") - 1
-    return words, of, np.bincount(of, minlength=len(block)).astype(np.int64)
+    return byte_hashes(_LOW[data], begin, end - begin), of, np.bincount(of, minlength=len(block)).astype(np.int64)

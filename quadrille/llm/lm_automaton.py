@@ -1,16 +1,21 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model has a state for each context of the training texts (up to order - 1 tokens), an arc for each n-gram seen after
-it, and a failure arc to the next shorter context. Smoothing is hierarchical (MacKay and Peto): an arc's probability is
-(c(context, token) + a * p(token | shorter context)) / (c(context) + a); a failure arc weighs a / (c(context) + a), so
-every state's arcs sum to one. The shortest context's arcs are add-one estimates with one place for unknown tokens.
+The model has a state for each context of the training texts (up to order - 1 tokens, begin signs included), an arc for each
+n-gram seen after it, and a failure arc to the next shorter context. Smoothing is hierarchical (MacKay and Peto): an arc's
+probability is (c(context, token) + a * p(token | shorter context)) / (c(context) + a); a failure arc weighs
+a / (c(context) + a), so every state's arcs sum to one. The empty context's arcs are add-one estimates with one place for
+unknown tokens. An arc leads to the longest context that it leaves known.
 
 Counts come from the whole corpus and grow with it, so the automaton is never in one place: each block of documents asks
-for the counts of just the n-grams that its texts can meet (see blocks), builds that part of the automaton, and walks its
-texts through it once, from left to right.
-
-Defined results: a null or empty text is the one end token; null ids are never held out; without training texts all
-counts are 0; repeated rows count as often as they occur.
+for the counts of just the n-grams that its texts can meet (see blocks), builds that part of the automaton (states, sorted
+arcs, failure arcs), and walks its texts through it once, from left to right: a text carries its state, takes the arc of the
+next token or falls back along failure arcs until one has it, and adds up the log-probabilities on its way. All texts of a
+block walk in step. Every token but the last is followed by one, so an n-gram's count is also that of the context it makes,
+and contexts need no counts of their own.
+
+Defined results: a null or empty text is the one end token; null ids are never held out; without training texts (an empty
+table has no rows at all) all counts are 0; repeated rows count as often as they occur; very long texts are scored whole;
+further columns don't matter. Counts have 64 bits.
 """
 
 from __future__ import annotations
@@ -23,15 +28,21 @@ from .blocks import U64, Block, blocks_of, count_keys, joined_reply, mix, with_r
 from .common import read_table, stored
 
 FOLDS = 7
-ORDER = 2
+ORDER = 3
 #: Pseudo-count that a shorter context's estimate weighs against a context's own counts.
 WEIGHT = 2.0
+#: Larger blocks share more n-grams among their own texts.
+LM_BLOCK_BYTES = 4 << 20
 
-KEY_BITS = 56
-_KEY = U64((1 << KEY_BITS) - 1)
 _END, _BEGIN, _GRAM = U64(0x3C6EF372FE94F82B), 0xA54FF53A5F1D36F1, 0x9B05688C2B3E6C1F
 
 
+def key_bits(n_blocks: int) -> int:
+    """Bits of an n-gram's key: as many as let one in 100,000 n-grams meet another one by chance, at any size of the input
+    (a block has under 2**20 of them)."""
+    return min(63, 36 + n_blocks.bit_length())
+
+
 def _salt(base: int, k: int) -> np.uint64:
     return U64(base * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
 
@@ -47,10 +58,11 @@ def held_out_rows(block: Block, folds: int = FOLDS) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block's token sequences: for each order the key of the n-gram that ends at each token, and of its context."""
+    """The n-grams of a block's token sequences: for each order the key of the n-gram that ends at each token. Before a
+    text's first token stand begin signs."""
 
-    def __init__(self, block: Block, order: int):
-        words, of, number = word_hashes(block)
+    def __init__(self, block: Block, order: int, bits: int):
+        words, _, number = word_hashes(block)
         n = len(block)
         # each document's words, then its end
         length = number + 1
@@ -59,83 +71,143 @@ class Grams:
         inside = np.ones(len(tokens), bool)
         inside[last] = False
         tokens[inside], tokens[last] = words, _END
+        self.length, self.first = length, last + 1 - length
         self.doc = np.repeat(np.arange(n), length)
-        self.place = np.arange(len(tokens)) - np.repeat(last + 1 - length, length)
+        mask = U64((1 << bits) - 1)
         self.keys: list[np.ndarray] = []
-        self.contexts: list[np.ndarray] = []
         gram = tokens
         for k in range(1, order + 1):
-            self.keys.append((mix(gram ^ _salt(_GRAM, k)) & _KEY & ~U64(1)) | U64(k == 1))
-            # the context of the next order is this n-gram of the token before; before the first token stand begin signs
+            # single tokens are odd
+            self.keys.append((mix(gram ^ _salt(_GRAM, k)) & mask & ~U64(1)) | U64(k == 1))
             before = np.empty_like(gram)
             before[1:], before[:1] = gram[:-1], 0
-            first = self.place == 0
-            before[first] = _salt(_BEGIN, k)
-            self.contexts.append(before)
+            before[self.first] = _salt(_BEGIN, k)
             gram = mix(before * U64(0xFF51AFD7ED558CCD) + tokens)
-        # an order's context count is the count of its n-grams: contexts are keyed as such
-        self.context_keys = [mix(c ^ _salt(_GRAM, 64 + k)) & _KEY & ~U64(1) for k, c in enumerate(self.contexts)]
+        self.end_key = (mix(np.array([_END]) ^ _salt(_GRAM, 1)) & mask & ~U64(1)) | U64(1)
 
-    def all_keys(self) -> np.ndarray:
-        return np.concatenate([*self.keys, *self.context_keys[: len(self.keys) - 1]])
 
-
-def gram_counts(order: int, folds: int):
+def gram_counts(order: int, folds: int, bits: int):
     """A block's distinct keys with their counts in training texts (0 for those of held-out texts alone)."""
 
     def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        grams = Grams(block, order)
-        every = grams.all_keys()
-        distinct, place = np.unique(every, return_inverse=True)
-        train = np.tile(~held_out_rows(block, folds)[grams.doc], 2 * order - 1)
+        grams = Grams(block, order, bits)
+        distinct, place = np.unique(np.concatenate(grams.keys), return_inverse=True)
+        train = np.tile(~held_out_rows(block, folds)[grams.doc], order)
         return distinct, np.bincount(place, train, len(distinct)).astype(np.int64)
 
     return keys
 
 
-class Walk:
-    """The part of the automaton that a block meets: arc weights of seen n-grams and failure weights of contexts."""
+class Automaton:
+    """The part of the automaton that a block's texts meet. State 0 is the empty context; ``fail`` and ``fail_weight`` are the
+    states' failure arcs; arc i leaves a state by a token: ``arcs`` holds state * tokens + token, sorted."""
 
     def __init__(self, grams: Grams, order: int, counts: np.ndarray, tokens: int, types: int, weight: float):
-        distinct, place = np.unique(grams.all_keys(), return_inverse=True)
-        total = counts.astype(np.float64)[place].reshape(2 * order - 1, -1) if len(place) else np.zeros((2 * order - 1, 0))
+        distinct, place = np.unique(np.concatenate(grams.keys), return_inverse=True)
+        number = len(grams.doc)
+        total = counts.astype(np.float64)[place].reshape(order, number) if number else np.zeros((order, 0))
+        first = np.zeros(number, bool)
+        first[grams.first] = True
+        trained = counts[np.searchsorted(distinct, grams.end_key)][0] if number else 0
+        # token numbers within the block
+        _, self.token = np.unique(grams.keys[0], return_inverse=True)
+        self.tokens = int(self.token.max(initial=-1)) + 1
         self.known = total[0] > 0
-        arc = (total[0] + 1) / (tokens + types + 1)
-        self.base = np.log10(arc)
-        self.arcs, self.seen, self.fails = [self.base], [np.ones(len(arc), bool)], [np.zeros(len(arc))]
-        p = arc
+        self.unknown = float(np.log10(1 / (tokens + types + 1)))
+        # states: 0, then the contexts of begin signs by length, then every n-gram of less than order tokens that was seen
+        begin = list(range(1, order)) if trained else []
+        fail, fail_weight = [0, *range(len(begin))], [0.0, *[float(np.log10(weight / (trained + weight)))] * len(begin)]
+        self.start = len(begin)
+        made, named = len(fail), [np.zeros(number, np.int64)]
         for k in range(1, order):
-            context = total[order + k - 1]
-            p = (total[k] + weight * p) / (context + weight)
-            self.arcs.append(np.log10(p))
-            self.seen.append(total[k] > 0)
-            self.fails.append(np.log10(weight / (context + weight)))
-
-    def scores(self) -> np.ndarray:
-        """Each token's log10 probability: from its longest context, failure arcs are taken until one has the token."""
-        out = np.zeros(len(self.base))
-        going = np.arange(len(self.base))
-        for k in range(len(self.arcs) - 1, -1, -1):
-            hit = self.seen[k][going]
-            out[going[hit]] += self.arcs[k][going[hit]]
-            going = going[~hit]
-            out[going] += self.fails[k][going]
+            seen = total[k - 1] > 0
+            _, at, of = np.unique(grams.keys[k - 1][seen], return_index=True, return_inverse=True)
+            name = np.full(number, -1)
+            name[seen] = made + of
+            rows = np.flatnonzero(seen)[at]
+            fail += np.where(named[-1][rows] >= 0, named[-1][rows], 0).tolist()
+            fail_weight += np.log10(weight / (total[k - 1][rows] + weight)).tolist()
+            made += len(rows)
+            named.append(name)
+        self.fail, self.fail_weight = np.array(fail, np.int64), np.array(fail_weight)
+        # arcs, shortest context first: each n-gram that was seen, from the state of the tokens before it
+        p = (total[0] + 1) / (tokens + types + 1)
+        self.base = np.log10(p)
+        arcs, weights, heads = [], [], []
+        for k in range(1, order + 1):
+            if k > 1:
+                held = np.concatenate([[0.0], total[k - 2][:-1]])
+                held[first] = trained
+                p = (total[k - 1] + weight * p) / (held + weight)
+                source = np.concatenate([[-1], named[k - 1][:-1]])
+                source[first] = k - 1 if begin else -1
+            else:
+                source = np.zeros(number, np.int64)
+            seen = total[k - 1] > 0
+            head = np.zeros(number, np.int64)
+            for j in range(1, min(k, order - 1) + 1):
+                head = np.where(named[j] >= 0, named[j], head)
+            arc = (source * self.tokens + self.token)[seen]
+            _, at = np.unique(arc, return_index=True)
+            arcs.append(arc[at])
+            weights.append(np.log10(p[seen][at]))
+            heads.append(head[seen][at])
+        arcs_ = np.concatenate(arcs)
+        by = np.argsort(arcs_, kind="stable")
+        self.arcs, self.weights, self.heads = arcs_[by], np.concatenate(weights)[by], np.concatenate(heads)[by]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each walker's next state and the log-probability of its token."""
+        gained = np.zeros(len(state))
+        out = np.zeros(len(state), np.int64)
+        going = np.arange(len(state))
+        while len(going):
+            want = state * self.tokens + token
+            at = np.searchsorted(self.arcs, want)
+            at[at == len(self.arcs)] = 0
+            hit = self.arcs[at] == want if len(self.arcs) else np.zeros(len(going), bool)
+            took = going[hit]
+            gained[took] += self.weights[at[hit]]
+            out[took] = self.heads[at[hit]]
+            miss = ~hit
+            # no arc from the empty context: an unknown token, after which nothing is known
+            lost = miss & (state == 0)
+            gained[going[lost]] += self.unknown
+            miss &= ~lost
+            going, state, token = going[miss], state[miss], token[miss]
+            gained[going] += self.fail_weight[state]
+            state = self.fail[state]
+        return out, gained
+
+    def walk(self, grams: Grams) -> np.ndarray:
+        """Each text's log10 probability: all texts walk from left to right, in step."""
+        order = np.argsort(-grams.length, kind="stable")
+        first, length = grams.first[order], grams.length[order]
+        score, state = np.zeros(len(order)), np.full(len(order), self.start, np.int64)
+        alive = len(order)
+        for t in range(int(length[0]) if len(length) else 0):
+            while length[alive - 1] <= t:
+                alive -= 1
+            state, gained = self.step(state[:alive], self.token[first[:alive] + t])
+            score[:alive] += gained
+        out = np.empty(len(order))
+        out[order] = score
         return out
 
 
-def _score(order: int, folds: int, tokens: int, types: int, weight: float):
+def _score(order: int, folds: int, bits: int, tokens: int, types: int, weight: float):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for data, replies in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 block = Block(data)
-                grams = Grams(block, order)
-                walk = Walk(grams, order, joined_reply(replies), tokens, types, weight)
+                grams = Grams(block, order, bits)
+                automaton = Automaton(grams, order, joined_reply(replies), tokens, types, weight)
                 n = len(block)
                 add = lambda x: np.bincount(grams.doc, x, n)
                 yield pa.RecordBatch.from_arrays(
-                    [block.id_column(), pa.array(held_out_rows(block, folds)), pa.array(np.bincount(grams.doc, minlength=n).astype(np.int64)), pa.array(add(walk.known).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(walk.base)), pa.array(add(walk.scores()))],
+                    [block.id_column(), pa.array(held_out_rows(block, folds)), pa.array(grams.length), pa.array(add(automaton.known).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(automaton.base)), pa.array(automaton.walk(grams))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -144,15 +216,17 @@ def _score(order: int, folds: int, tokens: int, types: int, weight: float):
 
 def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, weight: float = WEIGHT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = blocks_of(docs)
+    blocks = blocks_of(docs, size=LM_BLOCK_BYTES)
+    n_blocks = blocks.count()
+    bits = key_bits(n_blocks)
 
     def tally(keys: np.ndarray, totals: np.ndarray) -> tuple[int, int]:
         single = keys & U64(1) == 1
         return int(totals[single].sum()), int((totals[single] > 0).sum())
 
-    replies = stored(count_keys(blocks, gram_counts(order, folds), blocks.count(), KEY_BITS, tally))
+    replies = stored(count_keys(blocks, gram_counts(order, folds, bits), n_blocks, bits, tally))
     tokens, types = replies.agg(F.coalesce(F.sum("t0"), F.lit(0)), F.coalesce(F.sum("t1"), F.lit(0))).first()
-    return with_replies(blocks, replies.select("g", "bucket", "reply")).select("g", "data", "replies").mapInArrow(_score(order, folds, tokens, types, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_replies(blocks, replies.select("g", "bucket", "reply")).select("g", "data", "replies").mapInArrow(_score(order, folds, bits, tokens, types, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,7 +393,7 @@ def _settled(blocks: DataFrame, size: int, hot_units: int) -> DataFrame:
     n = blocks.count()
     asked = stored(with_replies(blocks, count_keys(blocks, _unit_keys(size), n)))
     hot = count_keys(asked.select("g", "data", "replies"), _hot_keys(size, hot_units), n).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("hot"))
-    found = asked.select("g", "data", "replies").mapInArrow(_send(2 * bucket_number(n), size, hot_units), "bucket long, g long, data binary").groupBy("bucket").applyInArrow(_array(size), "g long, flags binary")
+    found = asked.select("g", "data", "replies").mapInArrow(_send(bucket_number(n), size, hot_units), "bucket long, g long, data binary").groupBy("bucket").applyInArrow(_array(size), "g long, flags binary")
     flags = found.groupBy("g").agg(F.collect_list("flags").alias("flags"))
     return asked.join(hot, "g", "left").join(flags, "g", "left").select("data", "replies", "hot", "flags")
 

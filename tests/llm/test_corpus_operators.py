@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quadrille.llm import jaccard_join, license_rules, lm_automaton, media_ts, packing, piece_bpe, pq_neighbors, queries, suffix_dedup, toxicity, warc_merkle
+from quadrille.llm import blocks, jaccard_join, license_rules, lm_automaton, media_ts, packing, piece_bpe, pq_neighbors, queries, suffix_dedup, toxicity, warc_merkle
 from quadrille.llm.components import components
 
 
@@ -527,6 +527,71 @@ def test_scores(docs, no_docs, order):
     assert lm_automaton.score_documents(no_docs, order).count() == 0
 
 
+def test_automaton_is_a_model(docs):
+    """Every state's arcs, with what its failure arcs pass on, sum to one over all tokens and an unknown one."""
+    rows = [(i, (t or "")[:2_000]) for i, t in texts_of(docs)]
+    texts = [t.encode() for _, t in rows]
+    b = blocks.Block(blocks.squeeze(np.array([i or 0 for i, _ in rows]), np.zeros(len(rows), np.uint8), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8), np.zeros(0, np.uint8)))
+    keys, counts = lm_automaton.gram_counts(3, 10**9, 48)(b)
+    grams = lm_automaton.Grams(b, 3, 48)
+    single = keys % 2 == 1
+    a = lm_automaton.Automaton(grams, 3, counts, int(counts[single].sum()), int((counts[single] > 0).sum()), 2.0)
+
+    def spread(state):
+        own = {int(k % a.tokens): 10**w for k, w in zip(a.arcs, a.weights, strict=True) if k // a.tokens == state}
+        if state == 0:
+            return own, 10**a.unknown
+        below, rest = spread(int(a.fail[state]))
+        passed = 10 ** a.fail_weight[state]
+        return {t: own[t] if t in own else p * passed for t, p in below.items()}, rest * passed
+
+    rng = np.random.default_rng(0)
+    for state in {0, 1, 2, a.start, *rng.integers(0, len(a.fail), 20).tolist()}:
+        arcs, unknown = spread(state)
+        assert abs(sum(arcs.values()) + unknown - 1) < 1e-9
+
+
+# ---------------------------------------------------------------- counts over blocks
+
+
+@pytest.mark.parametrize("fan", [10**6, 3, 1])
+def test_totals_over_many_blocks(spark, monkeypatch, fan):
+    """Direct exchange, and several merging steps; totals beyond 32 bits; keys at the ends of their range."""
+    monkeypatch.setattr(blocks, "FAN", fan)
+    monkeypatch.setattr(blocks, "RADIX", 3)
+    rows = [(i, f"{i % 7} {i % 11} x{i} 4294967295" if i % 5 else None) for i in range(90)]
+    made = blocks.blocks_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size=60)
+
+    def keys(block):
+        found = Counter(int(w.strip("x")) * (1 << 20) % ((1 << 53) - 1) for t in np.split(block.bytes, block.starts[1:-1]) for w in t.tobytes().decode().split())
+        return np.array(sorted(found), np.uint64), np.array([found[k] * 3_000_000_000 for k in sorted(found)], np.int64)
+
+    n = made.count()
+    assert n >= 20
+    told = blocks.count_keys(made, keys, n, 53, lambda k, t: (len(k), int(t.max())))
+    got = blocks.with_replies(made, told.select("g", "bucket", "reply")).collect()
+    want = Counter()
+    for r in got:
+        k, c = keys(blocks.Block(r["data"]))
+        want.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    for r in got:
+        k, _ = keys(blocks.Block(r["data"]))
+        assert blocks.joined_reply(r["replies"]).tolist() == [want[x] for x in k.tolist()]
+    assert told.agg(F.sum("t0"), F.max("t1")).first()[:] == (len(want), max(want.values())) and max(want.values()) > 2**37
+
+
+def test_word_hashes():
+    """Equal words only have equal hashes; polynomials modulo 2**64 give a Thue-Morse word and its complement one hash."""
+    ab = [0]
+    while len(ab) < 4_096:
+        ab += [1 - x for x in ab]
+    texts = [f"{s[:n]} {s[:n].upper()}" for n in (1, 7, 8, 9, 64, 127, 128, 129, 1_024, 4_096) for s in ("".join("ab"[x] for x in ab), "".join("ba"[x] for x in ab))]
+    raw = [t.encode() for t in texts]
+    b = blocks.Block(blocks.squeeze(np.arange(len(raw)), np.zeros(len(raw), np.uint8), np.array([len(t) for t in raw]), np.frombuffer(b"".join(raw), np.uint8), np.zeros(0, np.uint8)))
+    h, of, number = blocks.word_hashes(b)
+    assert (number == 2).all() and (h[::2] == h[1::2]).all() and len(np.unique(h)) == len(raw)
+
+
 # ---------------------------------------------------------------- 9
 
 
