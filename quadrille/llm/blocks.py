@@ -29,17 +29,25 @@ def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed string."""
     import zstandard
 
-    head = np.array([len(arrays), *(x for a in arrays for x in (np.dtype(a.dtype).num, a.size))], np.int64)
-    return zstandard.ZstdCompressor(level=level).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=level).compress(packed(*arrays))
 
 
 _KINDS = {np.dtype(k).num: np.dtype(k) for k in (np.uint8, np.int32, np.uint32, np.int64, np.uint64, np.uint16, np.float64)}
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one string, as they are."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (np.dtype(a.dtype).num, a.size))], np.int64)
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
 def expand(data: bytes) -> list[np.ndarray]:
     import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    return unpacked(zstandard.ZstdDecompressor().decompress(data))
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2)
     out, at = [], 8 + 16 * n
@@ -50,12 +58,40 @@ def expand(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    out = np.sort(x)
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    out = np.sort(x)
+    begin = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]])) if len(out) else np.zeros(0, np.int64)
+    return out[begin], np.diff(np.append(begin, len(out)))
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
-    return x.view(np.uint8).reshape(len(x), -1).T.ravel()
+    """The bytes of numbers, all first ones, then all second ones, ..., each kind compressed for itself: its own statistics
+    make it short."""
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=1)
+    parts = [coder.compress(plane.tobytes()) for plane in x.view(np.uint8).reshape(len(x), -1).T]
+    return np.frombuffer(b"".join([np.array([len(x), *map(len, parts)], np.int64).tobytes(), *parts]), np.uint8)
 
 
 def _unplaned(planes: np.ndarray, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    import zstandard
+
+    width, data = np.dtype(kind).itemsize, planes.tobytes()
+    n, *sizes = np.frombuffer(data, np.int64, 1 + width).tolist()
+    out, at, coder = np.empty((n, width), np.uint8), 8 * (1 + width), zstandard.ZstdDecompressor()
+    for k, size in enumerate(sizes):
+        if n:
+            out[:, k] = np.frombuffer(coder.decompress(data[at : at + size]), np.uint8)
+        at += size
+    return out.view(kind).ravel()
 
 
 def squeeze_sorted(keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -70,11 +106,11 @@ def expand_sorted(planes: np.ndarray) -> np.ndarray:
 def squeeze_counts(counts: np.ndarray) -> bytes:
     """Counts as byte planes: most are small, so the high ones vanish."""
     wide = len(counts) and int(counts.max()) >> 32
-    return squeeze(np.array([8 if wide else 4], np.uint8), _planes(counts.astype(U64 if wide else np.uint32)))
+    return packed(np.array([8 if wide else 4], np.uint8), _planes(counts.astype(U64 if wide else np.uint32)))
 
 
 def expand_counts(data: bytes) -> np.ndarray:
-    width, planes = expand(data)
+    width, planes = unpacked(data)
     return _unplaned(planes, U64 if width[0] == 8 else np.uint32).astype(np.int64)
 
 
@@ -164,17 +200,17 @@ def bucket_bounds(keys: np.ndarray, n: int, bits: int, part: int = 0, parts: int
 def _rows(found: np.ndarray, local: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """The ranges that have keys, and each one's keys and counts, packed."""
     full = np.flatnonzero(np.diff(bounds))
-    return full, [squeeze(*squeeze_sorted(found[i:j]), _planes(local[i:j].astype(U64))) for i, j in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
+    return full, [packed(*squeeze_sorted(found[i:j]), _planes(local[i:j].astype(U64))) for i, j in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
 
 
 def _merged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys, their total counts, and where each row's keys are among them."""
-    parts = [expand(x) for x in rows]
+    parts = [unpacked(x) for x in rows]
     sent = [expand_sorted(p[0]) for p in parts]
-    distinct, place = np.unique(np.concatenate(sent), return_inverse=True)
-    totals = np.zeros(len(distinct), np.int64)
+    keys, place = np.unique(np.concatenate(sent), return_inverse=True)
+    totals = np.zeros(len(keys), np.int64)
     np.add.at(totals, place, np.concatenate([_unplaned(p[1], U64) for p in parts]).astype(np.int64))
-    return distinct, totals, np.split(place, np.cumsum([len(s) for s in sent])[:-1])
+    return keys, totals, np.split(place, np.cumsum([len(s) for s in sent])[:-1])
 
 
 def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> DataFrame:
@@ -188,18 +224,19 @@ def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> D
 
         for b in batches:
             for u, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                planes, local = expand(data)
-                found = expand_sorted(planes)
-                full, rows = _rows(found, _unplaned(local, U64), bucket_bounds(found, n, bits, part, parts))
+                found, local = unpacked(data)
+                if found.dtype == np.uint8:
+                    found, local = expand_sorted(found), _unplaned(local, U64)
+                full, rows = _rows(found, local, bucket_bounds(found, n, bits, part, parts))
                 v = int(mix(np.array([u], np.int64).view(U64))[0] % U64(groups))
                 yield pa.RecordBatch.from_arrays([pa.array(full + part * n, pa.int64()), pa.array(np.full(len(full), v), pa.int64()), pa.array(np.full(len(full), u), pa.int64()), pa.array(np.full(len(full), part), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "v", "u", "part", "data"])
 
     def add(table):
         import pyarrow as pa
 
-        distinct, totals, places = _merged(table.column("data").to_pylist())
+        keys, totals, places = _merged(table.column("data").to_pylist())
         none = [None] * (len(places) - 1)
-        told = [[x, *none] for x in (tally(distinct, totals) if tally else (None, None))]
+        told = [[x, *none] for x in (tally(keys, totals) if tally else (None, None))]
         return pa.table({"u": table.column("u"), "part": table.column("part"), "bucket": table.column("bucket"), "reply": pa.array([squeeze_counts(totals[p]) for p in places], pa.binary()), "t0": pa.array(told[0], pa.int64()), "t1": pa.array(told[1], pa.int64())})
 
     sent = units.mapInArrow(send, "bucket long, v long, u long, part long, data binary")
@@ -210,9 +247,9 @@ def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> D
     def merge(table):
         import pyarrow as pa
 
-        distinct, totals, places = _merged(table.column("data").to_pylist())
-        members = squeeze(*(x for u, p in zip(table.column("u").to_pylist(), places, strict=True) for x in (np.array([u], np.int64), *squeeze_sorted(p.astype(U64)))))
-        return pa.table({"u": pa.array([table.column("v")[0].as_py()], pa.int64()), "part": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "data": pa.array([squeeze(*squeeze_sorted(distinct), _planes(totals.astype(U64)))], pa.binary()), "members": pa.array([members], pa.binary())})
+        keys, totals, places = _merged(table.column("data").to_pylist())
+        members = packed(*(x for u, p in zip(table.column("u").to_pylist(), places, strict=True) for x in (np.array([u], np.int64), *squeeze_sorted(p.astype(U64)))))
+        return pa.table({"u": pa.array([table.column("v")[0].as_py()], pa.int64()), "part": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "data": pa.array([packed(*squeeze_sorted(keys), _planes(totals.astype(U64)))], pa.binary()), "members": pa.array([members], pa.binary())})
 
     merged = stored(sent.groupBy("v", "bucket").applyInArrow(merge, "u long, part long, data binary, members binary"))
     told = _exchange(merged.select("u", "part", "data"), groups, parts * radix, bits, tally)
@@ -223,7 +260,7 @@ def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> D
 
         for b in batches:
             for part, members, got, t0, t1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                totals, held = joined_reply(got), expand(members)
+                totals, held = joined_reply(got), unpacked(members)
                 k = len(held) // 2
                 yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in held[::2]], pa.int64()), pa.array([part // radix] * k, pa.int64()), pa.array([part] * k, pa.int64()), pa.array([squeeze_counts(totals[expand_sorted(x).astype(np.int64)]) for x in held[1::2]], pa.binary()), pa.array([t0, *[None] * (k - 1)], pa.int64()), pa.array([t1, *[None] * (k - 1)], pa.int64())], ["u", "part", "bucket", "reply", "t0", "t1"])
 
@@ -245,7 +282,7 @@ def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarr
             for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found, local = keys(Block(data), *more)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int64()), pa.array([squeeze(*squeeze_sorted(found), _planes(local.astype(U64)), level=-5)], pa.binary())], ["u", "part", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int64()), pa.array([packed(found, local.astype(U64))], pa.binary())], ["u", "part", "data"])
 
     told = _exchange(blocks.mapInArrow(units, "u long, part long, data binary"), n_blocks, 1, bits, tally)
     return told.select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")

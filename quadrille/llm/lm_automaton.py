@@ -24,23 +24,29 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U64, Block, blocks_of, count_keys, joined_reply, mix, with_replies, word_hashes
+from .blocks import U64, Block, blocks_of, count_keys, counted, distinct, joined_reply, mix, with_replies, word_hashes
 from .common import read_table, stored
 
 FOLDS = 7
 ORDER = 3
 #: Pseudo-count that a shorter context's estimate weighs against a context's own counts.
 WEIGHT = 2.0
+#: Tokens that a walker takes; longer texts have several.
+STRETCH = 256
 #: Larger blocks share more n-grams among their own texts.
-LM_BLOCK_BYTES = 4 << 20
+LM_BLOCK_BYTES = 3 << 20
 
 _END, _BEGIN, _GRAM = U64(0x3C6EF372FE94F82B), 0xA54FF53A5F1D36F1, 0x9B05688C2B3E6C1F
 
 
+#: Keys of single tokens lie below, those of longer n-grams above.
+SINGLE = U64(1 << 62)
+
+
 def key_bits(n_blocks: int) -> int:
-    """Bits of an n-gram's key: as many as let one in 100,000 n-grams meet another one by chance, at any size of the input
-    (a block has under 2**20 of them)."""
-    return min(63, 36 + n_blocks.bit_length())
+    """Bits of a longer n-gram's key: as many as let one in 10,000 n-grams meet another one by chance, at any size of the
+    input (a block has a million of them or less). Single tokens' keys have 56 bits, as vocabularies are told exactly."""
+    return min(63, 34 + n_blocks.bit_length())
 
 
 def _salt(base: int, k: int) -> np.uint64:
@@ -73,17 +79,17 @@ class Grams:
         tokens[inside], tokens[last] = words, _END
         self.length, self.first = length, last + 1 - length
         self.doc = np.repeat(np.arange(n), length)
-        mask = U64((1 << bits) - 1)
+        mask = ~U64((1 << (63 - bits)) - 1)
         self.keys: list[np.ndarray] = []
         gram = tokens
         for k in range(1, order + 1):
-            # single tokens are odd
-            self.keys.append((mix(gram ^ _salt(_GRAM, k)) & mask & ~U64(1)) | U64(k == 1))
+            key = mix(gram ^ _salt(_GRAM, k))
+            self.keys.append(key >> U64(2) & ~U64(63) if k == 1 else (SINGLE * (U64(1) + key % U64(3))) | (key >> U64(2) & mask))
             before = np.empty_like(gram)
             before[1:], before[:1] = gram[:-1], 0
             before[self.first] = _salt(_BEGIN, k)
             gram = mix(before * U64(0xFF51AFD7ED558CCD) + tokens)
-        self.end_key = (mix(np.array([_END]) ^ _salt(_GRAM, 1)) & mask & ~U64(1)) | U64(1)
+        self.end_key = mix(np.array([_END]) ^ _salt(_GRAM, 1)) >> U64(2) & ~U64(63)
 
 
 def gram_counts(order: int, folds: int, bits: int):
@@ -91,9 +97,13 @@ def gram_counts(order: int, folds: int, bits: int):
 
     def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
         grams = Grams(block, order, bits)
-        distinct, place = np.unique(np.concatenate(grams.keys), return_inverse=True)
-        train = np.tile(~held_out_rows(block, folds)[grams.doc], order)
-        return distinct, np.bincount(place, train, len(distinct)).astype(np.int64)
+        every, held = np.concatenate(grams.keys), np.tile(held_out_rows(block, folds)[grams.doc], order)
+        known, number = counted(every[~held])
+        more = distinct(every[held])
+        if len(known):
+            more = more[known[np.minimum(np.searchsorted(known, more), len(known) - 1)] != more]
+        at = np.searchsorted(known, more)
+        return np.insert(known, at, more), np.insert(number, at, 0)
 
     return keys
 
@@ -103,58 +113,58 @@ class Automaton:
     states' failure arcs; arc i leaves a state by a token: ``arcs`` holds state * tokens + token, sorted."""
 
     def __init__(self, grams: Grams, order: int, counts: np.ndarray, tokens: int, types: int, weight: float):
-        distinct, place = np.unique(np.concatenate(grams.keys), return_inverse=True)
-        number = len(grams.doc)
-        total = counts.astype(np.float64)[place].reshape(order, number) if number else np.zeros((order, 0))
-        first = np.zeros(number, bool)
+        n = len(grams.doc)
+        keys, place = np.unique(np.concatenate(grams.keys), return_inverse=True)
+        place = place.astype(np.int32).reshape(order, n)
+        first = np.zeros(n, bool)
         first[grams.first] = True
-        trained = counts[np.searchsorted(distinct, grams.end_key)][0] if number else 0
-        # token numbers within the block
-        _, self.token = np.unique(grams.keys[0], return_inverse=True)
-        self.tokens = int(self.token.max(initial=-1)) + 1
-        self.known = total[0] > 0
+        trained = int(counts[np.searchsorted(keys, grams.end_key[0])]) if n else 0
+        # a token's number is that of its key; single tokens' keys come first
+        self.token, self.tokens = place[0], int(np.searchsorted(keys, SINGLE))
         self.unknown = float(np.log10(1 / (tokens + types + 1)))
+        total = [counts[p].astype(np.float64) for p in place]
+        self.known = total[0] > 0
         # states: 0, then the contexts of begin signs by length, then every n-gram of less than order tokens that was seen
-        begin = list(range(1, order)) if trained else []
-        fail, fail_weight = [0, *range(len(begin))], [0.0, *[float(np.log10(weight / (trained + weight)))] * len(begin)]
-        self.start = len(begin)
-        made, named = len(fail), [np.zeros(number, np.int64)]
+        begin = order - 1 if trained else 0
+        self.start, made = begin, 1 + begin
+        fail, fail_weight = [np.array([0, *range(begin)])], [np.array([0.0] + [np.log10(weight / (trained + weight))] * begin)]
+        named = [np.zeros(n, np.int32)]
+        state_of = np.empty(len(keys), np.int32)
+        where = np.empty(len(keys), np.int32)
+        where[place.ravel()] = np.tile(np.arange(n, dtype=np.int32), order)  # some place of each n-gram
         for k in range(1, order):
-            seen = total[k - 1] > 0
-            _, at, of = np.unique(grams.keys[k - 1][seen], return_index=True, return_inverse=True)
-            name = np.full(number, -1)
-            name[seen] = made + of
-            rows = np.flatnonzero(seen)[at]
-            fail += np.where(named[-1][rows] >= 0, named[-1][rows], 0).tolist()
-            fail_weight += np.log10(weight / (total[k - 1][rows] + weight)).tolist()
-            made += len(rows)
-            named.append(name)
-        self.fail, self.fail_weight = np.array(fail, np.int64), np.array(fail_weight)
+            mine = np.zeros(len(keys), bool)
+            mine[place[k - 1][total[k - 1] > 0]] = True
+            names = np.flatnonzero(mine)
+            state_of[:] = -1
+            state_of[names] = made + np.arange(len(names), dtype=np.int32)
+            rows = where[names]
+            fail.append(np.maximum(named[-1][rows], 0))
+            fail_weight.append(np.log10(weight / (counts[names] + weight)))
+            made += len(names)
+            named.append(state_of[place[k - 1]])
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
         # arcs, shortest context first: each n-gram that was seen, from the state of the tokens before it
         p = (total[0] + 1) / (tokens + types + 1)
         self.base = np.log10(p)
-        arcs, weights, heads = [], [], []
+        arcs, weights, heads, head = [], [], [], np.zeros(n, np.int32)
         for k in range(1, order + 1):
             if k > 1:
                 held = np.concatenate([[0.0], total[k - 2][:-1]])
                 held[first] = trained
                 p = (total[k - 1] + weight * p) / (held + weight)
-                source = np.concatenate([[-1], named[k - 1][:-1]])
-                source[first] = k - 1 if begin else -1
-            else:
-                source = np.zeros(number, np.int64)
-            seen = total[k - 1] > 0
-            head = np.zeros(number, np.int64)
-            for j in range(1, min(k, order - 1) + 1):
-                head = np.where(named[j] >= 0, named[j], head)
-            arc = (source * self.tokens + self.token)[seen]
-            _, at = np.unique(arc, return_index=True)
-            arcs.append(arc[at])
-            weights.append(np.log10(p[seen][at]))
-            heads.append(head[seen][at])
-        arcs_ = np.concatenate(arcs)
-        by = np.argsort(arcs_, kind="stable")
-        self.arcs, self.weights, self.heads = arcs_[by], np.concatenate(weights)[by], np.concatenate(heads)[by]
+            if k < order:
+                head = np.where(named[k] >= 0, named[k], head)
+            mine = np.zeros(len(keys), bool)
+            mine[place[k - 1][total[k - 1] > 0]] = True
+            rows = where[np.flatnonzero(mine)]
+            source = np.where(first[rows], k - 1, named[k - 1][rows - 1]) if k > 1 else np.zeros(len(rows), np.int64)
+            arcs.append(source.astype(np.int64) * self.tokens + self.token[rows])
+            weights.append(np.log10(p[rows]))
+            heads.append(head[rows])
+        every = np.concatenate(arcs)
+        by = np.argsort(every)
+        self.arcs, self.weights, self.heads = every[by], np.concatenate(weights)[by], np.concatenate(heads)[by]
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each walker's next state and the log-probability of its token."""
@@ -179,20 +189,26 @@ class Automaton:
             state = self.fail[state]
         return out, gained
 
-    def walk(self, grams: Grams) -> np.ndarray:
-        """Each text's log10 probability: all texts walk from left to right, in step."""
-        order = np.argsort(-grams.length, kind="stable")
-        first, length = grams.first[order], grams.length[order]
-        score, state = np.zeros(len(order)), np.full(len(order), self.start, np.int64)
-        alive = len(order)
+    def walk(self, grams: Grams, order: int) -> np.ndarray:
+        """Each text's log10 probability. All texts walk from left to right, in step. Long ones walk as stretches: a stretch
+        sets out at the empty context, order - 1 tokens before its first, and so reaches it in the state of the whole walk,
+        which is the longest known context of these tokens."""
+        many = -(-grams.length // STRETCH)
+        text = np.repeat(np.arange(len(many)), many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        lead = np.where(nth > 0, order - 1, 0)
+        length = np.minimum(STRETCH, grams.length[text] - nth * STRETCH) + lead
+        by = np.argsort(-length, kind="stable")
+        text, nth, lead, length = text[by], nth[by], lead[by], length[by]
+        first = grams.first[text] + nth * STRETCH - lead
+        score, state = np.zeros(len(by)), np.where(nth > 0, 0, self.start)
+        alive = len(by)
         for t in range(int(length[0]) if len(length) else 0):
             while length[alive - 1] <= t:
                 alive -= 1
-            state, gained = self.step(state[:alive], self.token[first[:alive] + t])
-            score[:alive] += gained
-        out = np.empty(len(order))
-        out[order] = score
-        return out
+            state, gained = self.step(state[:alive], self.token[first[:alive] + t].astype(np.int64))
+            score[:alive] += np.where(t < lead[:alive], 0.0, gained)
+        return np.bincount(text, score, len(many))
 
 
 def _score(order: int, folds: int, bits: int, tokens: int, types: int, weight: float):
@@ -207,7 +223,7 @@ def _score(order: int, folds: int, bits: int, tokens: int, types: int, weight: f
                 n = len(block)
                 add = lambda x: np.bincount(grams.doc, x, n)
                 yield pa.RecordBatch.from_arrays(
-                    [block.id_column(), pa.array(held_out_rows(block, folds)), pa.array(grams.length), pa.array(add(automaton.known).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(automaton.base)), pa.array(automaton.walk(grams))],
+                    [block.id_column(), pa.array(held_out_rows(block, folds)), pa.array(grams.length), pa.array(add(automaton.known).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(automaton.base)), pa.array(automaton.walk(grams, order))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
@@ -221,10 +237,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, wei
     bits = key_bits(n_blocks)
 
     def tally(keys: np.ndarray, totals: np.ndarray) -> tuple[int, int]:
-        single = keys & U64(1) == 1
+        single = keys < SINGLE
         return int(totals[single].sum()), int((totals[single] > 0).sum())
 
-    replies = stored(count_keys(blocks, gram_counts(order, folds, bits), n_blocks, bits, tally))
+    replies = stored(count_keys(blocks, gram_counts(order, folds, bits), n_blocks, 64, tally))
     tokens, types = replies.agg(F.coalesce(F.sum("t0"), F.lit(0)), F.coalesce(F.sum("t1"), F.lit(0))).first()
     return with_replies(blocks, replies.select("g", "bucket", "reply")).select("g", "data", "replies").mapInArrow(_score(order, folds, bits, tokens, types, weight), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import _BASE, _INVERSE, _LETTER, U64, Block, blocks_of, bucket_number, count_keys, expand, joined_reply, mix, powers, squeeze, with_replies
+from .blocks import _BASE, _INVERSE, _LETTER, U64, Block, blocks_of, bucket_number, count_keys, counted, distinct, expand, joined_reply, mix, powers, squeeze, with_replies
 from .common import read_table, stored
 
 SIZE = 200
@@ -218,7 +218,7 @@ def common_prefix_reaches(a: np.ndarray, b: np.ndarray, words: np.ndarray, depth
 
 def _wanted(units: Units, replies, hot_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's units: whose text is repeated, which go to the suffix array, which are counted string by string."""
-    keys = np.unique(units.keys())
+    keys = distinct(units.keys())
     totals = joined_reply(replies)
     anchors = totals[np.searchsorted(keys, units.anchor)] if len(keys) else totals
     texts = totals[np.searchsorted(keys, units.text)] if len(keys) else totals
@@ -228,13 +228,13 @@ def _wanted(units: Units, replies, hot_units: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _unit_keys(size: int):
-    return lambda block: np.unique(Units(block, size).keys(), return_counts=True)
+    return lambda block: counted(Units(block, size).keys())
 
 
 def _hot_keys(size: int, hot_units: int):
     def keys(block: Block, replies):
         units = Units(block, size)
-        return np.unique(units.strings(np.flatnonzero(_wanted(units, replies, hot_units)[2]), size)[1], return_counts=True)
+        return counted(units.strings(np.flatnonzero(_wanted(units, replies, hot_units)[2]), size)[1])
 
     return keys
 
@@ -278,17 +278,17 @@ def _array(size: int, most: int = 2 << 20):
         # equal texts of an anchor come from several blocks: one of them is sorted
         order = np.lexsort((name, anchor))
         new = np.concatenate([[True], (np.diff(name[order]) != 0) | (np.diff(anchor[order]) != 0)])
-        distinct = order[new]
+        chosen = order[new]
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
         flags: list[np.ndarray] = []
-        size_of = np.array([len(spans[i]) for i in distinct])
-        last_of_anchor = np.concatenate([np.diff(anchor[distinct]) != 0, [True]])
+        size_of = np.array([len(spans[i]) for i in chosen])
+        last_of_anchor = np.concatenate([np.diff(anchor[chosen]) != 0, [True]])
         begin = held = 0
-        for i in range(len(distinct)):
+        for i in range(len(chosen)):
             held += size_of[i]
-            if last_of_anchor[i] and (held >= most or i + 1 == len(distinct)):
-                flags += repeated_starts([spans[k] for k in distinct[begin : i + 1]], size)
+            if last_of_anchor[i] and (held >= most or i + 1 == len(chosen)):
+                flags += repeated_starts([spans[k] for k in chosen[begin : i + 1]], size)
                 begin, held = i + 1, 0
         told = []
         for k in range(len(parts)):
@@ -312,8 +312,7 @@ def _gone(block: Block, replies, hot_replies, flags, size: int, hot_units: int)
     np.add.at(mark, units.first[whole] + units.number[whole] + size - 1, -1)
     starts, names = units.strings(np.flatnonzero(hot), size)
     if len(starts):
-        distinct = np.unique(names)
-        hit = starts[joined_reply(hot_replies)[np.searchsorted(distinct, names)] > 1]
+        hit = starts[joined_reply(hot_replies)[np.searchsorted(distinct(names), names)] > 1]
         np.add.at(mark, hit, 1)
         np.add.at(mark, hit + size, -1)
     mine = np.flatnonzero(open_ & ~repeated)
