@@ -9,15 +9,18 @@ compared, once per pair.
 
 Only components are asked for, so copies needn't meet in all pairs. Equal sets are one node from the start. Each node
 then meets the hub with which it shares most prefix shingles; hubs' groups, cut to a bounded size, are compared to
-leaders, and verified links make clusters. In a few rounds each node visits one of the largest other clusters that it
+leaders, and verified links make clusters. In one round each node visits one of the largest other clusters that it
 shares prefix shingles with, and goes over it until a link is found. What is left are pairs between different clusters:
 those that share a prefix shingle are paired, and the smaller one's nodes visit the larger one; lone nodes are paired at
-their first shared prefix shingle alone. Every pair of nodes that passes the filters is either verified or already known to be in one
-cluster, so no link between clusters is lost.
+their first shared prefix shingle alone, where the smaller set needs to hold it within its shorter index prefix. A pair is
+verified once at most: nodes carry which others they were compared with in vain, and which cluster they have visited, and
+visits skip these pairs; pairs within a cluster are never compared. Every pair of nodes that passes the filters is either
+verified or already known to be in one cluster, so no link between clusters is lost.
 
 Defined results: documents without words (null, empty, blank) have the empty set and link with nothing; fewer words than
 a shingle make one shingle of the whole sequence; rows with a null id take part and get their group's smallest id, which
-is null if the group has none; repeated rows are equal sets.
+is null if the group has none; repeated rows are equal sets; an empty table gives no rows; very long texts are taken whole;
+ties in rarity go by the shingle's hash; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -26,16 +29,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import U64, Block, blocks_of, count_keys, expand, expand_sorted, joined_reply, mix, squeeze, squeeze_sorted, with_replies, word_hashes
+from .blocks import U64, Block, blocks_of, count_keys, counted, distinct, expand, expand_sorted, joined_reply, mix, squeeze, squeeze_sorted, with_replies, word_hashes
 from .common import read_table, snug, stored
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-#: Nodes that stand in one group, leaders tried for one of them, and rounds of visits to large clusters.
+#: Nodes that stand in one group, and leaders tried for one of them.
 GROUP = 512
 LEADERS = 24
-ROUNDS = 1
 #: Rows of small tables, and sets, that one task takes.
 ROWS, SETS = 100_000, 2_000
 #: Words of the bitmap that stands for a set in the bitmap filter.
@@ -55,7 +57,7 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> list[np.ndarray]:
         hashes = mix(hashes)
     for i, n in enumerate(number.tolist()):
         if n >= size:
-            out[i] = np.unique(hashes[ends[i] - n : ends[i] - size + 1])
+            out[i] = distinct(hashes[ends[i] - n : ends[i] - size + 1])
         elif n:
             h = np.array([n], U64)
             for w in words[ends[i] - n : ends[i]]:
@@ -67,7 +69,7 @@ def shingle_sets(block: Block, size: int = SHINGLE) -> list[np.ndarray]:
 def short(hashes: np.ndarray) -> np.ndarray:
     """48 bits of each hash, sorted and distinct: what is counted, shipped and compared. A chance meeting of two shingles
     within a pair of a thousand shingles each has a probability of about 1e-9."""
-    return np.unique(hashes >> U64(16))
+    return distinct(hashes >> U64(16))
 
 
 def packed_set(hashes: np.ndarray) -> bytes:
@@ -110,11 +112,11 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
     return suffix_bound(x[:at], y[:mid], depth - 1) + hit + suffix_bound(x[at + hit :], y[mid + 1 :], depth - 1)
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Suffix filter, then the exact test, over sorted hashes."""
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool | None:
+    """The exact test over sorted hashes; None if length or suffix filter rule a link out before."""
     need = needed(len(x), len(y), percent)
     if min(len(x), len(y)) < need or suffix_bound(x, y) < need:
-        return False
+        return None
     return int(np.isin(x, y, assume_unique=True, kind="sort").sum()) >= need
 
 
@@ -128,8 +130,8 @@ def block_keys(size: int, bits: int):
     """Distinct short hashes of a block's sets, cut to ``bits`` bits, and the number of its documents that have them."""
 
     def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
-        sets = [np.unique(short(x) >> U64(48 - bits)) for x in shingle_sets(block, size)]
-        return np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, U64), np.zeros(0, np.int64))
+        sets = [distinct(short(x) >> U64(48 - bits)) for x in shingle_sets(block, size)]
+        return counted(np.concatenate(sets)) if sets else (np.zeros(0, U64), np.zeros(0, np.int64))
 
     return keys
 
@@ -146,7 +148,7 @@ def _describe(percent: int, size: int, bits: int):
                 block = Block(data)
                 sets = shingle_sets(block, size)
                 shorts = [short(s) for s in sets]
-                distinct = np.unique(np.concatenate(shorts) >> U64(48 - bits)) if sets else np.zeros(0, U64)
+                asked = distinct(np.concatenate(shorts) >> U64(48 - bits)) if sets else np.zeros(0, U64)
                 totals = joined_reply(replies)
                 rows, seen = [], set()
                 for s, x in zip(sets, shorts, strict=True):
@@ -155,7 +157,7 @@ def _describe(percent: int, size: int, bits: int):
                     if node is None or node in seen:
                         continue
                     seen.add(node)
-                    count = totals[np.searchsorted(distinct, x >> U64(48 - bits))]
+                    count = totals[np.searchsorted(asked, x >> U64(48 - bits))]
                     # positions are those in the short set; the prefix length is the true set's, so that hashes that
                     # fall together never shorten it
                     alone, length = int((count == 1).sum()), prefix_length(len(s), percent)
@@ -187,8 +189,14 @@ def _prefix_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(node, sizes)), pa.array(np.repeat(n, sizes)), pa.array(place.astype(np.int32))], ["token", "node", "n", "place"])
 
 
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits a bitmap differs from each of several."""
+    return np.bitwise_count((x ^ y).view(U64)).sum(1, dtype=np.int64)
+
+
 def _lead(percent: int):
-    """Within a hub's group: each node is compared to the leaders so far; without a link it becomes one."""
+    """Within a hub's group: each node is compared to the leaders so far; without a link it becomes one. (a, b, hit): the
+    pairs that were verified."""
 
     def run(table):
         import pyarrow as pa
@@ -196,47 +204,77 @@ def _lead(percent: int):
         nodes = table.column("node").to_pylist()
         sets = [unpacked_set(x) for x in table.column("hashes").to_pylist()]
         leaders: list[int] = []
-        links = []
+        seen: set[tuple[int, int]] = set()
+        found: list[tuple[int, int, bool]] = []
         for i in np.argsort([len(s) for s in sets], kind="stable").tolist():
             for k in leaders[:LEADERS]:
-                if nodes[k] == nodes[i] or linked(sets[k], sets[i], percent):
-                    links.append((nodes[k], nodes[i]))
+                if nodes[k] == nodes[i]:
+                    break
+                pair = (nodes[k], nodes[i])
+                if pair in seen or (hit := linked(sets[k], sets[i], percent)) is None:
+                    continue
+                seen.add(pair)
+                found.append((*pair, hit))
+                if hit:
                     # the leader that took a node is tried first for the next
                     leaders.remove(k)
                     leaders.insert(0, k)
                     break
             else:
                 leaders.insert(0, i)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+        return pa.table({"a": pa.array([x for x, *_ in found], pa.int64()), "b": pa.array([x for _, x, _ in found], pa.int64()), "hit": pa.array([x for *_, x in found], pa.bool_())})
 
     return run
 
 
 def _visit(percent: int):
-    """A part of a cluster and its visitors: a link for each visitor that has one."""
+    """A part of a cluster and its visitors: a link for each visitor that has one. Hosts pass the length and the bitmap filter
+    and weren't compared with the visitor before; the most alike is verified first, until one links."""
 
     def run(table):
         import pyarrow as pa
 
         guest = table.column("guest").to_numpy(zero_copy_only=False)
         nodes = table.column("node").to_numpy()
+        was, went, tried = (table.column(c).to_pylist() for c in ("was", "went", "tried"))
         sets = [unpacked_set(x) for x in table.column("hashes").to_pylist()]
-        hosts = np.array(sorted(np.flatnonzero(~guest).tolist(), key=lambda i: len(sets[i])))
+        hosts = np.array(sorted(np.flatnonzero(~guest).tolist(), key=lambda i: (len(sets[i]), nodes[i])), np.int64)
         links = []
         if len(hosts):
             sizes = np.array([len(sets[i]) for i in hosts])
-            # the hosts' shingles by number, so that a visitor's overlaps with all of them are one look-up and sums
-            known, number = np.unique(np.concatenate([sets[i] for i in hosts]), return_inverse=True)
-            begin = np.cumsum(sizes) - sizes
+            maps = np.array([parity_bits(sets[i]) for i in hosts], np.int64)
+            names = nodes[hosts]
+            stood = np.array([was[i] for i in hosts], np.int64)
+            gone = np.array([went[i] if went[i] is not None else 0 for i in hosts], np.int64)
+            travelled = np.array([went[i] is not None for i in hosts])
+            refused = {}
+            for k, i in enumerate(hosts.tolist()):
+                for j in tried[i] or []:
+                    refused.setdefault(j, []).append(k)
             for i in np.flatnonzero(guest).tolist():
                 x = sets[i]
-                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                has = np.zeros(len(known), np.int32)
-                has[at[known[at] == x]] = 1
-                hit = np.flatnonzero(np.add.reduceat(has[number], begin) >= needed(len(x), sizes, percent))
-                if len(hit):
-                    links.append((nodes[hosts[hit[0]]], nodes[i]))
-        return pa.table({"a": pa.array([int(x) for x, _ in links], pa.int64()), "b": pa.array([int(x) for _, x in links], pa.int64())})
+                n = len(x)
+                lo, hi = np.searchsorted(sizes, -(-percent * n // 100), "left"), np.searchsorted(sizes, 100 * n // percent, "right")
+                if lo >= hi:
+                    continue
+                need = needed(n, sizes[lo:hi], percent)
+                differ = _differing(maps[lo:hi], np.array(parity_bits(x), np.int64))
+                open_ = differ <= n + sizes[lo:hi] - 2 * need
+                # compared before: the visitor was at the host's cluster, the host at the visitor's, or both met at a hub
+                open_ &= ~(travelled[lo:hi] & (gone[lo:hi] == was[i]))
+                if went[i] is not None:
+                    open_ &= stood[lo:hi] != went[i]
+                if tried[i]:
+                    open_ &= ~np.isin(names[lo:hi], np.array(tried[i], np.int64))
+                for k in refused.get(int(nodes[i]), []):
+                    if lo <= k < hi:
+                        open_[k - lo] = False
+                at = np.flatnonzero(open_)
+                for k in (lo + at[np.argsort(differ[at], kind="stable")]).tolist():
+                    if linked(sets[hosts[k]], x, percent):
+                        links.append((int(names[k]), int(nodes[i])))
+                        break
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
@@ -249,14 +287,15 @@ def _band(n, percent: int):
 def _meet_hubs(tokens: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links found where each node meets the hub with which it shares most prefix shingles."""
     named = tokens.select("token", "node", _band(F.col("n"), percent).alias("band"))
-    hubs = named.groupBy("token", "band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("token", "band", "hub")
+    # stored, so that the join deals its rows anew and can split the partition of a very frequent shingle
+    hubs = snug(stored(named.groupBy("token", "band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("token", "band", "hub")), ROWS)
     met = named.join(hubs, ["token", "band"]).where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
     chosen = met.groupBy("node").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub"))
     sizes = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
     members = chosen.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node")
     # the hub comes to each of its groups
     hub_rows = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("node"))
-    return members.unionAll(hub_rows).join(sets.select("node", "hashes"), "node").groupBy("hub", "salt").applyInArrow(_lead(percent), "a long, b long")
+    return members.unionAll(hub_rows).join(sets.select("node", "hashes"), "node").groupBy("hub", "salt").applyInArrow(_lead(percent), "a long, b long, hit boolean")
 
 
 def _clusters(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,22 +311,21 @@ def _open(tokens: DataFrame, of: DataFrame) -> DataFrame:
     return snug(stored(held.join(mixed, "token").select("token", "node", "n", "place")), ROWS)
 
 
-def _visits(visits: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _visits(visits: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links between guests and hosts. visits: (host, node), a node that visits a cluster; the cluster's nodes stand in
-    groups of bounded size, and the guest goes to each."""
+    groups of bounded size, and the guest goes to each. marks: (node, was, went, tried), what was compared before."""
     salted = sizes.select(F.col("cluster").alias("host"), F.ceil(F.col("size") / GROUP).alias("salts"))
     guests = visits.join(salted, "host").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "node", F.lit(True).alias("guest"))
     hosts = visits.select("host").distinct().join(salted, "host").join(of.withColumnRenamed("cluster", "host"), "host").select("host", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node", F.lit(False).alias("guest"))
-    return guests.unionAll(hosts).join(sets.select("node", "hashes"), "node").groupBy("host", "salt").applyInArrow(_visit(percent), "a long, b long")
+    return guests.unionAll(hosts).join(sets.select("node", "hashes"), "node").join(marks, "node").groupBy("host", "salt").applyInArrow(_visit(percent), "a long, b long")
 
 
-def _visit_largest(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each node with one other cluster: of the largest ones at its shingles that with which it shares most."""
+def _largest(tokens: DataFrame, of: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(node, host): for each node one other cluster, of the largest ones at its shingles that with which it shares most."""
     held = tokens.select("token", "node", _band(F.col("n"), percent).alias("band")).join(of, "node").join(sizes, "cluster")
-    hosts = held.groupBy("token", "band").agg(F.max(F.struct("size", "cluster")).alias("largest"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token", "band", F.col("largest.cluster").alias("host"))
+    hosts = snug(stored(held.groupBy("token", "band").agg(F.max(F.struct("size", "cluster")).alias("largest"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token", "band", F.col("largest.cluster").alias("host"))), ROWS)
     met = held.join(hosts, ["token", "band"]).where("cluster != host").groupBy("node", "host").agg(F.count(F.lit(1)).alias("shared"))
-    chosen = met.groupBy("node").agg(F.max_by("host", F.struct("shared", -F.col("host"))).alias("host"))
-    return _visits(chosen, of, sizes, sets, percent)
+    return met.groupBy("node").agg(F.max_by("host", F.struct("shared", -F.col("host"))).alias("host"))
 
 
 def _lone_pairs(lone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,17 +335,20 @@ def _lone_pairs(lone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lists = lone.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "token"))).alias("all"))
     rows = lists.join(sets.select("node", "bits"), "node").select("node", "n", "bits", "all.token", F.posexplode("all").alias("k", "at")).select("node", "n", "bits", F.col("at.place").alias("place"), F.col("at.token").alias("key"), F.slice("token", F.lit(1), F.col("k")).alias("rarer"))
     x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "bits", "place", "rarer"))) for s in "xy")
-    sizes = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent)
+    # x is the smaller set: the first shared shingle stands in its index prefix, which is shorter than the other's
+    x = x.where(F.col("place_x") <= F.col("n_x") - F.ceil(F.lit(2 * percent) * F.col("n_x") / F.lit(100 + percent)))
+    smaller = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    sizes = smaller & (F.col("n_x") * 100 >= F.col("n_y") * percent)
     left = 1 + F.least(F.col("n_x") - 1 - F.col("place_x"), F.col("n_y") - 1 - F.col("place_y"))
     possible = F.lit(100 + percent) * left >= F.lit(percent) * (F.col("n_x") + F.col("n_y"))
     first = ~F.coalesce(F.arrays_overlap("rarer_x", "rarer_y"), F.lit(False))
     # sets that link differ in n_x + n_y - 2 * overlap shingles at most, and their bitmaps in no more bits
     differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     most = F.col("n_x") + F.col("n_y") - 2 * F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
-    return x.join(y, (x.key == y.key) & (F.col("node_x") < F.col("node_y")) & sizes & possible & (differ <= most) & first).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
+    return x.join(y, (x.key == y.key) & sizes & possible & (differ <= most) & first).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"))
 
 
-def _visit_all(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _visit_all(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links between all clusters that share a prefix shingle and may link by their sizes; the smaller cluster visits."""
     held = tokens.join(of, "node").join(sizes, "cluster")
     mixed = held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
@@ -321,7 +362,7 @@ def _visit_all(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFra
     pairs = x.join(y, (x.token == y.token) & larger & near).select(F.col("cluster_x").alias("host"), F.col("cluster_y").alias("cluster")).distinct()
     visits = pairs.join(of, "cluster").select("host", "node").unionAll(lone.select(F.col("x").alias("host"), F.col("y").alias("node")))
     # a lone node is a cluster of its own name
-    return _visits(visits, of, sizes, sets, percent)
+    return _visits(visits, of, sizes, sets, marks, percent)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -336,13 +377,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SHIN
     # cheap to take apart again, so it isn't stored
     tokens = sets.select("node", "n", "start", "prefix").mapInArrow(_prefix_rows, "token long, node long, n int, place int")
 
-    links = snug(stored(_meet_hubs(tokens, sets, percent)), ROWS)
+    met = snug(stored(_meet_hubs(tokens, sets, percent)), ROWS)
+    links = met.where("hit").select("a", "b")
     of, sizes = _clusters(sets, links)
+    tried = met.where("not hit").groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("tried"))
+    marks = of.join(tried, "node", "left").select("node", F.col("cluster").alias("was"), F.lit(None).cast("long").alias("went"), "tried")
     tokens = _open(tokens, of)
-    for _ in range(ROUNDS):
-        links = links.unionAll(snug(stored(_visit_largest(tokens, of, sizes, sets, percent)), ROWS))
-        of, sizes = _clusters(sets, links)
-    final = components(links.unionAll(_visit_all(tokens, of, sizes, sets, percent)))
+    # one round of visits to large clusters
+    went = snug(stored(_largest(tokens, of, sizes, percent)), ROWS)
+    links = links.unionAll(snug(stored(_visits(went, of, sizes, sets, marks, percent)), ROWS))
+    of, sizes = _clusters(sets, links)
+    marks = marks.drop("went").join(went.withColumnRenamed("host", "went"), "node", "left")
+    final = components(links.unionAll(_visit_all(tokens, of, sizes, sets, marks, percent)))
 
     # a component's name is its smallest document
     named = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

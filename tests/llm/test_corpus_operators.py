@@ -416,12 +416,45 @@ def test_jaccard_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_clusters(spark, monkeypatch):
+    """Several families of near copies, which share shingles but not all links, in groups of a few nodes: hubs, visits and
+    pairs of lone nodes all take part, and no pair is verified twice."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    rng = np.random.default_rng(3)
+    common, rows = [f"c{i}" for i in range(40)], []
+    for f in range(6):
+        base = [f"w{f}_{i}" for i in range(30)] + common[: 10 + 5 * f]
+        for _ in range(25):
+            w = list(base)
+            for k in rng.integers(0, len(w), rng.integers(0, 5)):
+                w[k] = f"x{rng.integers(30)}"
+            rows.append((len(rows), " ".join(w[: rng.integers(len(w) - 6, len(w) + 1)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    assert got == brute_components(rows) and len({c for *_, c in got}) > 6
+
+
+def test_visits_skip_compared_pairs():
+    """A visitor isn't compared again with hosts that it met at a hub, visited, or was visited by."""
+    import pyarrow as pa
+
+    x = [np.arange(k, 100 + k, dtype=np.uint64) for k in range(5)]
+    table = lambda was, went, tried: pa.table({"host": [1] * 5, "salt": [0] * 5, "node": pa.array(range(5), pa.int64()), "guest": [True] + [False] * 4, "hashes": [jaccard_join.packed_set(s) for s in x], "was": pa.array(was, pa.int64()), "went": pa.array(went, pa.int64()), "tried": pa.array(tried, pa.list_(pa.int64()))})
+    visit = lambda *a: jaccard_join._visit(75)(table(*a)).to_pylist()
+    none = [None] * 5
+    assert visit([9, 1, 1, 1, 1], none, none) == [{"a": 1, "b": 0}]
+    assert visit([9, 1, 1, 2, 1], [1, *none[1:]], none) == [{"a": 3, "b": 0}]
+    assert visit([9, 1, 1, 1, 1], [None, 9, 9, None, None], none) == [{"a": 3, "b": 0}]
+    assert visit([9, 1, 1, 1, 1], none, [[1], None, [0], [0], None]) == [{"a": 4, "b": 0}]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
 def test_filters_are_safe(a, b):
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
     assert jaccard_join.suffix_bound(x, y) >= len(a & b)
-    assert jaccard_join.linked(x, y, 75) == (100 * len(a & b) >= 75 * len(a | b))
+    assert bool(jaccard_join.linked(x, y, 75)) == (100 * len(a & b) >= 75 * len(a | b))
     differ = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(jaccard_join.parity_bits(x), jaccard_join.parity_bits(y), strict=True))
     assert differ <= len(a ^ b)
 
@@ -496,7 +529,7 @@ def test_pieces(docs, no_docs):
 # ---------------------------------------------------------------- 8
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
 def test_scores(docs, no_docs, order):
     rows = [(i, t) for i, t in texts_of(docs)]
     seqs = [["<b>"] * (order - 1) + words(t) + ["</end>"] for _, t in rows]
@@ -534,7 +567,7 @@ def test_automaton_is_a_model(docs):
     b = blocks.Block(blocks.squeeze(np.array([i or 0 for i, _ in rows]), np.zeros(len(rows), np.uint8), np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8), np.zeros(0, np.uint8)))
     keys, counts = lm_automaton.gram_counts(3, 10**9, 48)(b)
     grams = lm_automaton.Grams(b, 3, 48)
-    single = keys % 2 == 1
+    single = keys < lm_automaton.SINGLE
     a = lm_automaton.Automaton(grams, 3, counts, int(counts[single].sum()), int((counts[single] > 0).sum()), 2.0)
 
     def spread(state):
