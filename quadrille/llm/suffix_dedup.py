@@ -10,8 +10,13 @@ are induced from them by scanning the buckets of first bytes in order. Neighbour
 reaches ``size`` are repeated. Anchors with very many different units would fill one bucket: their starts are settled by
 counting the strings themselves, spread over all buckets.
 
+Anchors, units and strings are told apart by 64-bit hashes; a unit passes for repeated only if its text and its anchor both
+are. Where the suffix array decides, bytes are compared.
+
 Defined results: null is the empty text; texts under ``size`` bytes lose nothing; strings never cross documents; equal
-documents of ``size`` bytes or more lose everything, repeated rows included; null ids pass through.
+documents of ``size`` bytes or more lose everything, repeated rows included; null ids pass through; an empty table gives no
+rows; very long texts are taken whole; further columns don't matter. In ``clean_texts`` a null text stays null, and a row
+that loses nothing stays whatever its text is.
 """
 
 from __future__ import annotations
@@ -46,11 +51,7 @@ class Units:
         self.back = powers(_INVERSE, n + 1)
         total, back = self.total, self.back
         grams = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
-        # 40 bits of the hash, then the place: the least is the leftmost of the smallest
-        ranked = (grams & ~U64((1 << 24) - 1)) | np.arange(len(grams), dtype=U64) if n <= 1 << 24 else _wide_rank(grams)
-        width = size - gram + 1
-        least = _sliding_min(ranked, width)
-        at = (least & U64((1 << 24) - 1)).astype(np.int64) if n <= 1 << 24 else least.astype(np.int64) & 0xFFFFFFFF
+        at = leftmost_least(grams, size - gram + 1)
         # starts whose string ends inside its document
         valid = np.zeros(n + 1, np.int32)
         lengths = np.diff(block.starts)
@@ -82,9 +83,14 @@ class Units:
         return starts, mix(((self.total[starts + size] - self.total[starts]) * self.back[starts]) ^ _STRING_SALT)
 
 
-def _wide_rank(grams: np.ndarray) -> np.ndarray:
-    """For a block over 16 MB (a very long document): the hash's 32 upper bits, then the place."""
-    return (grams & ~U64(0xFFFFFFFF)) | np.arange(len(grams), dtype=U64)
+def leftmost_least(grams: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
+    """The place of each window's smallest hash (by its upper 64 - ``bits`` bits, whatever the block's size; the leftmost of
+    equals). The place stands in the lower bits, so a block of more places is taken in overlapping stretches."""
+    low, step, out = U64((1 << bits) - 1), (1 << bits) - width + 1, []
+    for begin in range(0, len(grams) - width + 1, step):
+        part = grams[begin : begin + step + width - 1]
+        out.append((_sliding_min((part & ~low) | np.arange(len(part), dtype=U64), width) & low).astype(np.int64) + begin)
+    return np.concatenate(out)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -217,12 +223,13 @@ def common_prefix_reaches(a: np.ndarray, b: np.ndarray, words: np.ndarray, depth
 
 
 def _wanted(units: Units, replies, hot_units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's units: whose text is repeated, which go to the suffix array, which are counted string by string."""
+    """Of a block's units: whose text is repeated, which go to the suffix array, which are counted string by string. A text
+    is as frequent as its anchor at most: a text whose hash meets another one's doesn't pass for repeated by that alone."""
     keys = distinct(units.keys())
     totals = joined_reply(replies)
     anchors = totals[np.searchsorted(keys, units.anchor)] if len(keys) else totals
     texts = totals[np.searchsorted(keys, units.text)] if len(keys) else totals
-    repeated, open_ = texts > 1, anchors > texts
+    repeated, open_ = (texts > 1) & (anchors >= texts), (anchors > 1) & (anchors != texts)
     hot = open_ & (anchors > hot_units)
     return repeated, open_ & ~hot, hot
 
@@ -233,6 +240,8 @@ def _unit_keys(size: int):
 
 def _hot_keys(size: int, hot_units: int):
     def keys(block: Block, replies):
+        if joined_reply(replies).max(initial=0) <= hot_units:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
         units = Units(block, size)
         return counted(units.strings(np.flatnonzero(_wanted(units, replies, hot_units)[2]), size)[1])
 
