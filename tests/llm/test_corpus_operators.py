@@ -493,6 +493,39 @@ def test_vectors(spark, no_docs):
     assert pq_neighbors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_parts(spark, monkeypatch):
+    """Lists in several parts, columns of clashing names, repeated ids, huge and tiny components."""
+    monkeypatch.setattr(pq_neighbors, "LIST_ROWS", 16)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(6, 12))
+    rows = [(i, (base[i % 6] * 10.0 ** (i % 5 * 75 - 150) + 0).tolist() if i < 40 else (base[i % 6] + rng.normal(scale=0.06, size=12)).tolist(), i % 2, "x", 0.5) for i in range(400)]
+    rows.append((399, rows[5][1], 1, "y", 0.5))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node string, weight double")
+    x = np.array([r[1] for r in rows])
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    got = sorted((r["vec_id"], r["n_links"]) for r in pq_neighbors.near_vectors(df).collect())
+    assert got == sorted(zip([r[0] for r in rows], near.sum(1).tolist(), strict=True)) and near.sum() > 5_000
+
+
+def test_vectors_recall(spark):
+    """Links in 64 dimensions, near the limit and over many lists, against brute force (the contract asks for 0.9)."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(1_500, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.22, (1_500, 1)), base[:300] + rng.normal(size=(300, 64)) * 0.15])
+    label = np.concatenate([np.arange(1_500), np.arange(1_500), np.arange(300)]) % 2
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in pq_neighbors.near_vectors(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.995 * near.sum() > 2_000
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -653,6 +686,23 @@ def test_repeats(docs, no_docs, hot):
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} >= {1, 3, 4, 6, 8, 9, 14}
 
 
+@pytest.mark.parametrize("bits", [24, 10])
+def test_anchors_in_stretches(bits):
+    """The leftmost of the smallest hashes, also where a block is taken in stretches."""
+    h = np.random.default_rng(1).integers(0, 40, 5_000).astype(np.uint64) << np.uint64(40)
+    want = [i + int(np.argmin(h[i : i + 169])) for i in range(len(h) - 168)]
+    assert suffix_dedup.leftmost_least(h, 169, bits).tolist() == want
+
+
+def test_repeats_in_long_texts(spark):
+    """Texts of several hundred kilobytes, whole, next to small ones that share a passage with them."""
+    long = " ".join(f"word{i * i * 7919 % 99991 + i}" for i in range(30_000))
+    rows = [(1, long), (2, "x" + long[100_000:100_450] + "y"), (3, long[200_000:200_199]), (4, long[-260:]), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {1: (710, 2), 2: (450, 1), 3: (0, 0), 4: (260, 1), 5: (0, 0)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab\0\xff", max_size=90), min_size=1, max_size=6))
 def test_suffix_array(texts):
