@@ -8,10 +8,10 @@ unknown tokens. An arc leads to the longest context that it leaves known.
 
 Counts come from the whole corpus and grow with it, so the automaton is never in one place: each block of documents asks
 for the counts of just the n-grams that its texts can meet (see blocks), builds that part of the automaton (states, sorted
-arcs, failure arcs), and walks its texts through it once, from left to right: a text carries its state, takes the arc of the
-next token or falls back along failure arcs until one has it, and adds up the log-probabilities on its way. All texts of a
-block walk in step. Every token but the last is followed by one, so an n-gram's count is also that of the context it makes,
-and contexts need no counts of their own.
+arcs, failure arcs) for some texts at a time, and walks these texts through it once, from left to right: a text carries its
+state, takes the arc of the next token or falls back along failure arcs until one has it, and adds up the log-probabilities
+on its way. All these texts walk in step. Every token but the last is followed by one, so an n-gram's count is also that of
+the context it makes, and contexts need no counts of their own.
 
 Defined results: a null or empty text is the one end token; null ids are never held out; without training texts (an empty
 table has no rows at all) all counts are 0; repeated rows count as often as they occur; very long texts are scored whole;
@@ -20,6 +20,8 @@ further columns don't matter. Counts have 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ ORDER = 3
 WEIGHT = 2.0
 #: Tokens that a walker takes; longer texts have several.
 STRETCH = 256
+#: Tokens of the texts that walk in one automaton; what is built at a time is so bounded.
+PART_TOKENS = 1 << 17
 #: Larger blocks share more n-grams among their own texts.
 LM_BLOCK_BYTES = 3 << 20
 
@@ -89,7 +93,24 @@ class Grams:
             before[1:], before[:1] = gram[:-1], 0
             before[self.first] = _salt(_BEGIN, k)
             gram = mix(before * U64(0xFF51AFD7ED558CCD) + tokens)
-        self.end_key = mix(np.array([_END]) ^ _salt(_GRAM, 1)) >> U64(2) & ~U64(63)
+        self.end_key = (mix(np.array([_END]) ^ _salt(_GRAM, 1)) >> U64(2) & ~U64(63))[0]
+
+    def part(self, begin: int, end: int) -> Grams:
+        """Those of some documents in a row."""
+        out = object.__new__(Grams)
+        out.length, out.end_key = self.length[begin:end], self.end_key
+        i, j = int(self.first[begin]), int(self.first[end - 1] + self.length[end - 1])
+        out.first, out.doc, out.keys = self.first[begin:end] - i, self.doc[i:j] - begin, [k[i:j] for k in self.keys]
+        return out
+
+    def parts(self, tokens: int) -> Iterator[Grams]:
+        """Parts of about so many tokens; a text is never cut."""
+        ends = self.first + self.length
+        begin = 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, self.first[begin] + tokens, "right")))
+            yield self.part(begin, end)
+            begin = end
 
 
 def gram_counts(order: int, folds: int, bits: int):
@@ -109,16 +130,17 @@ def gram_counts(order: int, folds: int, bits: int):
 
 
 class Automaton:
-    """The part of the automaton that a block's texts meet. State 0 is the empty context; ``fail`` and ``fail_weight`` are the
+    """The part of the automaton that some texts meet, of whose n-grams the sorted ``keys`` have ``counts``. State 0 is the empty context; ``fail`` and ``fail_weight`` are the
     states' failure arcs; arc i leaves a state by a token: ``arcs`` holds state * tokens + token, sorted."""
 
-    def __init__(self, grams: Grams, order: int, counts: np.ndarray, tokens: int, types: int, weight: float):
+    def __init__(self, grams: Grams, order: int, known: np.ndarray, counts: np.ndarray, tokens: int, types: int, weight: float):
         n = len(grams.doc)
+        trained = int(counts[np.searchsorted(known, grams.end_key)])
         keys, place = np.unique(np.concatenate(grams.keys), return_inverse=True)
+        counts = counts[np.searchsorted(known, keys)]
         place = place.astype(np.int32).reshape(order, n)
         first = np.zeros(n, bool)
         first[grams.first] = True
-        trained = int(counts[np.searchsorted(keys, grams.end_key[0])]) if n else 0
         # a token's number is that of its key; single tokens' keys come first
         self.token, self.tokens = place[0], int(np.searchsorted(keys, SINGLE))
         self.unknown = float(np.log10(1 / (tokens + types + 1)))
@@ -219,11 +241,14 @@ def _score(order: int, folds: int, bits: int, tokens: int, types: int, weight: f
             for data, replies in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 block = Block(data)
                 grams = Grams(block, order, bits)
-                automaton = Automaton(grams, order, joined_reply(replies), tokens, types, weight)
-                n = len(block)
-                add = lambda x: np.bincount(grams.doc, x, n)
+                known, counts, n = distinct(np.concatenate(grams.keys)), joined_reply(replies), len(block)
+                found = []
+                for part in grams.parts(PART_TOKENS):
+                    automaton = Automaton(part, order, known, counts, tokens, types, weight)
+                    found.append([np.bincount(part.doc, x, len(part.length)) for x in (automaton.known, automaton.base)] + [automaton.walk(part, order)])
+                seen, base, score = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [block.id_column(), pa.array(held_out_rows(block, folds)), pa.array(grams.length), pa.array(add(automaton.known).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(add(automaton.base)), pa.array(automaton.walk(grams, order))],
+                    [block.id_column(), pa.array(held_out_rows(block, folds)), pa.array(grams.length), pa.array(seen.astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), pa.array(base), pa.array(score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -601,7 +601,7 @@ def test_automaton_is_a_model(docs):
     keys, counts = lm_automaton.gram_counts(3, 10**9, 48)(b)
     grams = lm_automaton.Grams(b, 3, 48)
     single = keys < lm_automaton.SINGLE
-    a = lm_automaton.Automaton(grams, 3, counts, int(counts[single].sum()), int((counts[single] > 0).sum()), 2.0)
+    a = lm_automaton.Automaton(grams, 3, keys, counts, int(counts[single].sum()), int((counts[single] > 0).sum()), 2.0)
 
     def spread(state):
         own = {int(k % a.tokens): 10**w for k, w in zip(a.arcs, a.weights, strict=True) if k // a.tokens == state}
