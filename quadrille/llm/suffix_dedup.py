@@ -274,7 +274,7 @@ def _send(n: int, size: int, hot_units: int):
     return run
 
 
-def _array(size: int, most: int = 2 << 20):
+def _array(size: int, most: int = 1 << 20):
     """A bucket's suffix arrays; anchors are put together up to ``most`` bytes for one array."""
 
     def run(table):
