@@ -2,7 +2,8 @@
 
 A text is cut into parts at line breaks and sentence ends, each is normalised (A-Z lowered, comment signs and punctuation
 to single blanks), and the sentences that the table knows become identifiers. A sentence may be one part or several that
-follow each other, so wrapped and commented texts are found; parts of one line are joined last. A document's identifier sequence is then matched against the licence
+follow each other, so wrapped and commented texts are found; parts of one line are joined last. Where a sentence names
+someone, other names may stand. A document's identifier sequence is then matched against the licence
 rules in their order: a rule is a sequence of identifiers that follow each other; what it matches is used up, so that
 the notice of a longer rule isn't counted again by a shorter one. Identifiers that no rule takes are reported.
 
@@ -61,9 +62,43 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "CCBYref",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSAref",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CCBYNCref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3plus",
+    "see the gnu affero general public license for more details": "AGPLsee",
+    "you should have received a copy of the gnu affero general public license along with this program": "AGPLreceived",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3plus",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "LGPLnowarranty",
+    "see the gnu lesser general public license for more details": "LGPLsee",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "EPL2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution": "EPL1",
+    "this software is provided as is without any express or implied warranty": "ZlibAsis",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BSL1grant",
+    "distributed under the boost software license version 1 0": "BSL1ref",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "BSDadvertise",
+    "the contents of this file are subject to the terms of the common development and distribution license the license": "CDDL",
+    "the contents of this file are subject to the terms of the common development and distribution license": "CDDL",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ZeroBSDgrant",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0",
+    "this work is released under cc0 1 0 universal": "CC0",
+    "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0": "Artistic2",
+    "licensed under the mozilla public license 2 0": "MPL2ref",
+    "licensed under the bsd 3 clause license": "BSD3ref",
+    "licensed under the bsd 2 clause license": "BSD2ref",
+    "licensed under the gnu affero general public license version 3": "AGPL3ref",
+    "licensed under the gnu lesser general public license version 3": "LGPL3ref",
     "all rights reserved": "AllRights",
 }
 
+#: Sentences with a part that names someone: what stands before it, what stands for it in the table, what follows.
+VARIABLE = [
+    ("neither the name of", "the copyright holder", "nor the names of its contributors"),
+    ("this software is provided by", "the copyright holders and contributors", "as is and any express"),
+    ("in no event shall", "the authors or copyright holders", "be liable for any claim damages or other liability"),
+]
+#: Words that such a part has at most.
+NAME_WORDS = 10
+
 #: Licence rules in the order in which they apply: longer sequences before their parts.
 RULES = [
     ("MIT", "MITgrant MITnotice MITasis MITliable"),
@@ -75,6 +110,12 @@ RULES = [
     ("GPL-2.0-or-later", "GPL2plus GPLnowarranty GPLsee GPLreceived"),
     ("GPL-2.0-or-later", "GPL2plus GPLnowarranty GPLsee"),
     ("GPL-2.0-only", "GPL2only GPLnowarranty GPLsee"),
+    ("AGPL-3.0-or-later", "AGPL3plus GPLnowarranty AGPLsee AGPLreceived"),
+    ("AGPL-3.0-or-later", "AGPL3plus GPLnowarranty AGPLsee"),
+    ("LGPL-3.0-or-later", "LGPL3plus LGPLnowarranty LGPLsee"),
+    ("LGPL-2.1-or-later", "LGPL21plus LGPLnowarranty LGPLsee"),
+    ("Zlib", "ZlibAsis ZlibLiable ZlibGrant"),
+    ("BSD-4-Clause", "BSDgrant BSDsource BSDbinary BSDadvertise BSDendorse BSDasis"),
     ("BSD-3-Clause", "BSDgrant BSDsource BSDbinary BSDendorse BSDasis"),
     ("BSD-2-Clause", "BSDgrant BSDsource BSDbinary BSDasis"),
     ("MPL-2.0", "MPL2 MPL2copy"),
@@ -83,6 +124,22 @@ RULES = [
     ("GPL-2.0-only", "GPL2only"),
     ("LGPL-2.1-or-later", "LGPL21plus"),
     ("MPL-2.0", "MPL2"),
+    ("AGPL-3.0-or-later", "AGPL3plus"),
+    ("LGPL-3.0-or-later", "LGPL3plus"),
+    ("EPL-2.0", "EPL2"),
+    ("EPL-1.0", "EPL1"),
+    ("BSL-1.0", "BSL1grant"),
+    ("BSL-1.0", "BSL1ref"),
+    ("CDDL-1.0", "CDDL"),
+    ("CC0-1.0", "CC0"),
+    ("Artistic-2.0", "Artistic2"),
+    ("Zlib", "ZlibGrant"),
+    ("0BSD", "ZeroBSDgrant"),
+    ("MPL-2.0", "MPL2ref"),
+    ("BSD-3-Clause", "BSD3ref"),
+    ("BSD-2-Clause", "BSD2ref"),
+    ("AGPL-3.0-only", "AGPL3ref"),
+    ("LGPL-3.0-only", "LGPL3ref"),
     ("ISC", "ISCgrant"),
     ("Unlicense", "Unlicense"),
     ("MIT", "MITref"),
@@ -102,7 +159,11 @@ def parts_of(text: Column) -> Column:
     low = F.concat(F.lit("\n\n"), F.translate(text, UPPER, LOWER), F.lit("\n\n"))
     marked = F.regexp_replace(F.regexp_replace(low, r"[.!?:;](?=[ \t\n\x0B\f\r])", "E"), "\n", "L")
     plain = F.regexp_replace(marked, "[^a-z0-9EL]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[ EL]*L[ E]*L[ EL]*", "B"), "[ L]*E[ EL]*", "E"), " *L *", "L")
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[ EL]*L[ E]*L[ EL]*", "B"), "[ L]*E[ EL]*", "E"), " *L *", "L")
+    for before, name, after in VARIABLE:
+        some = f"(?<=[ELB])({before}) (?:[a-z0-9]+ ){{1,{NAME_WORDS}}}({after})".replace(" ", "[ L]")
+        out = F.regexp_replace(out, some, f"$1 {name} $2")
+    return out
 
 
 def known_pattern(sentences: dict[str, str]) -> str:
@@ -142,6 +203,9 @@ def op4_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     """The same by DuckDB: sentences as rows, rules applied one after the other."""
     values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    named = "sentence"
+    for before, name, after in VARIABLE:
+        named = f"regexp_replace({named}, '^({before}) (?:[a-z0-9]+ ){{1,{NAME_WORDS}}}({after})', '\\1 {name} \\2')"
     steps, last = [], "r0"
     for k, (name, sequence) in enumerate(RULES, 1):
         pattern = "".join(f"<{x}>" for x in sequence.split())
@@ -152,7 +216,9 @@ WITH known(sentence, ident) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS doc_key, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 cut AS (SELECT doc_key, string_split(regexp_replace(low, '([.!?:;])[ \\t\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM d),
 flat AS (SELECT doc_key, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-hits AS (SELECT doc_key, pos, ident FROM flat JOIN known ON trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) = sentence),
+plain AS (SELECT doc_key, pos, trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM flat),
+named AS (SELECT doc_key, pos, {named} AS sentence FROM plain),
+hits AS (SELECT doc_key, pos, ident FROM named JOIN known USING (sentence)),
 seqs AS (SELECT doc_key, count(*) AS n, string_agg(ident, ' ' ORDER BY pos) AS ids, string_agg('<' || ident || '>', '' ORDER BY pos) AS seq FROM hits GROUP BY doc_key),
 r0 AS (SELECT doc_key, seq, CAST([] AS VARCHAR[]) AS names FROM seqs),
 {", ".join(steps)}

@@ -337,6 +337,41 @@ def test_wrapped_licenses(spark):
     assert {r["doc_id"]: r["licenses"] for r in license_rules.scan_licenses(other).collect()} == {1: "MIT", 2: ""}
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+
+
+def test_more_licenses(spark):
+    """Names within sentences, and further licences, wrapped and commented."""
+    owned = BSD.replace("the copyright holder nor the names of its\n   contributors", "The Example Corporation nor the names of its\n   contributors").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS")
+    liable = MIT.replace("AUTHORS OR COPYRIGHT HOLDERS BE LIABLE", "X CONSORTIUM BE LIABLE")
+    texts = {
+        "BSD-3-Clause": owned, "MIT": liable, "Zlib": ZLIB, "BSL-1.0": BOOST,
+        "BSD-4-Clause": owned.replace("3. Neither", "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n\n4. Neither"),
+        "AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General"), "LGPL-3.0-or-later": GPL.replace("program", "library").replace("GNU General", "GNU Lesser General"),
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+        "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain worldwide.",
+    }
+    assert owned != BSD and liable != MIT
+    rows = [(i, name, form) for i, (name, t) in enumerate(texts.items()) for form in (t, "\n".join(f"// {x}".rstrip() for x in t.splitlines()))]
+    df = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_rules.scan_licenses(df).collect()}
+    assert got == {k: name for k, (_, name, _) in enumerate(rows)}
+
+
 def test_merkle(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}é</p>" * 3) for i in range(700)] + [(None, None, None), (5, "http://h/5", "<p>5é</p>" * 3)], "page_id long, url string, html string")
     worse = pages.withColumn("html", F.when(F.col("page_id") == 300, "gone").otherwise(F.col("html")))
