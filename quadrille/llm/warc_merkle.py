@@ -2,13 +2,15 @@
 
 Pages become WARC records, dealt to files by ranges of their ids and ordered in them; each record's digest and byte range
 come from one narrow pass, so only digests are shuffled. A file's digests and lengths form a tree of fan-out ``FAN`` over
-fixed ranges of ids: slots of one id, ranges of slots, ranges of ranges, one root. A lost or added record so changes its
-own ranges only; offsets stay out of the digests, as each one depends on all records before it. Two replicas compare roots
+fixed ranges of ids: slots of one id, ranges of slots, ranges of ranges, one root. A node's digest covers its level, its
+range, and its children in order: number, offset from where the range begins, length and digest of each. A lost or added
+record so changes the ranges that hold it only, though all records behind it move. Two replicas compare roots
 first and go down only where ranges differ; the records of the slots at the bottom are matched by their identity (the id;
 the url where the id is null), which finds those that are damaged, missing or added.
 
 Defined results: a null url or html is empty; records of a null id go to files of their own below zero, by url; equal ids
-are ordered by url and digest; repeated rows are records of their own; an empty table gives no rows.
+are ordered by url and digest; repeated rows are records of their own; an empty table gives no rows; long pages are hashed
+whole; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -83,16 +85,18 @@ def placed(records: DataFrame) -> DataFrame:
 
 
 def tree(records: DataFrame) -> list[DataFrame]:
-    """The tree's levels, slots first, each (file_no, no, digest); the last is the files' roots, with no = 0."""
+    """The tree's levels, slots first, each (file_no, no, length, digest); the last is the files' roots, with no = 0."""
     counted = records.groupBy("file_no", F.col("slot").alias("no"), "identity", "record_sha256", "record_length").agg(F.count(F.lit(1)).alias("rows"))
     leaf = F.concat_ws(" ", "identity", "record_sha256", "record_length", "rows")
-    levels = [counted.groupBy("file_no", "no").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(leaf)), "\n"), 256).alias("digest"))]
+    named = lambda level, text: F.sha2(F.concat(F.concat_ws(" ", F.lit(level), "file_no", "no"), F.lit("\n"), text), 256)
+    slots = counted.groupBy("file_no", "no").agg(F.sum(F.col("record_length") * F.col("rows")).alias("length"), F.array_join(F.sort_array(F.collect_list(leaf)), "\n").alias("text"))
+    levels = [slots.select("file_no", "no", "length", named(0, F.col("text")).alias("digest"))]
     for k in range(LEVELS + 1):
-        no = F.floor(F.col("no") / FAN) if k < LEVELS else F.lit(0)
-        children = levels[-1].groupBy("file_no", no.cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("no", "digest"))).alias("children"))
-        # numbers go in, so that a record that moves to an empty place differs
-        text = F.array_join(F.transform("children", lambda c: F.concat_ws(" ", c["no"], c["digest"])), "\n")
-        levels.append(children.select("file_no", F.col("up").alias("no"), F.sha2(text, 256).alias("digest")))
+        up = F.floor(F.col("no") / FAN) if k < LEVELS else F.lit(0)
+        children = levels[-1].groupBy("file_no", up.cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("no", "length", "digest"))).alias("children"))
+        begun = F.aggregate("children", F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), lambda t, c: F.struct(F.concat(t["text"], F.concat_ws(" ", c["no"], t["at"], c["length"], c["digest"]), F.lit("\n")).alias("text"), (t["at"] + c["length"]).alias("at")))
+        folded = children.select("file_no", F.col("up").alias("no"), begun.alias("all"))
+        levels.append(folded.select("file_no", "no", F.col("all.at").alias("length"), named(k + 1, F.col("all.text")).alias("digest")))
     return levels
 
 
@@ -104,7 +108,7 @@ def differing(a: list[DataFrame], b: list[DataFrame]) -> list[DataFrame]:
             up = F.floor(F.col("no") / FAN) if depth > 1 else F.lit(0)
             parents = found[-1].select("file_no", F.col("no").alias("up"))
             x, y = (t.withColumn("up", up.cast("long")).join(parents, ["file_no", "up"], "left_semi").drop("up") for t in (x, y))
-        both = x.withColumnRenamed("digest", "x").join(y.withColumnRenamed("digest", "y"), ["file_no", "no"], "full_outer")
+        both = x.select("file_no", "no", F.col("digest").alias("x")).join(y.select("file_no", "no", F.col("digest").alias("y")), ["file_no", "no"], "full_outer")
         found.append(stored(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("file_no", "no")))
     return found
 
@@ -124,11 +128,12 @@ def unmatched(a: DataFrame, b: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """The primary's records with their range, digest, how deep the comparison went for them (0: the roots agree), whether
-    the replica has them intact, and the state (intact, damaged, missing); then the records that only the replica has, with
-    their ranges there, as not intact and added."""
+    """The primary's records with their range, digest, their file's root, how deep the comparison went for them (0: the roots
+    agree), whether the replica has them intact, and the state (intact, damaged, missing); then the records that only the
+    replica has, with their ranges there, as not intact and added. The root is the primary's, null for a file it hasn't."""
     a, b = stored(placed(manifest(primary))), stored(placed(manifest(replica)))
-    found = differing(tree(a), tree(b))
+    mine = tree(a)
+    found = differing(mine, tree(b))
     bad = stored(unmatched(a, b, found[-1]))
     out = a
     flags = []
@@ -142,39 +147,58 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     record = ["page_id", "file_no", "record_no", "record_offset", "record_length", "record_sha256"]
     kept = out.join(wrong, ["file_no", "record_no"], "left").select(*record, depth.cast("int").alias("depth"), F.col("wrong").isNull().alias("intact"), F.coalesce("wrong", F.lit("intact")).alias("state"))
     added = bad.where("x is null").select(*(f"y.{c}" for c in record), F.lit(len(flags)).alias("depth"), F.lit(False).alias("intact"), F.lit("added").alias("state"))
-    return kept.unionByName(added)
+    return kept.unionByName(added).join(mine[-1].select("file_no", F.col("digest").alias("root_sha256")), "file_no", "left")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with decayed records, for the query: a changed first sign in every 997th page, a lost half in every 1999th."""
+    """A replica with decayed records, for the query: a changed first sign in every 997th page, a lost half in every 1999th,
+    every 1499th missing, and a second record of every 1777th id."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rot = F.concat(F.lit("#"), F.substring(body, 2, 2**31 - 1))
     cut = F.expr("left(coalesce(html, ''), cast(char_length(coalesce(html, '')) div 2 as int))")
-    return pages.select("page_id", "url", F.when(F.col("page_id") % 997 == 13, rot).when(F.col("page_id") % 1999 == 5, cut).otherwise(body).alias("html"))
+    kept = pages.where(F.coalesce(F.col("page_id") % 1499 != 7, F.lit(True))).select("page_id", "url", F.when(F.col("page_id") % 997 == 13, rot).when(F.col("page_id") % 1999 == 5, cut).otherwise(body).alias("html"))
+    return kept.unionByName(pages.where(F.col("page_id") % 1777 == 11).select("page_id", F.concat(F.coalesce("url", F.lit("")), F.lit("#2")).alias("url"), F.lit("second").alias("html")))
 
 
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    return audit(pages, damaged(pages)).drop("state")
+    return audit(pages, damaged(pages))
 
 
 def _oracle() -> str:
+    """The same by DuckDB: manifests of both replicas, records matched one by one, the primary's tree."""
     head = HEAD.replace("\r\n", "' || chr(13) || chr(10) || '")
     text = "'" + head.replace("{id}", "' || coalesce(CAST(page_id AS VARCHAR), '') || '").replace("{url}", "' || coalesce(url, '') || '").replace("{length}", "' || CAST(strlen(body) AS VARCHAR) || '") + "' || body || chr(13) || chr(10) || chr(13) || chr(10)"
 
-    def side(name: str, body: str) -> str:
-        return f"""{name}0 AS (SELECT page_id, url, {body} AS body FROM pages),
-{name}1 AS (SELECT page_id, url, CAST(floor(page_id / {FILE_RECORDS}.0) AS BIGINT) AS file_no, {text} AS rec FROM {name}0),
+    def side(name: str, rows: str) -> str:
+        return f"""{name}0 AS ({rows}),
+{name}1 AS (SELECT page_id, coalesce(url, '') AS url, CAST(floor(page_id / {FILE_RECORDS}.0) AS BIGINT) AS file_no, {text} AS rec FROM {name}0),
 {name}2 AS (SELECT page_id, url, file_no, CAST(strlen(rec) AS BIGINT) AS record_length, sha256(rec) AS record_sha256 FROM {name}1),
-{name} AS (SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(record_length) OVER (w ROWS UNBOUNDED PRECEDING) - record_length AS BIGINT) AS record_offset FROM {name}2 WINDOW w AS (PARTITION BY file_no ORDER BY page_id, url, record_sha256))"""
+{name}3 AS (SELECT *, row_number() OVER w - 1 AS record_no, CAST(sum(record_length) OVER (w ROWS UNBOUNDED PRECEDING) - record_length AS BIGINT) AS record_offset FROM {name}2 WINDOW w AS (PARTITION BY file_no ORDER BY page_id, url, record_sha256)),
+{name} AS (SELECT *, page_id % {FILE_RECORDS} AS slot, row_number() OVER (PARTITION BY page_id, record_sha256 ORDER BY record_no) AS nth FROM {name}3)"""
 
     rotten = "CASE WHEN page_id % 997 = 13 THEN '#' || substr(coalesce(html, ''), 2) WHEN page_id % 1999 = 5 THEN left(coalesce(html, ''), length(coalesce(html, '')) // 2) ELSE coalesce(html, '') END"
+    other = f"SELECT page_id, url, {rotten} AS body FROM pages WHERE page_id % 1499 <> 7 UNION ALL SELECT page_id, coalesce(url, '') || '#2', 'second' FROM pages WHERE page_id % 1777 = 11"
+    levels, last = [], "t0"
+    for k in range(1, LEVELS + 2):
+        up = f"no // {FAN}" if k <= LEVELS else "0"
+        levels.append(f"""s{k} AS (SELECT file_no, {up} AS up, no, length, digest, CAST(sum(length) OVER (PARTITION BY file_no, {up} ORDER BY no) - length AS BIGINT) AS begun FROM {last}),
+t{k} AS (SELECT file_no, up AS no, CAST(sum(length) AS BIGINT) AS length, sha256('{k} ' || file_no || ' ' || up || chr(10) || string_agg(no || ' ' || begun || ' ' || length || ' ' || digest || chr(10), '' ORDER BY no)) AS digest FROM s{k} GROUP BY file_no, up)""")
+        last = f"t{k}"
+    record = "page_id, file_no, record_no, record_offset, record_length, record_sha256"
     return f"""
-WITH {side('a', "coalesce(html, '')")},
-{side('b', rotten)},
-d AS (SELECT a.*, a.record_sha256 IS NOT DISTINCT FROM b.record_sha256 AS intact FROM a LEFT JOIN b USING (file_no, record_no)),
-e AS (SELECT *, max(CASE WHEN intact THEN 0 ELSE 1 END) OVER (PARTITION BY file_no) AS d0, max(CASE WHEN intact THEN 0 ELSE 1 END) OVER (PARTITION BY file_no, record_no // {FAN * FAN}) AS d1, max(CASE WHEN intact THEN 0 ELSE 1 END) OVER (PARTITION BY file_no, record_no // {FAN}) AS d2 FROM d)
-SELECT page_id, file_no, record_no, record_offset, record_length, record_sha256, CAST(d0 + d1 + d2 AS INTEGER) AS depth, intact FROM e"""
+WITH {side("a", "SELECT page_id, url, coalesce(html, '') AS body FROM pages")},
+{side("b", other)},
+ua AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY record_no) AS k FROM a ANTI JOIN b USING (file_no, page_id, record_sha256, nth)),
+ub AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY record_no) AS k FROM b ANTI JOIN a USING (file_no, page_id, record_sha256, nth)),
+bad AS (SELECT DISTINCT file_no, slot FROM (SELECT file_no, slot FROM ua UNION ALL SELECT file_no, slot FROM ub)),
+mine AS (SELECT ua.file_no, ua.record_no, CASE WHEN ub.k IS NULL THEN 'missing' ELSE 'damaged' END AS state FROM ua LEFT JOIN ub USING (file_no, page_id, k)),
+out0 AS (SELECT {record}, CAST((CASE WHEN a.file_no IN (SELECT file_no FROM bad) THEN 1 ELSE 0 END) + (CASE WHEN (a.file_no, slot // {FAN * FAN}) IN (SELECT (file_no, slot // {FAN * FAN}) FROM bad) THEN 1 ELSE 0 END) + (CASE WHEN (a.file_no, slot // {FAN}) IN (SELECT (file_no, slot // {FAN}) FROM bad) THEN 1 ELSE 0 END) AS INTEGER) AS depth, coalesce(state, 'intact') = 'intact' AS intact, coalesce(state, 'intact') AS state FROM a LEFT JOIN mine USING (file_no, record_no)
+UNION ALL SELECT {record}, {LEVELS + 1}, false, 'added' FROM ub ANTI JOIN ua USING (file_no, page_id, k)),
+g AS (SELECT file_no, slot AS no, page_id, record_sha256, record_length, count(*) AS n FROM a GROUP BY ALL),
+t0 AS (SELECT file_no, no, CAST(sum(record_length * n) AS BIGINT) AS length, sha256('0 ' || file_no || ' ' || no || chr(10) || string_agg(page_id || ' ' || record_sha256 || ' ' || record_length || ' ' || n, chr(10) ORDER BY page_id || ' ' || record_sha256 || ' ' || record_length || ' ' || n)) AS digest FROM g GROUP BY file_no, no),
+{", ".join(levels)}
+SELECT out0.*, {last}.digest AS root_sha256 FROM out0 LEFT JOIN {last} USING (file_no)"""
 
 
 ORACLE_SQL = {"op10_merkle_audit": _oracle()}
