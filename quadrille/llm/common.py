@@ -24,10 +24,12 @@ def documents_of(df: DataFrame, *more: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; only where it names none (tests) a local one is set."""
+    """The cluster names the shared folder in spark.checkpoint.dir; only in one process (tests) a local one is set instead."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
 
 

@@ -5,7 +5,8 @@ association table, a program map table, and packetised elementary-stream packets
 point with a clock reference and a presentation timestamp. ``demux`` reads any transport stream: program tables with
 their checksums, continuity counters, elementary packets put together again, timestamps and random-access points.
 
-Defined results: a null or empty text is 64 zero bytes; equal texts give equal streams; null ids pass through.
+Defined results: a null or empty text is 64 zero bytes; equal texts give equal streams; null ids pass through; repeated rows
+are stored each for itself; very long texts are stored whole; an empty table gives no rows; further columns don't matter.
 """
 
 from __future__ import annotations

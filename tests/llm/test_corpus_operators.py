@@ -68,6 +68,31 @@ def test_media_digest(docs, no_docs):
     assert media_ts.media_digest(no_docs).count() == 0
 
 
+def test_media_is_the_stored_form(docs):
+    """The digest against the stored bytes, read packet by packet."""
+    digest = {r["doc_id"]: r for r in media_ts.media_digest(docs).collect()}
+    for r in media_ts.encode_media(docs).collect():
+        m, d = bytes(r["media"]), digest[r["doc_id"]]
+        assert (d["media_bytes"], d["media_sha256"]) == (len(m), hashlib.sha256(m).hexdigest()) and len(m) % 188 == 0
+        data, starts, counter = b"", 0, {}
+        for k in range(0, len(m), 188):
+            packet = m[k : k + 188]
+            pid, field, n = (packet[1] & 31) << 8 | packet[2], packet[3] >> 4 & 3, packet[3] & 15
+            assert packet[0] == 0x47
+            if field & 1:
+                assert n == (counter.get(pid, n - 1) + 1) % 16
+                counter[pid] = n
+            if pid == media_ts.DATA_PID and field & 1:
+                body = packet[4 + (1 + packet[4] if field & 2 else 0) :]
+                if packet[1] & 64:
+                    assert body[:3] == b"\0\0\1"
+                    starts, body = starts + 1, body[9 + body[8] :]
+                data += body
+        found = dict(x.split("=", 1) for x in d["feature"].replace(" ", ";").split(";"))
+        assert hashlib.sha256(data).hexdigest() == d["payload_sha256"]
+        assert (int(found["packets"]), int(found["units"]), found["continuity"], found["damaged"]) == (len(m) // 188, starts, "0", "0")
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -104,6 +129,44 @@ def test_term_tied_to_a_label():
     assert abs(m.score("women are here") - m.score("men are here")) < 0.05
 
 
+def test_fit_reaches_the_optimum():
+    """Against plain subgradient steps on the same goal, over features taken by hand."""
+    rng = np.random.default_rng(11)
+    toxic = [" ".join(rng.choice(["scum", "idiot", "women", "town", "fool"], 4)) for _ in range(40)]
+    clean = [" ".join(rng.choice(["music", "river", "men", "town", "fool"], 4)) for _ in range(80)]
+    texts, y = toxic + clean, np.array([1] * 40 + [0] * 80)
+    m = toxicity.fit(texts, y.tolist(), steps=5_000)
+
+    def features(t):
+        w = t.split()
+        out = {f"={x}" for x in w}
+        for n in (4, 5, 6, 7):
+            c = Counter(x[:n] for x in w if len(x) >= n)
+            out |= {f"{n}:{s}" for s in c} | {f"{n}+{s}" for s, k in c.items() if k > 1}
+        return out
+
+    sets, groups = [features(t) for t in texts], {"women": "men", "men": "women"}
+    c1, c0 = (Counter(f for s, k in zip(sets, y, strict=True) if k == j for f in s) for j in (1, 0))
+    names = [f for f in sorted(c1 | c0) if f in ("=women", "=men") or (c1[f] + c0[f] >= 3 and c1[f] * 120 > (c1[f] + c0[f]) * 40)]
+    matrix = lambda rows: np.array([[f in s for f in names] + [True] for s in rows], float)
+    x = matrix(sets)
+    named = [k for k, t in enumerate(texts) if groups.keys() & set(t.split())]
+    change = x[named] - matrix([features(" ".join(groups.get(w, w) for w in texts[k].split())) for k in named])
+    weight = np.where(y == 1, 0.25 / 40, 0.75 / 80)
+
+    def goal(w):
+        z = x @ w
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 2.0 * ((change @ w) ** 2).mean() + 4e-4 * np.abs(w[:-1]).sum()
+
+    w = np.zeros(len(names) + 1)
+    for _ in range(60_000):
+        g = x.T @ (weight * (1 / (1 + np.exp(-x @ w)) - y)) + 4 * change.T @ (change @ w) / len(named)
+        w -= 0.02 * g
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 0.02 * 4e-4, 0)
+    own = np.array([m.weights.get(f.encode(), 0.0) for f in names] + [m.bias])
+    assert set(m.weights) <= {f.encode() for f in names} and goal(own) <= goal(w) + 1e-4
+
+
 def test_toxicity_trains_on_executors(spark):
     """``train`` counts, rates and places features on executors; ``fit`` does the same to a list of texts."""
     rng = np.random.default_rng(5)
@@ -801,6 +864,24 @@ def test_pipeline(spark, sf, tmp_path, docs, no_docs):
             after = spark.read.parquet(place)
             if k < 3:
                 assert after.columns == start.columns
+            if k == 0:
+                model = toxicity.train(now, spark.read.parquet(f"{sf}/labels.parquet"))
+                kept = [(i, t) for i, t in texts_of(now) if model.score(t) < toxicity.THRESHOLD]
+                assert sorted(map(str, texts_of(after))) == sorted(map(str, kept))
+            if k == 2 and max((len(t or "") for _, t in texts_of(now)), default=0) < 150_000:
+                rows_ = texts_of(now)
+                raw = [(t or "").encode() for _, t in rows_]
+                times = Counter(b[j : j + 200] for b in raw for j in range(len(b) - 199))
+                want = []
+                for (i, t), b in zip(rows_, raw, strict=True):
+                    gone = np.zeros(len(b), bool)
+                    for j in range(len(b) - 199):
+                        if times[b[j : j + 200]] > 1:
+                            gone[j : j + 200] = True
+                    left = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
+                    if not gone.any() or left.strip():
+                        want.append((i, left if t is not None else None))
+                assert sorted(map(str, texts_of(after))) == sorted(map(str, want))
             if k == 1:
                 brute = brute_components(texts_of(now))
                 gone = {i for i, _, c in brute if i is not None and i != c}
