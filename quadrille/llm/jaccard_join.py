@@ -307,7 +307,7 @@ def _clusters(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _open(tokens: DataFrame, of: DataFrame) -> DataFrame:
     """Prefix shingles that nodes of different clusters share, by node."""
     held = tokens.join(of.select("node", "cluster"), "node")
-    mixed = held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
+    mixed = snug(stored(held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")), ROWS)
     return snug(stored(held.join(mixed, "token").select("token", "node", "n", "place")), ROWS)
 
 
@@ -351,7 +351,7 @@ def _lone_pairs(lone: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _visit_all(tokens: DataFrame, of: DataFrame, sizes: DataFrame, sets: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Links between all clusters that share a prefix shingle and may link by their sizes; the smaller cluster visits."""
     held = tokens.join(of, "node").join(sizes, "cluster")
-    mixed = held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
+    mixed = snug(stored(held.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")), ROWS)
     held = snug(stored(held.join(mixed, "token")), ROWS)
     lone = _lone_pairs(held.where("size = 1").select("token", "node", "n", "place"), sets, percent)
     # a larger cluster meets all others at its shingles: a row per shingle and pair of clusters
