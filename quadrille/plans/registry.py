@@ -728,3 +728,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pca_by_flag"] = flagship
+
+from . import checks  # noqa: E402, F401  registers its queries
