@@ -77,7 +77,8 @@ def _planes(x: np.ndarray) -> np.ndarray:
     import zstandard
 
     coder = zstandard.ZstdCompressor(level=1)
-    parts = [coder.compress(plane.tobytes()) for plane in x.view(np.uint8).reshape(len(x), -1).T]
+    # a plane of zeros takes no room
+    parts = [coder.compress(plane.tobytes()) if plane.any() else b"" for plane in x.view(np.uint8).reshape(len(x), -1).T]
     return np.frombuffer(b"".join([np.array([len(x), *map(len, parts)], np.int64).tobytes(), *parts]), np.uint8)
 
 
@@ -86,9 +87,9 @@ def _unplaned(planes: np.ndarray, kind: type) -> np.ndarray:
 
     width, data = np.dtype(kind).itemsize, planes.tobytes()
     n, *sizes = np.frombuffer(data, np.int64, 1 + width).tolist()
-    out, at, coder = np.empty((n, width), np.uint8), 8 * (1 + width), zstandard.ZstdDecompressor()
+    out, at, coder = np.zeros((n, width), np.uint8), 8 * (1 + width), zstandard.ZstdDecompressor()
     for k, size in enumerate(sizes):
-        if n:
+        if size:
             out[:, k] = np.frombuffer(coder.decompress(data[at : at + size]), np.uint8)
         at += size
     return out.view(kind).ravel()
@@ -182,12 +183,12 @@ def blocks_of(docs: DataFrame, *more: str, size: int = BLOCK_BYTES) -> DataFrame
 
 
 #: Blocks that exchange with all buckets directly, and key ranges (and members of a group) of a merging step beyond.
-FAN, RADIX = 1_024, 64
+FAN, RADIX = 768, 64
 
 
 def bucket_number(n_blocks: int) -> int:
-    """Buckets for ``n_blocks`` blocks: a bucket gets about as many keys as three blocks have, at any size of the input."""
-    return max(16, -(-n_blocks // 3))
+    """Buckets for ``n_blocks`` blocks: a bucket gets about as many keys as two blocks have, at any size of the input."""
+    return max(16, -(-n_blocks // 2))
 
 
 def bucket_bounds(keys: np.ndarray, n: int, bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
@@ -205,18 +206,24 @@ def _rows(found: np.ndarray, local: np.ndarray, bounds: np.ndarray) -> tuple[np.
 
 def _merged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys, their total counts, and where each row's keys are among them."""
-    parts = [unpacked(x) for x in rows]
-    sent = [expand_sorted(p[0]) for p in parts]
-    keys, place = np.unique(np.concatenate(sent), return_inverse=True)
-    totals = np.zeros(len(keys), np.int64)
-    np.add.at(totals, place, np.concatenate([_unplaned(p[1], U64) for p in parts]).astype(np.int64))
-    return keys, totals, np.split(place, np.cumsum([len(s) for s in sent])[:-1])
+    sent = [expand_sorted(unpacked(x)[0]) for x in rows]
+    ends = np.cumsum([len(s) for s in sent])[:-1]
+    keys = np.concatenate(sent)
+    del sent
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    keys, begin = keys[new], np.flatnonzero(new)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    counts = np.concatenate([_unplaned(unpacked(x)[1], U64) for x in rows]).view(np.int64)
+    return keys, np.add.reduceat(counts[order], begin), np.split(place, ends)
 
 
 def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> DataFrame:
     """(u, part, bucket, reply, t0, t1) for units (u, part, data), of which each of ``parts`` key ranges has ``n_units``."""
     direct, radix = n_units <= FAN, RADIX
-    n = (bucket_number(n_units) if parts == 1 else -(-n_units // 3)) if direct else radix
+    n = (bucket_number(n_units) if parts == 1 else -(-n_units // 2)) if direct else radix
     groups = -(-n_units // radix)
 
     def send(batches):
