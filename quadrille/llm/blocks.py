@@ -220,6 +220,11 @@ def _merged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return keys, np.add.reduceat(counts[order], begin), np.split(place, ends)
 
 
+def exchange_keys(units: DataFrame, n_blocks: int, bits: int = 64, tally=None) -> DataFrame:
+    """The same for keys that stand packed already: units (u, part, data), u being the block and part 0."""
+    return _exchange(units, n_blocks, 1, bits, tally).select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")
+
+
 def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> DataFrame:
     """(u, part, bucket, reply, t0, t1) for units (u, part, data), of which each of ``parts`` key ranges has ``n_units``."""
     direct, radix = n_units <= FAN, RADIX
@@ -274,6 +279,11 @@ def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> D
     return merged.select("u", "part", "members").join(replies, ["u", "part"]).select("part", "members", "replies", "t0", "t1").mapInArrow(down, out)
 
 
+def packed_keys(found: np.ndarray, local: np.ndarray) -> bytes:
+    """A unit's data: sorted distinct keys and their counts."""
+    return packed(found, local.astype(U64))
+
+
 def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarray]], n_blocks: int, bits: int = 64, tally: Callable[[np.ndarray, np.ndarray], tuple[int, int]] | None = None) -> DataFrame:
     """(g, bucket, reply, t0, t1): for each block and bucket the totals of the block's keys.
 
@@ -289,10 +299,9 @@ def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarr
             for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found, local = keys(Block(data), *more)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int64()), pa.array([packed(found, local.astype(U64))], pa.binary())], ["u", "part", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int64()), pa.array([packed_keys(found, local)], pa.binary())], ["u", "part", "data"])
 
-    told = _exchange(blocks.mapInArrow(units, "u long, part long, data binary"), n_blocks, 1, bits, tally)
-    return told.select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")
+    return exchange_keys(blocks.mapInArrow(units, "u long, part long, data binary"), n_blocks, bits, tally)
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:
@@ -326,9 +335,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), one to one."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    out = np.asarray(x >> U64(30))
+    out ^= x
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(27)
+    out *= U64(0x94D049BB133111EB)
+    out ^= out >> U64(31)
+    return out
 
 
 _LETTER = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))

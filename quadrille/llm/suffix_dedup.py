@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import _BASE, _INVERSE, _LETTER, U64, Block, blocks_of, bucket_number, count_keys, counted, distinct, expand, joined_reply, mix, powers, squeeze, with_replies
+from .blocks import _BASE, _INVERSE, _LETTER, U64, Block, blocks_of, bucket_number, count_keys, counted, distinct, exchange_keys, expand, joined_reply, mix, packed_keys, powers, squeeze, with_replies
 from .common import read_table, stored
 
 SIZE = 200
@@ -50,7 +50,9 @@ class Units:
         np.cumsum(_LETTER[data] * powers(_BASE, n), out=self.total[1:])
         self.back = powers(_INVERSE, n + 1)
         total, back = self.total, self.back
-        grams = mix((total[gram:] - total[:-gram]) * back[: n - gram + 1])
+        grams = total[gram:] - total[:-gram]
+        grams *= back[: n - gram + 1]
+        grams = mix(grams)
         at = leftmost_least(grams, size - gram + 1)
         # starts whose string ends inside its document
         valid = np.zeros(n + 1, np.int32)
@@ -89,19 +91,22 @@ def leftmost_least(grams: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
     low, step, out = U64((1 << bits) - 1), (1 << bits) - width + 1, []
     for begin in range(0, len(grams) - width + 1, step):
         part = grams[begin : begin + step + width - 1]
-        out.append((_sliding_min((part & ~low) | np.arange(len(part), dtype=U64), width) & low).astype(np.int64) + begin)
+        ranked = part & ~low
+        ranked |= np.arange(len(part), dtype=U64)
+        least = _sliding_min(ranked, width)
+        least &= low
+        out.append(least.astype(np.int64) + begin)
     return np.concatenate(out)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each window, from running minima inside fixed stretches."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, ~U64(0))
-    padded[:n] = x
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    """Minimum of each window, from windows of half the width."""
+    out, have = x, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
 
 
 # ---------------------------------------------------------------- the suffix array
@@ -238,18 +243,9 @@ def _unit_keys(size: int):
     return lambda block: counted(Units(block, size).keys())
 
 
-def _hot_keys(size: int, hot_units: int):
-    def keys(block: Block, replies):
-        if joined_reply(replies).max(initial=0) <= hot_units:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        units = Units(block, size)
-        return counted(units.strings(np.flatnonzero(_wanted(units, replies, hot_units)[2]), size)[1])
-
-    return keys
-
-
-def _send(n: int, size: int, hot_units: int):
-    """(bucket, g, data): a block's open units, each text once per bucket, by anchor."""
+def _open_units(n: int, size: int, hot_units: int):
+    """(bucket, g, data): a block's open units, each text once per bucket, by anchor; and, with no bucket, the strings of its
+    hot units with their counts."""
 
     def run(batches):
         import pyarrow as pa
@@ -258,17 +254,22 @@ def _send(n: int, size: int, hot_units: int):
             for g, data, replies in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = Block(data)
                 units = Units(block, size)
-                open_ = np.flatnonzero(_wanted(units, replies, hot_units)[1])
+                _, open_, hot = _wanted(units, replies, hot_units)
+                open_ = np.flatnonzero(open_)
                 _, one = np.unique(units.text[open_] ^ mix(units.anchor[open_]), return_index=True)
                 open_ = open_[one]
                 bucket = (units.anchor[open_] % U64(n)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 open_, bucket = open_[order], bucket[order]
                 names, begin = np.unique(bucket, return_index=True)
-                rows = []
-                for mine in np.split(open_, begin[1:]) if len(names) else []:
+                names, rows = names.tolist(), []
+                for mine in np.split(open_, begin[1:]) if names else []:
                     spans = [block.bytes[i : i + k + size - 1] for i, k in zip(units.first[mine].tolist(), units.number[mine].tolist(), strict=True)]
                     rows.append(squeeze(units.anchor[mine], units.text[mine], np.array([len(x) for x in spans], np.int64), np.concatenate(spans)))
+                found, local = counted(units.strings(np.flatnonzero(hot), size)[1])
+                if len(found):
+                    names.append(None)
+                    rows.append(packed_keys(found, local))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), g), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "g", "data"])
 
     return run
@@ -400,8 +401,10 @@ def _settled(blocks: DataFrame, size: int, hot_units: int) -> DataFrame:
         raise ValueError(f"size must be a multiple of 8 over {GRAM}")
     n = blocks.count()
     asked = stored(with_replies(blocks, count_keys(blocks, _unit_keys(size), n)))
-    hot = count_keys(asked.select("g", "data", "replies"), _hot_keys(size, hot_units), n).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("hot"))
-    found = asked.select("g", "data", "replies").mapInArrow(_send(bucket_number(n), size, hot_units), "bucket long, g long, data binary").groupBy("bucket").applyInArrow(_array(size), "g long, flags binary")
+    opened = stored(asked.select("g", "data", "replies").mapInArrow(_open_units(bucket_number(n), size, hot_units), "bucket long, g long, data binary"))
+    strings = opened.where("bucket is null").select(F.col("g").alias("u"), F.lit(0).cast("long").alias("part"), "data")
+    hot = exchange_keys(strings, n).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("hot"))
+    found = opened.where("bucket is not null").groupBy("bucket").applyInArrow(_array(size), "g long, flags binary")
     flags = found.groupBy("g").agg(F.collect_list("flags").alias("flags"))
     return asked.join(hot, "g", "left").join(flags, "g", "left").select("data", "replies", "hot", "flags")
 
