@@ -53,7 +53,7 @@ def _stamp(c: Column, pattern: str, y: int, m: int, d: int | None) -> Column:
 #: Date patterns; the first is a prefix match.
 ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?"
 DMY = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-YMD = r"^(\d{4})/(\d{1,2})/(\d{1,2})()()()$"
+YMD = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})()()()$"
 YM = r"^(\d{4})-(\d{1,2})()()()()$"
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, factor, groups, insights, prep, target, typing
-from ..sources import readers, writers
+from ..operators import cluster, factor, groups, insights, prep, shape, target, typing
+from ..sources import examples, readers, writers
 from .spec import AnalysisSpec, History
 
 
@@ -39,6 +40,23 @@ class Engine:
     def load_rows(self, rows: list[dict]) -> Engine:
         return self.load_frame(readers.from_objects(self.spark, rows))
 
+    def load_example(self, name: str, **size) -> Engine:
+        return self.load_frame(examples.EXAMPLES[name](self.spark, **size))
+
+    def start(self, arguments: str) -> Engine:
+        """From arguments as in a link's query: ``data`` (a path or URL) or ``ex`` (an example), then ``method`` and ``spec``
+        (stored settings)."""
+        given = dict(urllib.parse.parse_qsl(arguments.lstrip("?")))
+        if given.get("ex") in examples.EXAMPLES:
+            self.load_example(given["ex"])
+        elif "data" in given:
+            self.load(given["data"])
+        else:
+            raise ValueError("neither data nor a known example is given")
+        if "spec" in given:
+            self.history.put(AnalysisSpec.from_link(given["spec"]).pruned(self.table.columns))
+        return self.set_method(given["method"]) if "method" in given else self
+
     def load_frame(self, df: DataFrame, types: dict[str, str] | None = None) -> Engine:
         self.table = df
         self.types = typing.detect(df)
@@ -122,8 +140,13 @@ class Engine:
         return target.supervised(self.table, column, [c for c in self.types.of("quanti") + self.types.of("quali") if c != column], positive, depth)
 
     def insights(self) -> list[dict]:
-        a = self.analysis or self.run()
-        return insights.build(a, self.working_table(), key=self.spec.ident, colour=self.spec.color, texts=self.types.of("quali"))
+        """With shapes of the numeric pairs and classes of the rows, where the analysis has an identifier to draw them by."""
+        a, df, key = self.analysis or self.run(), self.working_table(), self.spec.ident
+        if isinstance(a, dict):
+            raise ValueError("insights need an analysis of rows")
+        shapes = shape.scan_pairs(df, a.numeric, key) if key and len(a.numeric) > 1 else []
+        classes = self.classes()[0] if key else None
+        return insights.build(a, df, classes, shapes, key=key, colour=self.spec.color, texts=self.types.of("quali"))
 
     def quality(self) -> dict:
         return typing.quality_report(self.table, self.types)

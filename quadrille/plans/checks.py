@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import laws, linalg, scalars
-from ..operators import cluster, density, embed, factor, filters, groups, insights, prep, shape, stats, target, typing
+from ..functions import laws, linalg, scalars, text
+from ..operators import cluster, density, embed, factor, filters, groups, insights, prep, shape, stats, target, typing, views
 from ..sources import readers, writers
 from .api import Engine
 from .registry import _CENTRES, _D, _NEAREST, _Z2, LINES, MEASURES, along, key_of, lines, query, rounded, scalar_frame, table
@@ -493,3 +493,53 @@ def insights_capped(spark, d):
     total = sum(r["count"] for r in rows)
     found = [{"kind": "skew", "names": (r["c_mktsegment"],), "score": r["count"] / total} for r in sorted(rows, key=lambda r: (-r["count"], r["c_mktsegment"])) for _ in range(2)]
     return rounded(spark.createDataFrame([(x["names"][0], x["score"]) for x in insights.rank(found)], "names string, score double"))
+
+
+# ---------------------------------------------------------------- what displays read
+
+
+@query("SELECT o_orderpriority AS name, round(count(*) / sum(count(*)) OVER (), 9) + 0.0 AS weight FROM orders GROUP BY 1")
+def masses_of_levels(spark, d):
+    o = table(spark, d, "orders")
+    return rounded(views.main_cloud(factor.ca(o, "o_orderpriority", "o_orderstatus"), o).select("name", "weight"), 9)
+
+
+@query(f"WITH {_Z2} SELECT l_orderkey, l_linenumber, round(pow(a + g * b, 2) / 2 / greatest(a * a + b * b, 1e-12), 6) + 0.0 AS cos2, round(100 * pow(a + g * b, 2) / 2 / (n * (1 + abs(r))), 6) + 0.0 AS ctr, round((n - 1.0) / n * (a * a + b * b - 2 * r * a * b) / (1 - r * r), 5) + 0.0 AS t2 FROM z")
+def encodings_of_rows(spark, d):
+    t, a = pair_pca(spark, d)
+    return t.select("l_orderkey", "l_linenumber", *((F.round(views.encoding(a, k, n), 5 if k == "t2" else 6) + 0.0).alias(k) for k, n in (("cos2", 1), ("ctr", 1), ("t2", 2))))
+
+
+@query(f"WITH {LINES}, r AS (SELECT unnest(['qty', 'price', 'disc', 'tax']) AS name, unnest([min(qty), min(price), min(disc), min(tax)]) AS low, unnest([max(qty), max(price), max(disc), max(tax)]) AS high FROM li) SELECT name, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM r")
+def parallel_ranges(spark, d):
+    li = lines(spark, d)
+    _, axes = views.parallel_model(factor.pca(li, MEASURES, 2), li)
+    return rounded(spark.createDataFrame([(x["name"], float(x["low"]), float(x["high"])) for x in axes], "name string, low double, high double"))
+
+
+@query(f"WITH {_Z2} SELECT round(sqrt((1 - abs(max(r))) / 2), 6) + 0.0 AS error, round((1 + abs(max(r))) / 2, 6) + 0.0 AS held, round(max(n) * 0.05, 6) + 0.0 AS one, round(max(n) * 0.0975, 6) + 0.0 AS either, round((1 + abs(max(r))) / 2, 6) + 0.0 AS shown FROM z")
+def reading_errors(spark, d):
+    _, a = pair_pca(spark, d)
+    one, either = views.false_alarms(a.n)
+    return rounded(scalar_frame(spark, {"error": views.cell_error(a, 1), "held": views.cumulated_cos2(a, 1)[0], "one": one, "either": either, "shown": views.shown_inertia(a, np.array([[1.0, 0.0], [0.0, 0.0]]))}))
+
+
+@query("""WITH n AS (SELECT o_totalprice > 200000 AS a, o_orderpriority AS b, count(*) AS k FROM orders GROUP BY 1, 2), m AS (SELECT *, sum(k) OVER (PARTITION BY a) AS ra, sum(k) OVER (PARTITION BY b) AS cb, sum(k) OVER () AS t FROM n), d AS (SELECT *, pow(k / t - (ra / t) * (cb / t), 2) / ((ra / t) * (cb / t)) AS x FROM m), s AS (SELECT sum(x) AS phi, count(DISTINCT a) AS i, count(DISTINCT b) AS j FROM d)
+SELECT CAST(a AS VARCHAR) AS name, round(100 * sum(x) / max(phi), 4) + 0.0 AS ctr FROM d, s GROUP BY a UNION ALL SELECT b || ' (col.)', round(100 * sum(x) / max(phi) * max(i) / max(j), 4) + 0.0 FROM d, s GROUP BY b""")
+def contributions_together(spark, d):
+    """With two rows there is one axis, and an element's contribution is its share of the inertia."""
+    r = factor.ca(table(spark, d, "orders").withColumn("big", F.col("o_totalprice") > 200000), "big", "o_orderpriority")
+    return rounded(spark.createDataFrame([(x, c) for x, c, _ in views.contributions(r, 0)], "name string, ctr double"), 4)
+
+
+@query("WITH s AS (SELECT s_acctbal AS x FROM supplier ORDER BY s_suppkey LIMIT 1200) SELECT round(var_pop(x), 3) + 0.0 AS one FROM s")
+def inertia_within_one_class(spark, d):
+    x = table(spark, d, "supplier").orderBy("s_suppkey").limit(1_200).select("s_acctbal").toPandas().to_numpy(float)
+    gains = sorted((h for _, _, h, _ in cluster.ward(x)), reverse=True)
+    return scalar_frame(spark, {"one": round(views.within_inertia(gains)[0], 3) + 0.0})
+
+
+@query("WITH m AS (SELECT o_orderpriority AS p, avg(o_totalprice - 150000) AS x, count(*) AS n FROM orders GROUP BY 1) SELECT p, CASE WHEN x < 0 THEN '−' ELSE '' END || replace(printf('%.2f', abs(x)), '.', ',') AS shown, replace(printf('%.1f', n / 10.0), '.', ',') || ' %' AS share, n || CASE WHEN n <= 1 THEN ' commande' ELSE ' commandes' END AS counted FROM m")
+def numbers_as_text(spark, d):
+    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg(F.col("o_totalprice") - 150000).alias("x"), F.count(F.lit(1)).alias("n")).collect()
+    return spark.createDataFrame([(r[0], text.number(r["x"]), text.percent(r["n"] / 10), text.counted(r["n"], "commande")) for r in rows], "p string, shown string, share string, counted string")

@@ -175,9 +175,17 @@ def flat(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- readers
 
 
-def read_csv(spark: SparkSession, path: str, options: dict | None = None, multiline: bool = True) -> DataFrame:
-    """Text, TSV or CSV with a sniffed encoding and delimiter; short rows are filled up, blank ones skipped. Without line
-    breaks in cells, ``multiline=False`` lets Spark split large files."""
+def cells_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, as it has if a cell goes on in the next line: one parallel scan."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return spark.read.text(path).where(quotes % 2 == 1).limit(1).count() > 0
+
+
+def read_csv(spark: SparkSession, path: str, options: dict | None = None, multiline: bool | None = None) -> DataFrame:
+    """Text, TSV or CSV with a sniffed encoding and delimiter; short rows are filled up, blank ones skipped. Large files are
+    split among tasks unless a cell holds line breaks, which a scan finds out (or ``multiline`` tells)."""
+    if multiline is None:
+        multiline = cells_span_lines(spark, path)
     o = sniff(head_of(spark, path)) | (options or {})
     raw = spark.read.csv(path, sep=o["delimiter"], header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline, encoding=o["encoding"], mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     # Spark numbers repeated names by their place; the header is read again to name them by their count
@@ -202,8 +210,8 @@ def read_parquet(spark: SparkSession, path: str, bulk: bool = False) -> DataFram
 
 
 def from_objects(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Records with any keys; the columns are the union of the first 5,000 records' keys."""
-    names = list(dict.fromkeys(k for r in rows[:5_000] for k in r))
+    """Records with any keys; the columns are the union of all records' keys."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
 
     def cell(v):
         if v is None or isinstance(v, float) and not abs(v) < float("inf"):
@@ -234,7 +242,7 @@ def read_url(spark: SparkSession, url: str, name: str | None = None) -> DataFram
     if kind.endswith("json") or name.endswith(".json"):
         got = json.loads(data)
         return from_objects(spark, got if isinstance(got, list) else next(got[w] for w in WRAPPERS if w in got))
-    if name.endswith((".xlsx", ".xlsm")):
+    if name.endswith((".xlsx", ".xlsm", ".ods")):
         return from_matrix(spark, list(sheet_rows(data)))
     o = sniff(data[:HEAD_BYTES])
     import csv
@@ -247,8 +255,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     low = path.lower()
     if low.startswith(("http://", "https://")):
         return read_url(spark, path)
-    if low.endswith((".xlsx", ".xlsm")):
+    if low.endswith((".xlsx", ".xlsm", ".ods")):
         return read_excel(spark, path)
+    if low.endswith(".xls"):
+        raise ValueError("the binary workbooks of before 2007 (.xls) aren't read: save as .xlsx, .ods or .csv")
     if low.rstrip("/").endswith(".parquet"):
         return read_parquet(spark, path)
     if low.endswith(".json") or head_of(spark, path, 64).lstrip()[:1] in (b"[", b"{"):
@@ -270,10 +280,45 @@ def _date_text(serial: float) -> str:
     return d.strftime("%Y-%m-%d" if d.time() == datetime.min.time() else "%Y-%m-%d %H:%M:%S")
 
 
+#: Name spaces of OpenDocument tables.
+_TABLE, _OFFICE, _TEXT = (f"{{urn:oasis:names:tc:opendocument:xmlns:{x}:1.0}}" for x in ("table", "office", "text"))
+#: Repeated empty cells and rows up to which they are kept; sheets are filled up with far more.
+PADDING = 1_000
+
+
+def _open_rows(data: bytes):
+    """Rows of the first table of an OpenDocument sheet: values rather than what is shown, repeats spelled out."""
+    depth = 0
+    for event, x in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
+        if x.tag == f"{_TABLE}table":
+            depth += 1 if event == "start" else -1
+            if event == "end" and not depth:
+                return
+        if event == "start" or x.tag != f"{_TABLE}table-row":
+            continue
+        out: list[str | None] = []
+        for c in x:
+            if c.tag not in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
+                continue
+            kind = c.get(f"{_OFFICE}value-type")
+            shown = "\n".join("".join(p.itertext()) for p in c.iter(f"{_TEXT}p")) or None
+            value = {"float": c.get(f"{_OFFICE}value"), "currency": c.get(f"{_OFFICE}value"), "percentage": c.get(f"{_OFFICE}value"), "date": (c.get(f"{_OFFICE}date-value") or "").replace("T", " "), "boolean": c.get(f"{_OFFICE}boolean-value")}.get(kind) or shown
+            times = int(c.get(f"{_TABLE}number-columns-repeated", 1))
+            out += [value] * (times if value is not None else min(times, PADDING))
+        while out and out[-1] is None:
+            out.pop()
+        for _ in range(int(x.get(f"{_TABLE}number-rows-repeated", 1)) if out else 1):
+            yield list(out)
+        x.clear()
+
+
 def sheet_rows(data: bytes):
     """Rows of a workbook's first sheet as texts; dates as ISO, without shifts of zone."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
+        if "content.xml" in names:
+            yield from _open_rows(z.read("content.xml"))
+            return
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]

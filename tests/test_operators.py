@@ -345,3 +345,68 @@ def test_impute_on_executors(spark, monkeypatch):
     two = prep.impute_pca(df, names, "id").orderBy("id").toPandas()[names].to_numpy()
     assert not np.isnan(two).any()
     assert np.abs(one - two).max() < 0.01, np.abs(one - two).max()  # the driver stops at a relative change of squares
+
+
+def test_views(spark):
+    from quadrille.functions import text
+    from quadrille.operators import views
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4)) @ np.array([[1, 0.9, 0, 0], [0, 0.4, 0, 0], [0, 0, 1, -0.8], [0, 0, 0, 0.6]])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double")
+    a = factor.pca(df, ["a", "b", "c", "d"])
+    assert len(set(views.dominant_axes(a)[:2])) == 1 and views.threshold(a) == 25
+    words = views.axis_words(a, 0)
+    assert " ↔ " in words and views.axis_words(a, 9) == "—"
+    assert sum(c for _, c, _ in views.contributions(a, 0)) == pytest.approx(100)
+    assert views.axis_presence(np.eye(4)[:, :3]).tolist() == [1, 1, 1, 0] and views.cell_error(a, 4) == 0
+    assert views.encoding(a, "var:a") is not None and views.encoding(a, "mass") is None
+    rows, axes = views.parallel_model(a, df)
+    assert sorted(rows.columns) == ["a", "b", "c", "d"] and len(axes) == 4
+    assert views.within_inertia([3, 2, 1]) == [6, 3, 1]
+    cloud = views.main_cloud(a, df, 2)
+    assert cloud.agg({"weight": "sum"}).first()[0] == pytest.approx(1)
+    assert (text.number(-1234.567), text.number(-0.001), text.number(float("nan")), text.signed(0.5, 1), text.scientific(-0.00123)) == ("−1234,57", "0,00", "—", "+0,5", "−1,2·10⁻³")
+    assert (text.listed([]), text.listed(["a", "b", "c"]), text.listed(["a", "b", "c"], 2), text.counted(2, "ligne")) == ("aucune", "a, b et c", "a, b et 1 autre", "2 lignes")
+
+
+def test_examples_and_start(spark):
+    e = Engine(spark).start("?ex=shop&method=PCA")
+    assert e.summary()["rows"] == 600 and len(e.types.of("quanti")) == 10 and e.types.of("ident") == ["Client"]
+    full = e.table.dropna().count()
+    assert 541 <= full <= 599
+    kinds = {x["kind"] for x in e.insights()}
+    assert {"nonlin", "clusters", "skew"} <= kinds
+    s = Engine(spark).start("ex=survey")
+    assert s.spec.method == "MCA" and s.summary()["rows"] == 90
+    same = Engine(spark).load_example("shop", n=50).table
+    assert same.exceptAll(Engine(spark).load_example("shop", n=600).table.limit(600)).count() == 0
+    with pytest.raises(ValueError):
+        Engine(spark).start("tab=1")
+
+
+def test_more_readers(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "plain.csv").write_text("a;b\n1,5;x\n2,5;y\n")
+    (tmp_path / "broken.csv").write_text('a;b\n1;"x\ny"\n2;"z ""q"""\n')
+    assert not readers.cells_span_lines(spark, str(tmp_path / "plain.csv")) and readers.cells_span_lines(spark, str(tmp_path / "broken.csv"))
+    assert sorted(map(tuple, readers.read(spark, str(tmp_path / "plain.csv")).collect())) == [(1.5, "x"), (2.5, "y")]
+    assert sorted(map(tuple, readers.read(spark, str(tmp_path / "broken.csv")).collect())) == [(1.0, "x\ny"), (2.0, 'z "q"')]
+    (tmp_path / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
+    with pytest.raises(ValueError):
+        readers.read(spark, str(tmp_path / "old.xls"))
+    names = {"table": "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "office": "urn:oasis:names:tc:opendocument:xmlns:office:1.0", "text": "urn:oasis:names:tc:opendocument:xmlns:text:1.0"}
+    cell = lambda v: f'<table:table-cell office:value-type="float" office:value="{v}"><text:p>{v} EUR</text:p></table:table-cell>' if isinstance(v, (int, float)) else f"<table:table-cell><text:p>{v}</text:p></table:table-cell>"
+    row = lambda *v, more="": f"<table:table-row{more}>{''.join(map(cell, v))}<table:table-cell table:number-columns-repeated=\"1000\"/></table:table-row>"
+    body = row("n", "name") + row(1.5, "a") + row(2, "b", more=' table:number-rows-repeated="2"') + '<table:table-row table:number-rows-repeated="1000000"><table:table-cell/></table:table-row>'
+    xml = "<office:document " + " ".join(f'xmlns:{k}="{v}"' for k, v in names.items()) + f"><table:table>{body}</table:table></office:document>"
+    with zipfile.ZipFile(tmp_path / "t.ods", "w") as z:
+        z.writestr("content.xml", xml)
+    assert sorted(map(tuple, readers.read(spark, str(tmp_path / "t.ods")).collect())) == [(1.5, "a"), (2.0, "b"), (2.0, "b")]
+    many = [{"a": 1}] * 6_000 + [{"late": 2}]
+    assert readers.from_objects(spark, many).columns == ["a", "late"]
+    dots = spark.createDataFrame([("2024.03.15",), ("2024/03/15",)], "t string")
+    from quadrille.functions.scalars import parse_date
+
+    assert {str(r[0])[:10] for r in dots.select(parse_date(F.col("t"))).collect()} == {"2024-03-15"}
