@@ -400,7 +400,9 @@ def _settled(blocks: DataFrame, size: int, hot_units: int) -> DataFrame:
     if size % 8 or size <= GRAM:
         raise ValueError(f"size must be a multiple of 8 over {GRAM}")
     n = blocks.count()
-    asked = stored(with_replies(blocks, count_keys(blocks, _unit_keys(size), n)))
+    replies = stored(count_keys(blocks, _unit_keys(size), n).select("g", "bucket", "reply"))
+    # blocks meet their replies twice rather than to be stored with them
+    asked = with_replies(blocks, replies)
     opened = stored(asked.select("g", "data", "replies").mapInArrow(_open_units(bucket_number(n), size, hot_units), "bucket long, g long, data binary"))
     strings = opened.where("bucket is null").select(F.col("g").alias("u"), F.lit(0).cast("long").alias("part"), "data")
     hot = exchange_keys(strings, n).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("hot"))
