@@ -222,11 +222,17 @@ def _merged(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
 
 def exchange_keys(units: DataFrame, n_blocks: int, bits: int = 64, tally=None) -> DataFrame:
     """The same for keys that stand packed already: units (u, part, data), u being the block and part 0."""
-    return _exchange(units, n_blocks, 1, bits, tally).select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")
+    return _exchange(units, _packed_unit, n_blocks, 1, bits, tally).select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")
 
 
-def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> DataFrame:
-    """(u, part, bucket, reply, t0, t1) for units (u, part, data), of which each of ``parts`` key ranges has ``n_units``."""
+def _packed_unit(u: int, part: int, data: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+    found, local = unpacked(data)
+    return (u, part, expand_sorted(found), _unplaned(local, U64)) if found.dtype == np.uint8 else (u, part, found, local)
+
+
+def _exchange(units: DataFrame, read: Callable, n_units: int, parts: int, bits: int, tally) -> DataFrame:
+    """(u, part, bucket, reply, t0, t1) for units of which each of ``parts`` key ranges has ``n_units``; read(*row) gives a
+    unit's u, part, sorted keys and counts."""
     direct, radix = n_units <= FAN, RADIX
     n = (bucket_number(n_units) if parts == 1 else -(-n_units // 2)) if direct else radix
     groups = -(-n_units // radix)
@@ -235,11 +241,10 @@ def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> D
         import pyarrow as pa
 
         for b in batches:
-            for u, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found, local = unpacked(data)
-                if found.dtype == np.uint8:
-                    found, local = expand_sorted(found), _unplaned(local, U64)
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                u, part, found, local = read(*row)
                 full, rows = _rows(found, local, bucket_bounds(found, n, bits, part, parts))
+                del row, found, local
                 v = int(mix(np.array([u], np.int64).view(U64))[0] % U64(groups))
                 yield pa.RecordBatch.from_arrays([pa.array(full + part * n, pa.int64()), pa.array(np.full(len(full), v), pa.int64()), pa.array(np.full(len(full), u), pa.int64()), pa.array(np.full(len(full), part), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "v", "u", "part", "data"])
 
@@ -264,7 +269,7 @@ def _exchange(units: DataFrame, n_units: int, parts: int, bits: int, tally) -> D
         return pa.table({"u": pa.array([table.column("v")[0].as_py()], pa.int64()), "part": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "data": pa.array([packed(*squeeze_sorted(keys), _planes(totals.astype(U64)))], pa.binary()), "members": pa.array([members], pa.binary())})
 
     merged = stored(sent.groupBy("v", "bucket").applyInArrow(merge, "u long, part long, data binary, members binary"))
-    told = _exchange(merged.select("u", "part", "data"), groups, parts * radix, bits, tally)
+    told = _exchange(merged.select("u", "part", "data"), _packed_unit, groups, parts * radix, bits, tally)
     replies = told.groupBy("u", "part").agg(F.array_sort(F.collect_list(F.struct("bucket", "reply"))).alias("replies"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"))
 
     def down(batches):
@@ -292,16 +297,10 @@ def count_keys(blocks: DataFrame, keys: Callable[..., tuple[np.ndarray, np.ndarr
     which stand in t0 and t1 of one of its rows.
     """
 
-    def units(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for g, data, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found, local = keys(Block(data), *more)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([0], pa.int64()), pa.array([packed_keys(found, local)], pa.binary())], ["u", "part", "data"])
+    def read(g: int, data: bytes, *more):
+        return (g, 0, *keys(Block(data), *more))
 
-    return exchange_keys(blocks.mapInArrow(units, "u long, part long, data binary"), n_blocks, bits, tally)
+    return _exchange(blocks, read, n_blocks, 1, bits, tally).select(F.col("u").alias("g"), "bucket", "reply", "t0", "t1")
 
 
 def with_replies(blocks: DataFrame, replies: DataFrame) -> DataFrame:

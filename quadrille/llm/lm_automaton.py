@@ -118,9 +118,10 @@ def gram_counts(order: int, folds: int, bits: int):
 
     def keys(block: Block) -> tuple[np.ndarray, np.ndarray]:
         grams = Grams(block, order, bits)
-        every, held = np.concatenate(grams.keys), np.tile(held_out_rows(block, folds)[grams.doc], order)
-        known, number = counted(every[~held])
-        more = distinct(every[held])
+        held = held_out_rows(block, folds)[grams.doc]
+        known, number = counted(np.concatenate([k[~held] for k in grams.keys]))
+        more = distinct(np.concatenate([k[held] for k in grams.keys]))
+        del grams
         if len(known):
             more = more[known[np.minimum(np.searchsorted(known, more), len(known) - 1)] != more]
         at = np.searchsorted(known, more)
