@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from .stats import dealt
+
 SAMPLE, WARD_ROWS, PRE_GROUPS = 20_000, 1_200, 300
 KMEANS_SAMPLE, SILHOUETTE_ROWS = 5_000, 1_500
 
@@ -228,7 +230,7 @@ def hcpc(df: DataFrame, coords: list[str], key: str, k: int | None = None, least
     """Ward's tree on the coordinates (of a sample's centres, if there are many rows), cut at the largest ratio of gains,
     consolidated over all rows, classes in order of the first axis."""
     # every round reads the coordinates again, not what they are made of; what an executor loses is computed anew
-    rows = df.select(key, *coords).dropna(subset=coords).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = dealt(df.select(key, *coords).dropna(subset=coords)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _hcpc(rows, coords, key, k, least, consolidation)
     finally:

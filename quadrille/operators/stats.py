@@ -16,6 +16,15 @@ def _ratio(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(other))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that several passes read, dealt to all cores if a scan gives fewer partitions than these (a file of one row group
+    is one task, whatever its size). Larger inputs, and rows that were shuffled anyway, stay where they are."""
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 # ---------------------------------------------------------------- descriptions
 
 
@@ -89,10 +98,10 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: count, missing, mean, sd (n - 1), quartiles, adjusted skewness and kurtosis, bimodality, Tukey
     outliers and distinct values. One wide pass gives the moments, quartiles come from bracketed order statistics, another
     pass counts outliers; equal values are counted before the shuffle that the number of distinct ones needs."""
-    values = df.select(*(finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns)))
+    values = dealt(df.select(*(finite(F.col(c)).alias(f"v{i}") for i, c in enumerate(columns))))
     wide = values.agg(F.count(F.lit(1)).alias("rows"), *(f for i in range(len(columns)) for f in (F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"m{i}"), F.coalesce(F.stddev_samp(f"v{i}"), F.lit(0.0)).alias(f"s{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"b{i}"), F.coalesce(F.skewness(f"v{i}"), F.lit(0.0)).alias(f"g{i}"), F.coalesce(F.kurtosis(f"v{i}"), F.lit(0.0)).alias(f"k{i}"))))
     moments = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"n{i}").alias("n"), (F.col("rows") - F.col(f"n{i}")).alias("miss"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("sd"), F.col(f"a{i}").alias("min"), F.col(f"b{i}").alias("max"), F.col(f"g{i}").alias("g1"), F.col(f"k{i}").alias("g2")) for i, c in enumerate(columns)))).alias("r")).select("r.*")
-    q = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    q = exact_quantiles(values, {c: F.col(f"v{i}") for i, c in enumerate(columns)}, [0.25, 0.5, 0.75])
     fences = {c: (a - 1.5 * (b - a), b + 1.5 * (b - a)) for c, (a, _, b) in q.items() if a is not None}
     outside = values.agg(*(F.count_if((F.col(f"v{i}") < fences[c][0]) | (F.col(f"v{i}") > fences[c][1])).alias(f"o{i}") if c in fences else F.lit(0).cast("long").alias(f"o{i}") for i, c in enumerate(columns)))
     distinct = values.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("x")) for i in range(len(columns))))).alias("r")).where("r.x is not null").groupBy("r.i", "r.x").agg(F.lit(1)).groupBy("i").agg(F.count(F.lit(1)).alias("uniq"))

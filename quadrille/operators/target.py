@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.scalars import finite
-from .stats import anova, cramer_test, distribution_ranks, exact_quantiles, pearson_of, spearman
+from .stats import anova, cramer_test, dealt, distribution_ranks, exact_quantiles, pearson_of, spearman
 from .typing import is_numeric
 
 #: Bands of the information value.
@@ -194,7 +194,7 @@ def cart(df: DataFrame, spec: Target, columns: list[str], depth: int = 3, min_le
     levels = {c: sorted(r[0] for r in rows.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().collect()) for c in used if c not in numbers}
     cuts |= {c: [] for c in numbers if not cuts[c]}
     place = {c: binned(finite(F.col(c)), cuts[c]) if c in numbers else F.nullif(F.array_position(F.array(*map(F.lit, levels[c])), F.col(c).cast("string")), F.lit(0)) - 1 for c in used}
-    coded = rows.select(y.cast("double").alias("y"), *(place[c].cast("int").alias(f"b{i}") for i, c in enumerate(used))).persist(StorageLevel.MEMORY_AND_DISK)
+    coded = dealt(rows.select(y.cast("double").alias("y"), *(place[c].cast("int").alias(f"b{i}") for i, c in enumerate(used)))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _grow(coded, used, cuts, levels, depth, min_leaf)
     finally:
