@@ -367,6 +367,36 @@ def results_as_json(spark, d):
     return scalar_frame(spark, {"method": r["method"], "n": r["n"], "first": r["eigenvalues"][0], "second": r["eigenvalues"][1], "axes_reported": len(writers.report(a)["axes"])})
 
 
+_NORMED = "list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))"
+_SIGNED = "list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))]))"
+#: The first two axes of the four measures, by power iterations.
+_FOUR = f"""{LINES}, s AS (SELECT count(*) AS n, avg(qty) AS m1, avg(price) AS m2, avg(disc) AS m3, avg(tax) AS m4, stddev_pop(qty) AS s1, stddev_pop(price) AS s2, stddev_pop(disc) AS s3, stddev_pop(tax) AS s4, corr(qty, price) AS a, corr(qty, disc) AS b, corr(qty, tax) AS c, corr(price, disc) AS d, corr(price, tax) AS e, corr(disc, tax) AS f FROM li),
+r1 AS (SELECT [[1.0, a, b, c], [a, 1.0, d, e], [b, d, 1.0, f], [c, e, f, 1.0]] AS m FROM s),
+p1(i, v) AS (SELECT 0, CAST([0.3, 0.7, 0.5, 0.4] AS DOUBLE[]) UNION ALL SELECT i + 1, {_NORMED} FROM (SELECT i, list_transform(m, lambda row: list_dot_product(row, v)) AS w FROM p1, r1 WHERE i < 300)),
+x1 AS (SELECT {_SIGNED} AS v FROM p1 WHERE i = 300), l1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) AS l FROM x1, r1),
+r2 AS (SELECT list_transform([1, 2, 3, 4], lambda i: list_transform([1, 2, 3, 4], lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM r1, l1),
+p2(i, v) AS (SELECT 0, CAST([0.9, 0.2, 0.3, -0.4] AS DOUBLE[]) UNION ALL SELECT i + 1, {_NORMED} FROM (SELECT i, list_transform(m, lambda row: list_dot_product(row, v)) AS w FROM p2, r2 WHERE i < 300)),
+x2 AS (SELECT {_SIGNED} AS v FROM p2 WHERE i = 300), l2 AS (SELECT v, list_dot_product(v, list_transform(m, lambda row: list_dot_product(row, v))) AS l FROM x2, r2),
+g AS (SELECT l_orderkey, l_linenumber, [(qty - m1) / s1, (price - m2) / s2, (disc - m3) / s3, (tax - m4) / s4] AS z FROM li, s)"""
+
+
+@query(f"""WITH RECURSIVE {_FOUR}, h AS (SELECT l_orderkey, l_linenumber, list_dot_product(z, l1.v) AS f1, list_dot_product(z, l2.v) AS f2, list_dot_product(z, z) AS whole, l1.l AS e1, l2.l AS e2 FROM g, l1, l2)
+SELECT l_orderkey, l_linenumber, round(f1, 5) + 0.0 AS f1, round(f2, 5) + 0.0 AS f2, round((f1 * f1 / e1 + f2 * f2 / e2) * (n - 1.0) / n, 4) + 0.0 AS t2, round(greatest(whole - f1 * f1 - f2 * f2, 0), 4) + 0.0 AS q FROM h, s""")
+def scores_of_four(spark, d):
+    li = lines(spark, d)
+    a = factor.pca(li, MEASURES, 2)
+    shown = lambda c, k: (F.round(c, k) + 0.0)
+    return li.select("l_orderkey", "l_linenumber", shown(a.score(0), 5).alias("f1"), shown(a.score(1), 5).alias("f2"), shown(a.t2(2), 4).alias("t2"), shown(a.q_residual(2), 4).alias("q"))
+
+
+@query(f"""WITH RECURSIVE {_FOUR}, k AS (SELECT 1 AS axis, v, l FROM l1 UNION ALL SELECT 2, v, l FROM l2), u AS (SELECT axis, l, unnest(['qty', 'price', 'disc', 'tax']) AS name, unnest(v) AS v FROM k)
+SELECT name, CAST(axis AS BIGINT) AS axis, round(v * sqrt(l), 5) + 0.0 AS coord, round(v * v * l, 5) + 0.0 AS cos2, round(100 * v * v, 4) + 0.0 AS ctr FROM u""")
+def loadings_of_four(spark, d):
+    a = factor.pca(lines(spark, d), MEASURES, 2)
+    rows = [(c, k + 1, round(float(a.coord[j, k]), 5) + 0.0, round(float(a.cos2[j, k]), 5) + 0.0, round(float(a.ctr[j, k]), 4) + 0.0) for j, c in enumerate(MEASURES) for k in range(2)]
+    return spark.createDataFrame(rows, "name string, axis long, coord double, cos2 double, ctr double")
+
+
 # ---------------------------------------------------------------- classes, shapes, densities
 
 
