@@ -19,25 +19,28 @@ from quadrille.llm.toxicity import keep_clean, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. It is fitted on the stage's own input."""
+    """Documents that the classifier doesn't reject. It is fitted on the stage's own input. Null and empty texts are scored
+    like texts without a known word; without labelled rows of both classes, or on an empty table, nothing is rejected."""
     return keep_clean(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Of rows with one id one stays; rows
-    without an id stay."""
-    groups = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    """One document of each group of near copies: the one with the smallest id, with all rows that have this id; an id goes if
+    all its rows are copies of others. Documents
+    without words (null, empty) are in no group and stay; rows without an id stay; an empty table stays empty."""
+    groups = jaccard_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"))
     gone = groups.where("doc_id != component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur more than once; documents of which nothing is left go."""
+    """Texts without the byte strings that occur more than once; documents of which nothing but white space is left go.
+    Null texts stay null, empty and short ones stay as they are; of equal documents of 200 bytes or more none keeps its text."""
     return clean_texts(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places."""
+    """The pieces of all documents with their sequences and places; a null or empty text is one id, an empty table no row."""
     return pack(docs)
 
 
