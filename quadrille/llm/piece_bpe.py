@@ -10,7 +10,8 @@ them), and each distinct unit once per task. Runs of space signs merge last and
 on their length alone and are kept per length.
 
 Defined results: a null or empty text has the two ids begin and end and decodes to the empty text; characters outside
-the vocabulary become byte tokens, as the library does it.
+the vocabulary become byte tokens, as the library does it; repeated rows are encoded each for itself; null ids pass through;
+very long texts are encoded whole; an empty table gives no rows; further columns don't matter.
 """
 
 from __future__ import annotations

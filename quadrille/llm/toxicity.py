@@ -240,7 +240,7 @@ def score_texts(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD
 
 
 def keep_clean(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose texts the model rejects; all columns stay."""
+    """``docs`` without the rows whose texts the model rejects; all columns stay. A null text is judged like an empty one."""
     reject = F.pandas_udf(lambda s: s.map(lambda t: model.score(t) >= threshold).astype(bool), "boolean")
     return docs.where(~reject(F.col("text").cast("string")))
 
