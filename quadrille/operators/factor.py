@@ -449,10 +449,27 @@ def horn(n: int, p: int, replicates: int = 200, seed: int = 42, rows: int = 3_00
     return np.quantile(got, 0.95, axis=0)
 
 
+def _spectrum(numbers: np.ndarray, marks: np.ndarray, q: int, scale: float) -> np.ndarray:
+    """Eigenvalues of a sample: standardised numbers, and marks of levels about their shares; levels that a sample lacks have
+    no part."""
+    m = len(numbers)
+    sd = numbers.std(0)
+    p = marks.mean(0)
+    z = np.concatenate([(numbers - numbers.mean(0)) / np.where(sd > 0, sd, 1), ((marks - p) / np.sqrt(np.where(p > 0, p, 1)))], 1)
+    values = eigen(z.T @ z / m)[0] / scale
+    return np.pad(values, (0, max(0, q - len(values))))[:q]
+
+
 def bootstrap_eigenvalues(a: Analysis, df: DataFrame, key: str, replicates: int = 300, rows: int = 3_000, seed: int = 7) -> dict:
-    """m-out-of-n intervals of a PCA's eigenvalues from a hash-ordered sample; replicates run on executors."""
-    sample = _complete_numbers(df, a.numeric).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows).select(a.numeric).toPandas().to_numpy(float)
-    q, m = a.q, len(sample)
+    """m-out-of-n intervals of an analysis' eigenvalues (components, multiple correspondence or mixed data) from a
+    hash-ordered sample; replicates run on executors."""
+    names = list(dict.fromkeys(v for v, _ in a.levels))
+    kept = _complete_numbers(df, a.numeric) if a.numeric else df
+    kept = kept.dropna(subset=names) if names else kept
+    sample = kept.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows).select(*a.numeric, *(F.col(c).cast("string").alias(c) for c in names)).toPandas()
+    numbers = sample[a.numeric].to_numpy(float)
+    marks = np.stack([(sample[v] == x).to_numpy(float) for v, x in a.levels], 1) if names else np.zeros((len(sample), 0))
+    q, m, scale = a.q, len(sample), float(len(names)) if a.method == "MCA" else 1.0
 
     def run(frames):
         import pandas as pd
@@ -460,17 +477,30 @@ def bootstrap_eigenvalues(a: Analysis, df: DataFrame, key: str, replicates: int
         for f in frames:
             out = []
             for i in f["id"]:
-                x = sample[np.random.default_rng(seed + int(i)).integers(0, m, m)]
-                sd = x.std(0)
-                z = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
-                out.append(eigen(z.T @ z / m)[0][:q].tolist())
+                k = np.random.default_rng(seed + int(i)).integers(0, m, m)
+                out.append(_spectrum(numbers[k], marks[k], q, scale).tolist())
             yield pd.DataFrame({"values": out})
 
     got = np.array([r["values"] for r in df.sparkSession.range(replicates).mapInPandas(run, "values array<double>").collect()])
-    centred = got - (np.median(got, 0) - a.vals)
-    width = math.sqrt(m / a.n)
-    spread = a.vals + (centred - a.vals) * width
-    return {"low": np.quantile(spread, 0.025, 0), "high": np.quantile(spread, 0.975, 0), "above": (spread > a.threshold).mean(0)}
+    return _intervals(got, a.vals, math.sqrt(m / a.n), a.threshold)
+
+
+def _intervals(got: np.ndarray, vals: np.ndarray, width: float, threshold: float) -> dict:
+    centred = got - (np.median(got, 0) - vals)
+    spread = vals + (centred - vals) * width
+    return {"low": np.quantile(spread, 0.025, 0), "high": np.quantile(spread, 0.975, 0), "above": (spread > threshold).mean(0)}
+
+
+def bootstrap_table(result: dict, replicates: int = 300, seed: int = 7) -> dict:
+    """The same for a correspondence analysis, whose counts are drawn anew."""
+    rng, vals, got = np.random.default_rng(seed), result["vals"], []
+    n = int(round(result["n"]))
+    for _ in range(replicates):
+        t = rng.multinomial(n, (result["table"] / result["table"].sum()).ravel()).reshape(result["table"].shape).astype(float)
+        t = t[t.sum(1) > 0][:, t.sum(0) > 0]
+        v = ca_matrix(t)["vals"] if min(t.shape) > 1 else np.zeros(0)
+        got.append(np.pad(v, (0, max(0, len(vals) - len(v))))[: len(vals)])
+    return _intervals(np.array(got), vals, 1.0, float(vals.mean()))
 
 
 def bootstrap_loadings(a: Analysis, df: DataFrame, key: str, replicates: int = 120, rows: int = 3_000, seed: int = 11) -> np.ndarray:

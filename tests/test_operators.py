@@ -410,3 +410,18 @@ def test_more_readers(spark, tmp_path):
     from quadrille.functions.scalars import parse_date
 
     assert {str(r[0])[:10] for r in dots.select(parse_date(F.col("t"))).collect()} == {"2024-03-15"}
+
+
+def test_bootstraps_of_other_analyses(spark):
+    rng = np.random.default_rng(1)
+    kind = rng.integers(0, 3, 1_500)
+    rows = [(i, float(kind[i] + rng.normal()), "abc"[kind[i]], "xyz"[(kind[i] + (rng.random() < 0.3)) % 3], "uv"[rng.integers(2)]) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "id long, n double, a string, b string, c string")
+    for a in (factor.mca(df, ["a", "b", "c"]), factor.famd(df, ["n"], ["a", "b"])):
+        b = factor.bootstrap_eigenvalues(a, df, "id", 60)
+        assert (b["low"][:2] < a.vals[:2]).all() and (b["high"][:2] > a.vals[:2]).all() and (b["high"] - b["low"] < 0.5).all()
+        full = factor._spectrum(df.select(*a.numeric).toPandas().to_numpy(float), np.stack([[float(r[f"{v}"] == x) for r in df.collect()] for v, x in a.levels], 1), a.q, 3.0 if a.method == "MCA" else 1.0)
+        assert np.allclose(full, a.vals, atol=1e-9)
+    r = factor.ca(df, "a", "b")
+    t = factor.bootstrap_table(r, 60)
+    assert (t["low"] < r["vals"]).all() and (t["high"] > r["vals"]).all()
