@@ -35,6 +35,8 @@ from .common import documents_of, read_table, stored
 CAPACITY = 2048
 #: Nodes and rejected fillings after which the search ends without a proof.
 SEARCH_STEPS = 20_000
+#: Nodes, the deepest ones, that keep their enumeration; others begin it anew when the search comes back to them.
+LIVE_NODES = 16
 #: Pieces of one length are numbered in groups of about so many.
 GROUP_ROWS = 50_000
 
@@ -234,8 +236,9 @@ def _sequences(plan: Plan) -> int:
 class _Node:
     """A node of the tree: the largest piece's fillings, those that a branch before has dealt with, and what is applied now."""
 
-    def __init__(self, top: int, room: int, options: Iterator, done: set):
-        self.top, self.room, self.options, self.done = top, room, options, done
+    def __init__(self, top: int, done: set):
+        self.top, self.done = top, done
+        self.options: Iterator | None = None
         self.bin: Filling = []
         self.key: tuple = ()
         self.waste = self.times = 0
@@ -268,11 +271,17 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int |
             ties = False
             return
         top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        options = fillings(left.copy(), capacity - top, aim * capacity - total - waste)
-        left[top] += 1
-        done = set(path[-1].done) if path and path[-1].top == top else set()
-        path.append(_Node(top, capacity - top, options, done))
+        path.append(_Node(top, set(path[-1].done) if path and path[-1].top == top else set()))
+        if len(path) > LIVE_NODES:
+            path[-1 - LIVE_NODES].options = None
+
+    def options(node: _Node) -> Iterator:
+        """Those of a node on which the search stands; what it has done before is passed over."""
+        if node.options is None:
+            left[node.top] -= 1
+            node.options = fillings(left.copy(), capacity - node.top, (fewest if ties else fewest - 1) * capacity - total - waste)
+            left[node.top] += 1
+        return node.options
 
     def apply(node: _Node, times: int) -> None:
         nonlocal bins, waste
@@ -297,7 +306,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int |
                 open_node()
                 continue
         while True:
-            found = next(node.options, ())
+            found = next(options(node), ())
             if found == ():
                 path.pop()
                 ties = False
